@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from slateledger.llm.exact import OP2_SQL, op2_exact_dedup
+from slateledger.llm.pii import op10_pii
 from slateledger.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op10_pii": op10_pii,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
