@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from slateledger.llm.decontam import OP5_SQL, op5_decontam
 from slateledger.llm.exact import OP2_SQL, op2_exact_dedup
+from slateledger.llm.packing import op9_packing
 from slateledger.llm.pii import op10_pii
 from slateledger.llm.simhash import op8_simhash
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_decontam": op5_decontam,
     "op8_simhash": op8_simhash,
+    "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
 
-ORACLE: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+ORACLE: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op5_decontam": OP5_SQL}
