@@ -7,8 +7,10 @@ from slateledger.llm.exact import OP2_SQL, op2_exact_dedup
 from slateledger.llm.packing import op9_packing
 from slateledger.llm.pii import op10_pii
 from slateledger.llm.simhash import op8_simhash
+from slateledger.llm.substring import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_decontam": op5_decontam,
     "op8_simhash": op8_simhash,
@@ -16,4 +18,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLE: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op5_decontam": OP5_SQL}
+ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_decontam": OP5_SQL}
