@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from slateledger.llm.decontam import OP5_SQL, op5_decontam
 from slateledger.llm.exact import OP2_SQL, op2_exact_dedup
+from slateledger.llm.langid import op6_language_id
 from slateledger.llm.packing import op9_packing
 from slateledger.llm.pii import op10_pii
 from slateledger.llm.simhash import op8_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_decontam": op5_decontam,
+    "op6_language_id": op6_language_id,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
