@@ -9,10 +9,12 @@ from slateledger.llm.packing import op9_packing
 from slateledger.llm.pii import op10_pii
 from slateledger.llm.simhash import op8_simhash
 from slateledger.llm.substring import OP1_SQL, op1_substring_dedup
+from slateledger.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
     "op5_decontam": op5_decontam,
     "op6_language_id": op6_language_id,
     "op8_simhash": op8_simhash,
