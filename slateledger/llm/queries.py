@@ -7,6 +7,7 @@ from slateledger.llm.exact import OP2_SQL, op2_exact_dedup
 from slateledger.llm.langid import op6_language_id
 from slateledger.llm.packing import op9_packing
 from slateledger.llm.pii import op10_pii
+from slateledger.llm.quality import op7_quality
 from slateledger.llm.simhash import op8_simhash
 from slateledger.llm.substring import OP1_SQL, op1_substring_dedup
 from slateledger.llm.toxicity import op3_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op5_decontam": op5_decontam,
     "op6_language_id": op6_language_id,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
