@@ -10,12 +10,14 @@ from slateledger.llm.pii import op10_pii
 from slateledger.llm.quality import op7_quality
 from slateledger.llm.simhash import op8_simhash
 from slateledger.llm.substring import OP1_SQL, op1_substring_dedup
+from slateledger.llm.suffix import OP4_SQL, op4_suffix_dedup
 from slateledger.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontam": op5_decontam,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_decontam": OP5_SQL}
+ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op5_decontam": OP5_SQL}
