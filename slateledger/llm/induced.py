@@ -119,8 +119,8 @@ def direct(t: np.ndarray, a: np.ndarray, b: np.ndarray, have: np.ndarray, cap: i
 def types(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than its successor; the last is, by its unique smallest character."""
     n = len(t)
-    step = np.sign(np.diff(t.astype(np.int32)))
-    at = np.where(step != 0, np.arange(n - 1), n)
+    step = (t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1])
+    at = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n))
     nxt = np.minimum.accumulate(at[::-1])[::-1]
     out = np.ones(n, bool)
     out[:-1] = step[np.minimum(nxt, n - 2)] > 0
@@ -129,7 +129,7 @@ def types(t: np.ndarray) -> np.ndarray:
 
 def names(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks of the pieces from each LMS position to the next, characters and types, refined word by word."""
-    length = np.diff(np.r_[lms, len(t) - 1]) + 1
+    length = np.diff(np.r_[lms, np.int32(len(t) - 1)]) + 1
     bits = max(2, int(t.max()).bit_length() + 1)
     per = max(1, 62 // bits)
     rank, active, w = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
@@ -207,7 +207,7 @@ def buckets(t: np.ndarray, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     with the suffix before). t ends in a unique smallest character 0; prefixes count up to cap."""
     alphabet, spool = int(t.max()) + 1, Spool()
     small = types(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     x, distinct = names(t, small, lms)
     p, lcp = sorted_lms(t, lms, x, distinct, cap)
     bounds = np.searchsorted(t[p], np.arange(alphabet + 1))
@@ -227,7 +227,7 @@ def buckets(t: np.ndarray, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             own[0] = one(last, p[a]) if last >= 0 else 0
             large.induce(t, p[a:b], own, np.ones(b - a, bool))
     less = Queue(alphabet, spool, cap)
-    less.blocks[0].append((np.array([len(t) - 1]), np.zeros(1, np.uint16)))
+    less.blocks[0].append((np.array([len(t) - 1], np.int32), np.zeros(1, np.uint16)))
     for c in range(alphabet - 1, -1, -1):
         less.rest(0)
         done, first, s = 0, -1, []

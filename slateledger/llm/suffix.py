@@ -24,9 +24,10 @@ from slateledger.llm.substring import _B2, ANSWER, ASK, Ask, _powers, estimate_r
 
 WINDOW, GRAM = 400, 24
 #: Text of one packed batch; numbers of eight bytes are held for each of its bytes.
-BATCH_BYTES = 2 << 20
-#: Minimizers are sorted together up to so many bytes of strings; one minimizer's strings always are.
-SORT_BYTES = 24 << 20
+BATCH_BYTES = 1 << 20
+#: Strings are sorted in lots of about so many bytes. A minimizer with more of them is split by the bytes
+#: that its windows share, which keeps equal windows together.
+SORT_BYTES = 4 << 20
 PIECES = "part int, bid long, keys binary, tags binary, counts binary, spans binary, body binary"
 
 
@@ -69,7 +70,7 @@ class Pieces:
                 content = prefix[:0]
         self.ask = Ask(key, parts, content)
         one = self.ask.order[self.ask.start]  # a piece of each distinct content
-        self.one_first, self.one_n = self.first[one], self.n[one]
+        self.one_first, self.one_n, self.one_at = self.first[one], self.n[one], at[new][one]
 
     def rows(self, bid: int, window: int) -> dict:
         a, z, flat = self.ask, zstandard.ZstdCompressor(1), self.bytes.flat
@@ -77,7 +78,7 @@ class Pieces:
         spans, body = [], []
         for p in out["part"]:
             own = a.deal[a.bounds[p] : a.bounds[p + 1]]
-            spans.append(self.one_n[own].astype(np.uint32).tobytes())
+            spans.append(np.stack([self.one_n[own], self.one_at[own] - self.one_first[own]], axis=1).astype(np.uint32).tobytes())
             body.append(z.compress(b"".join(flat[s : s + n + window - 1].tobytes() for s, n in zip(self.one_first[own].tolist(), self.one_n[own].tolist(), strict=True))))
         return out | {"spans": spans, "body": body}
 
@@ -115,49 +116,89 @@ def sort_shard(strings: list[bytes], spans: list[int], window: int) -> list[np.n
     return [yes[b : b + n] for b, n in zip(begin.tolist(), spans, strict=False)]
 
 
-def suffix_repeats(window: int, sort_bytes: int):
+class Shard:
+    """Distinct strings by minimizer; finds the windows of each that start in another place, too."""
+
+    def __init__(self, window: int, gram: int, sort_bytes: int):
+        self.window, self.gram, self.sort_bytes = window, gram, sort_bytes
+        self.which: dict[tuple[int, int], int] = {}
+        self.strings, self.total, self.span, self.at, self.key = [], [], [], [], []
+        self.lot: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
+        self.size = 0
+
+    def add(self, row: dict, unz: zstandard.ZstdDecompressor) -> list[int]:
+        """The row's strings; their numbers here."""
+        keys, tags = np.frombuffer(row["keys"], np.uint64).tolist(), np.frombuffer(row["tags"], np.uint64).tolist()
+        body, done, ids = unz.decompress(row["body"]), 0, []
+        for k, tag, (n, at), c in zip(keys, tags, np.frombuffer(row["spans"], np.uint32).reshape(-1, 2).tolist(), row["counts"], strict=True):
+            i = self.which.setdefault((k, tag), len(self.strings))
+            if i == len(self.strings):
+                self.strings.append(body[done : done + n + self.window - 1])
+                self.total.append(0)
+                self.span.append(n)
+                self.at.append(at)
+                self.key.append(k)
+            self.total[i] += c
+            done += n + self.window - 1
+            ids.append(i)
+        return ids
+
+    def solve(self) -> list[np.ndarray]:
+        self.yes = [np.full(n, t > 1) for n, t in zip(self.span, self.total, strict=True)]
+        groups: dict[int, list[int]] = {}
+        for i, k in enumerate(self.key):
+            groups.setdefault(k, []).append(i)
+        for ids in groups.values():
+            self.settle(ids, 0, self.window - self.gram + 1)
+        self.sort()
+        return self.yes
+
+    def settle(self, ids: list[int], low: int, high: int) -> None:
+        """Windows that begin low to high - 1 bytes before the minimizer: by the bytes common to all of them."""
+        by: dict[bytes, list[tuple[int, int, int]]] = {}
+        for i in ids:
+            a = self.at[i]
+            first, end = max(0, a - high + 1), min(self.span[i], a - low + 1)
+            if first < end:
+                by.setdefault(self.strings[i][a - low : a - high + 1 + self.window], []).append((i, first, end))
+        for own in by.values():
+            if len(own) < 2:  # nothing to compare with
+                continue
+            if high - low == 1:
+                for i, first, _ in own:
+                    self.yes[i][first] = True
+            elif sum(e - f + self.window for _, f, e in own) > self.sort_bytes:
+                mid = (low + high) // 2
+                self.settle([i for i, _, _ in own], low, mid)
+                self.settle([i for i, _, _ in own], mid, high)
+            else:
+                for i, f, e in own:
+                    part = self.strings[i][f : e - 1 + self.window]
+                    places = self.lot.setdefault(part, (e - f, []))[1]
+                    self.size += 0 if places else len(part)
+                    places.append((i, f))
+                if self.size >= self.sort_bytes:
+                    self.sort()
+
+    def sort(self) -> None:
+        lot, self.lot, self.size = self.lot, {}, 0
+        if not lot:
+            return
+        for (n, places), yes in zip(lot.values(), sort_shard(list(lot), [n for n, _ in lot.values()], self.window), strict=True):
+            for i, f in places:
+                self.yes[i][f : f + n] |= yes | (len(places) > 1)
+
+
+def suffix_repeats(window: int, gram: int, sort_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        unz = zstandard.ZstdDecompressor()
-        which: dict[tuple[int, int], int] = {}
-        strings, total, span, key, asked = [], [], [], [], []
+        unz, shard, asked = zstandard.ZstdDecompressor(), Shard(window, gram, sort_bytes), []
         for batch in batches:
-            for row in batch.to_pylist():
-                keys, tags = np.frombuffer(row["keys"], np.uint64).tolist(), np.frombuffer(row["tags"], np.uint64).tolist()
-                ns, counts = np.frombuffer(row["spans"], np.uint32).tolist(), row["counts"]
-                body, at, ids = unz.decompress(row["body"]), 0, []
-                for k, tag, n, c in zip(keys, tags, ns, counts, strict=True):
-                    i = which.setdefault((k, tag), len(strings))
-                    if i == len(strings):
-                        strings.append(body[at : at + n + window - 1])
-                        total.append(0)
-                        span.append(n)
-                        key.append(k)
-                    total[i] += c
-                    at += n + window - 1
-                    ids.append(i)
-                asked.append((row["bid"], row["part"], ids))
-        by_key: dict[int, list[int]] = {}
-        for i, k in enumerate(key):
-            by_key.setdefault(k, []).append(i)
-        found: dict[int, np.ndarray] = {}
-        group, size = [], 0
-
-        def sort() -> None:
-            for i, yes in zip(group, sort_shard([strings[i] for i in group], [span[i] for i in group], window), strict=True):
-                found[i] = yes
-
-        for ids in by_key.values():  # a minimizer with one string has nothing to compare
-            if len(ids) > 1:
-                group += ids
-                size += sum(len(strings[i]) for i in ids)
-            if size >= sort_bytes:
-                sort()
-                group, size = [], 0
-        if group:
-            sort()
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                asked.append((row["bid"], row["part"], shard.add(row, unz)))
+        yes = shard.solve()
         for bid, part, ids in asked:
-            bits = [np.ones(span[i], bool) if total[i] > 1 else found[i] if i in found else np.zeros(span[i], bool) for i in ids]
-            yield {"bid": [bid], "part": [part], "bits": [np.packbits(np.concatenate(bits), bitorder="little").tobytes()]}
+            yield {"bid": [bid], "part": [part], "bits": [np.packbits(np.concatenate([yes[i] for i in ids]), bitorder="little").tobytes()]}
 
     return run
 
@@ -206,7 +247,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = arrow_map(batches, ask_sketch, ASK).repartitionById(parts, F.col("part"))
     estimated = arrow_map(asked, estimate_repeats, ANSWER)
     pieces = with_answers(batches, estimated, ask_pieces, PIECES).repartitionById(parts, F.col("part"))
-    repeats = arrow_map(pieces, suffix_repeats(window, sort_bytes), ANSWER)
+    repeats = arrow_map(pieces, suffix_repeats(window, gram, sort_bytes), ANSWER)
     answers = estimated.unionByName(repeats.withColumn("part", -1 - F.col("part")))
     return with_answers(batches, answers, finish, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
