@@ -139,7 +139,7 @@ def names(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray
         for k in range(per):
             p = np.minimum(base + k, len(t) - 1)
             word = (word << bits) | np.where(left > k, (t[p].astype(np.int64) << 1) + small[p], 0)
-        order = np.lexsort((word, rank[active])) if w else np.argsort(word, kind="stable")
+        order = np.lexsort((word, rank[active])) if w else np.argsort(word)
         r, v = rank[active][order], word[order]
         group = np.r_[True, r[1:] != r[:-1]]
         sub = np.r_[True, (r[1:] != r[:-1]) | (v[1:] != v[:-1])]
@@ -164,7 +164,7 @@ def doubling(x: np.ndarray, spool: Spool) -> tuple[np.ndarray, list[tuple[int, t
             if times * h < n:
                 shifted[: n - times * h] = rank[times * h :] + 1
             key, times = key * top + shifted, times + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.r_[False, k[1:] != k[:-1]])
