@@ -146,7 +146,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bodies = routed.where("body is not null").select("fp", "sha", "body").repartition("fp").sortWithinPartitions("fp", "sha")
     same = arrow_map(bodies, verify, "sha binary")
     best = F.min(F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")))
-    groups = routed.where("suspect").groupBy("sha").agg(best.alias("best"), F.count("*").alias("n")).join(same, "sha")
+    groups = save(routed.where("suspect").groupBy("sha").agg(best.alias("best"), F.count("*").alias("n")).join(same, "sha"))  # of its own, so that the next join may split a hot group
     several = routed.where("suspect").join(groups, "sha").select("doc_id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), "sha")
     alone = routed.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     return alone.unionByName(several).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
