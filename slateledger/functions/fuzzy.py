@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import get_close_matches
 from functools import lru_cache
 
@@ -14,6 +15,7 @@ from slateledger.functions import constants as C
 from slateledger.functions import scalars as S
 
 CUTOFF = 0.78
+_OTHER = re.compile("[^a-z ]+")
 _NAMES = list(C.IMAGE_STATES.values())
 _LOW = {n.lower(): n for n in reversed(_NAMES)}
 
@@ -24,6 +26,13 @@ def close_place(words: str) -> str:
     return _LOW[found[0]] if found else ""
 
 
+def _may_match(run: str) -> bool:
+    """Whether a name could be close at all: names are letters and spaces, so no more than those of the run
+    can match, and the ratio is at most twice their number over both lengths."""
+    letters = len(_OTHER.sub("", run))
+    return 2 * letters >= CUTOFF * (len(run) + max(letters, 3))
+
+
 def fuzzy_place(text: str | None) -> str:
     """Runs of 2, 3 and 1 words from each place on; a run beyond the end ends the tries at its place."""
     words = (text or "").lower().split()
@@ -32,7 +41,7 @@ def fuzzy_place(text: str | None) -> str:
             if i + n > len(words):
                 break
             run = " ".join(words[i : i + n])
-            if len(run) >= 3 and (name := close_place(run)):
+            if len(run) >= 3 and _may_match(run) and (name := close_place(run)):
                 return name
     return ""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slateledger.functions import constants as C
 from slateledger.functions import scalars as S
 from slateledger.functions.fuzzy import place
-from slateledger.operators.records import KEYS, Line, nth
+from slateledger.operators.records import KEYS, Line, nth, settled
 
 
 
@@ -33,7 +33,7 @@ def before_after(df: DataFrame, text: str, strict: str = C.ID, relaxed: str = C.
 
 def body_lines(lines: DataFrame) -> DataFrame:
     """Trimmed lines that are neither blank nor headers nor totals."""
-    return lines.select(*KEYS, F.trim("text").alias("text")).where(~S.header_line("text"))
+    return settled(lines.select(*KEYS, F.trim("text").alias("text")).withColumn("_head", S.header_line("text")), "not _head").drop("_head")
 
 
 def no_commas(array: Column | str) -> Column:
@@ -46,9 +46,9 @@ def no_commas(array: Column | str) -> Column:
 def parse_register(lines: DataFrame) -> DataFrame:
     """Purchase register: date first, number, supplier, identifier, six amounts."""
     step = Line(body_lines(lines), F.col("text")).take("INVOICE_DATE", C.DATE, start=True)
-    step.df = step.df.where("INVOICE_DATE <> ''").withColumn("_rest", F.regexp_replace("_rest", r"\s+", " "))
+    step.df = settled(step.df, "INVOICE_DATE <> ''").withColumn("_rest", F.regexp_replace("_rest", r"\s+", " "))
     step.take("_number", r"(?:^|\s)(,*(?:\d,*){3,8})(?:\s|$)")
-    df = before_after(step.df.where("_number <> ''"), "_rest")
+    df = before_after(settled(step.df, "_number <> ''"), "_rest")
     df = df.withColumn("_amounts", no_commas(S.every("_after", C.ITC_AMOUNT)))
     step = Line(df, F.col("_after"))
     step.fields += ["INVOICE_DATE", "GSTIN"]
@@ -92,7 +92,7 @@ def _dated_and_valued(step: Line) -> Line:
 
 def parse_wide(lines: DataFrame) -> DataFrame:
     """One wide row for each invoice, consumed from left to right."""
-    df = before_after(body_lines(lines), "text").where("GSTIN <> ''")
+    df = settled(before_after(body_lines(lines), "text"), "GSTIN <> ''")
     step = Line(_numbered(df), F.col("_after"))
     step.fields += ["GSTIN", "INVOICE_NO", "TRADE_NAME"]
     _dated_and_valued(step).take("REVERSE_CHARGE", r"([NY])\s*", start=True).take("TAX_RATE", C.RATE, start=True)
@@ -124,7 +124,7 @@ def page_groups(pages: DataFrame) -> DataFrame:
 
 def parse_group_a(lines: DataFrame) -> DataFrame:
     """Supplier and invoice columns."""
-    df = before_after(body_lines(lines), "text").where("GSTIN <> ''")
+    df = settled(before_after(body_lines(lines), "text"), "GSTIN <> ''")
     raw = S.first("text", C.INVOICE)
     df = df.withColumn("_raw", raw).withColumn("_front", S.first("text", f"(?s)^(.*?)(?:{C.INVOICE})"))
     df = df.select(
@@ -143,7 +143,8 @@ def parse_group_b(lines: DataFrame) -> DataFrame:
     """Amount and filing columns: at least three leading numbers."""
     df = body_lines(lines).where(F.col("text").rlike(r"^\d")).withColumn("text", F.regexp_replace("text", r"\s+", " "))
     df = df.withColumn("_head", S.first("text", r"^((?:[\d,.]+(?: |$))*)")).withColumn("_numbers", F.filter(F.split(F.replace("_head", F.lit(","), F.lit("")), " "), lambda t: t != ""))
-    df = df.withColumn("_n", F.size(F.filter(F.split("_head", " "), lambda t: t != ""))).where("_n >= 3")
+    df = df.withColumn("_n", F.size(F.filter(F.split("_head", " "), lambda t: t != "")))
+    df = settled(df, "_n >= 3")
     step = Line(df, F.expr("substring(text, length(_head) + 1)"))
     for i, f in enumerate(("TAXABLE_VALUE", "IGST", "CGST", "SGST", "CESS")):
         step.put(f, nth("_numbers", i))
@@ -200,7 +201,7 @@ def after_id(df: DataFrame, rest: Column, source: str | Column = "ocr_image") ->
 
 def _with_id(df: DataFrame, text: str, pattern: str) -> DataFrame:
     """Rows whose first match of the pattern, repaired, is a valid identifier."""
-    return df.withColumn("GSTIN", S.repair_id(S.first(text, pattern))).where(S.valid_id("GSTIN"))
+    return settled(df.withColumn("GSTIN", S.repair_id(S.first(text, pattern))), S.valid_id("GSTIN"))
 
 
 def _after(text: str, pattern: str) -> Column:
@@ -322,7 +323,7 @@ def _bill(df: DataFrame) -> DataFrame:
 def parse_bills(lines: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """Strategy 6: lines with a bill number, else with an identifier; from rows of boxes where that finds more."""
     df = lines.select(*KEYS, F.trim("text").alias("text"), F.lag("text").over(in_order()).alias("prev"), F.lead("text").over(in_order()).alias("next"))
-    df = df.where((F.length("text") >= 10) & ~S.bill_header_line("text")).withColumn("_bill", S.first("text", C.BILL_NO) != "")
+    df = settled(df.withColumn("_head", S.bill_header_line("text")).withColumn("_bill", S.first("text", C.BILL_NO) != ""), "length(text) >= 10 and not _head")
     got = _bill(df.where("_bill")).unionByName(after_id(_with_id(df.where("not _bill"), "text", C.ID), _after("text", C.ID), "eway_bill_gstin"))
     if boxes is None:
         return got
@@ -335,10 +336,11 @@ def parse_bills(lines: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
 
 def parse_generic(lines: DataFrame) -> DataFrame:
     """Strategy 7: any line with a plausible amount and a date, an identifier or a bill number."""
-    df = lines.select(*KEYS, F.trim("text").alias("text")).where((F.length("text") >= 15) & ~S.any_of(F.lower("text"), C.GENERIC_SKIP))
+    df = lines.select(*KEYS, F.trim("text").alias("text")).withColumn("_skip", S.any_of(F.lower("text"), C.GENERIC_SKIP))
+    df = settled(df, "length(text) >= 15 and not _skip")
     df = df.withColumn("_a", S.image_amounts("text")).withColumn("_id", S.strict_id("text")).withColumn("_n", F.size("_a"))
     step = Line(df, F.col("text")).put("INVOICE_NO", S.first("text", C.BILL_NO)).put("INVOICE_DATE", S.first("text", C.IMAGE_DATE))
-    step.df = step.df.where("_n > 0 and (INVOICE_DATE <> '' or _id <> '' or INVOICE_NO <> '')").withColumn("_fixed", S.repair_id("_id"))
+    step.df = settled(step.df, "_n > 0 and (INVOICE_DATE <> '' or _id <> '' or INVOICE_NO <> '')").withColumn("_fixed", S.repair_id("_id"))
     step.put("GSTIN", F.when(S.valid_id("_fixed"), F.col("_fixed")).otherwise(""))
     step.put("TAXABLE_VALUE", F.when(F.col("_n") >= 2, nth("_a", 0)).otherwise("")).put("IGST", F.when(F.col("_n") >= 3, nth("_a", 1)).otherwise(""))
     step.put("CGST", F.when(F.col("_n") >= 4, nth("_a", 2)).otherwise("")).put("SGST", F.when(F.col("_n") >= 4, nth("_a", 3)).otherwise(""))

@@ -11,6 +11,17 @@ from slateledger.functions import scalars as S
 KEYS = ["doc_id", "ord"]
 
 
+def settled(df: DataFrame, condition: Column | str) -> DataFrame:
+    """Rows that meet a condition on computed columns, which are computed once.
+
+    A plain filter would be pushed below the projection with the expressions of those columns in the place
+    of their names, and so every pattern would be matched twice. A row number that the condition reads
+    keeps it where it is.
+    """
+    cond = F.expr(condition) if isinstance(condition, str) else condition
+    return df.withColumn("_once", F.monotonically_increasing_id()).where(cond & (F.col("_once") >= 0)).drop("_once")
+
+
 class Line:
     """A line read from left to right: every step sets fields from what is left and cuts it down.
 
@@ -47,7 +58,7 @@ class Line:
 
     def records(self, confidence: float, source: str | Column, where: Column | None = None, fields: list[str] | None = None) -> DataFrame:
         """The record columns in order; fields never set have their defaults."""
-        df = self.df if where is None else self.df.where(where)
+        df = self.df if where is None else settled(self.df, where)
         cols = [F.col(f) if f in self.fields else F.lit(C.DEFAULTS.get(f, "")).alias(f) for f in fields or C.FIELDS]
         return df.select(*KEYS, *cols, F.lit(confidence).alias("_confidence"), (source if isinstance(source, Column) else F.lit(source)).alias("_source"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slateledger.functions import constants as C
+from slateledger.operators.records import settled
 
 TIES = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus"
 
@@ -63,7 +64,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(inv: DataFrame, layout: str) -> DataFrame:
     """(doc_id, page_no, ord, text) in one layout."""
-    return inv.select("doc_id", "page_no", "ord", F.expr(layouts(SPARK)[layout]).alias("text"))
+    return settled(inv.select("doc_id", "page_no", "ord", F.expr(layouts(SPARK)[layout]).alias("text")), F.lit(True))
 
 
 #: Documents in turn: statement lines, statement lines with their identifiers torn, bills, loose tables, two statement lines only.
@@ -72,7 +73,7 @@ _MIXED = """CASE doc_id % 5 WHEN 0 THEN {image} WHEN 1 THEN concat(substring({im
 
 
 def mixed(inv: DataFrame) -> DataFrame:
-    return inv.where("ord <= 12").select("doc_id", "page_no", "ord", F.expr(_MIXED.format(**layouts(SPARK))).alias("text"))
+    return settled(inv.where("ord <= 12").select("doc_id", "page_no", "ord", F.expr(_MIXED.format(**layouts(SPARK))).alias("text")), F.lit(True))
 
 
 def sql(layout: str | None = None) -> str:
