@@ -44,8 +44,8 @@ def cascade(lines: DataFrame, boxes: DataFrame | None = None, lazily: bool = Tru
     for each document, are written to the checkpoint folder between steps. Counts compared are before deduplication.
     With lazily=False all strategies run over all documents and the choice is made afterwards.
     """
-    if lazily:
-        lines = checkpointed(lines)
+    if lazily:  # read once; each strategy starts from what is written
+        lines, boxes = checkpointed(lines), boxes if boxes is None else checkpointed(boxes)
     state = document_formats(lines).select("doc_id", "fmt", F.lit(0).cast("long").alias("n"), F.lit("").alias("chosen"), F.lit(False).alias("open"))
     found = []
     for name, tried in ORDER:
