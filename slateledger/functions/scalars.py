@@ -243,8 +243,10 @@ def display_name(path: Column | str) -> Column:
 
 
 def sanitised(name: Column | str) -> Column:
-    """A file name of word characters, dots, spaces and dashes only."""
-    return F.trim(F.regexp_replace(col(name), r"[^\w.\s-]", "_"))
+    """A file name of word characters, dots and dashes only; a long one as the start of its stem and its suffix."""
+    safe = F.regexp_replace(col(name), r"[^\w.\-]", "_")
+    suffix = F.regexp_extract(safe, r"^.+(\.[^.]+)$", 1)
+    return F.when(F.length(safe) > 100, F.concat(F.substring(F.left(safe, F.length(safe) - F.length(suffix)), 1, 90), suffix)).otherwise(safe)
 
 
 def rupees(amount: Column | str) -> Column:

@@ -287,15 +287,17 @@ def row_clusters(boxes: DataFrame, reach: float = 20.0) -> DataFrame:
     """
     box = F.struct("yc", "pos", "xc", "text")
     ordered = boxes.where("trim(text) <> '' and xc is not null and yc is not null").withColumn("text", F.trim("text")).groupBy("doc_id").agg(F.array_sort(F.collect_list(box)).alias("b"))
-    start = F.struct(F.lit(0).alias("row"), F.lit(None).cast("double").alias("y"), F.array().cast("array<int>").alias("rows"))
+    begin = F.struct(F.lit(None).cast("double").alias("y"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
-        new = acc["y"].isNull() | (F.abs(x["yc"] - acc["y"]) >= reach)
-        row = acc["row"] + new.cast("int")
-        return F.struct(row.alias("row"), F.when(new, x["yc"]).otherwise(acc["y"]).alias("y"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+        new = acc["y"].isNull() | (F.abs(x["y"] - acc["y"]) >= reach)
+        return F.when(new, F.struct(x["y"].alias("y"), F.concat(acc["starts"], F.array(x["i"])).alias("starts"))).otherwise(acc)
 
-    rows = ordered.withColumn("r", F.aggregate("b", start, step)["rows"]).select("doc_id", F.explode(F.arrays_zip("b", "r")).alias("z"))
-    return rows.groupBy("doc_id", F.col("z.r").cast("long").alias("ord")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z.b.xc", "z.b.yc", "z.b.pos", "z.b.text"))), lambda x: x["text"]), " ").alias("text"))
+    heights = F.transform("b", lambda x, i: F.struct(x["yc"].alias("y"), i.alias("i")))  # only rows' first boxes are gathered
+    placed = ordered.select("doc_id", F.aggregate(heights, begin, step)["starts"].alias("s"), "b").select("doc_id", "s", F.posexplode("b").alias("i", "z"))
+    row = F.sum(F.array_contains("s", F.col("i")).cast("long")).over(Window.partitionBy("doc_id").orderBy("i"))
+    rows = placed.select("doc_id", "z", row.alias("ord"))
+    return rows.groupBy("doc_id", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z.xc", "z.yc", "z.pos", "z.text"))), lambda x: x["text"]), " ").alias("text"))
 
 
 def parse_columns(boxes: DataFrame) -> DataFrame:
@@ -349,12 +351,33 @@ def parse_generic(lines: DataFrame) -> DataFrame:
     return step.records(C.CONFIDENCE["generic"], "generic_table", kept)
 
 
-def emergency(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text): the i-th identifier with the i-th date and amounts 2i and 2i + 1."""
-    found = docs.select("doc_id", S.every("text", r"\b(\d{2}[A-Z0-9]{13})\b").alias("_g"), S.every("text", C.DATE).alias("_d"), no_commas(S.every("text", r"\b(\d+\.\d{1,2}|\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?)\b")).alias("_a"))
-    found = found.select("doc_id", F.posexplode("_g").alias("ord", "GSTIN"), "_d", "_a")  # the lists are found once a document
+PLAIN_ID = r"\b(\d{2}[A-Z0-9]{13})\b"
+PLAIN_AMOUNT = r"\b(\d+\.\d{1,2}|\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?)\b"
+
+
+def _paired(docs: DataFrame, found: Column, per_row: int) -> DataFrame:
+    """What was found in a document's text, each with the date and the amounts at its place."""
+    lists = docs.select("doc_id", found.alias("_g"), S.every("text", C.DATE).alias("_d"), no_commas(S.every("text", PLAIN_AMOUNT)).alias("_a"))
+    rows = lists.select("doc_id", F.posexplode("_g").alias("ord", "_found"), "_d", "_a")  # the lists are found once a document
     at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
-    step = Line(found, F.lit(""))
-    step.fields.append("GSTIN")
-    step.put("INVOICE_NO", F.concat(F.lit("UNKNOWN-"), (F.col("ord") + 1).cast("string"))).put("INVOICE_DATE", at("_d", F.col("ord"))).put("INVOICE_VALUE", at("_a", F.col("ord") * 2)).put("TAXABLE_VALUE", at("_a", F.col("ord") * 2 + 1)).put("SOURCE", "image_regex_fallback")
-    return step.records(C.CONFIDENCE["emergency"], "image_emergency_regex")
+    second = at("_a", F.col("ord") * per_row + 1) if per_row > 1 else F.lit("")
+    return rows.select("doc_id", F.col("ord").cast("long").alias("ord"), "_found", at("_d", F.col("ord")).alias("INVOICE_DATE"), at("_a", F.col("ord") * per_row).alias("INVOICE_VALUE"), second.alias("TAXABLE_VALUE"))
+
+
+def _bare(rows: DataFrame, gstin: Column, invoice: Column, confidence: float, source: str, label: str) -> DataFrame:
+    step = Line(rows, F.lit(""))
+    step.fields += ["INVOICE_DATE", "INVOICE_VALUE", "TAXABLE_VALUE"]
+    return step.put("GSTIN", gstin).put("INVOICE_NO", invoice).put("SOURCE", source).records(confidence, label)
+
+
+def emergency(docs: DataFrame, source: str = "image_regex_fallback", label: str = "image_emergency_regex") -> DataFrame:
+    """docs (doc_id, text): the i-th identifier with the i-th date and amounts 2i and 2i + 1."""
+    rows = _paired(docs, S.every("text", PLAIN_ID), 2)
+    return _bare(rows, F.col("_found"), F.concat(F.lit("UNKNOWN-"), (F.col("ord") + 1).cast("string")), C.CONFIDENCE["emergency"], source, label)
+
+
+def emergency_with_bills(docs: DataFrame) -> DataFrame:
+    """The same; documents without an identifier by their bill numbers, each with the date and amount at its place."""
+    known = F.size(S.every("text", PLAIN_ID)) > 0
+    bills = _paired(docs.where(~known), S.every("text", C.BILL_NO), 1)
+    return emergency(docs, "regex_fallback", "emergency_regex_fallback").unionByName(_bare(bills, F.lit(""), F.col("_found"), 0.25, "eway_bill_fallback", "emergency_ewb_fallback"))

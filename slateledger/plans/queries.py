@@ -205,7 +205,7 @@ def q_file_number(spark, d):
 _UUID = "concat('/up/9982a939-eca1-48dd-bce6-010bf8dee05d_doc ', CAST(doc_id AS STRING), '#.v2.pdf')"
 
 
-@query("q_display_name", "SELECT doc_id, concat('doc ', CAST(doc_id AS STRING), '#.v2') AS display, concat('doc ', CAST(doc_id AS STRING), '_.v2') AS clean FROM documents")
+@query("q_display_name", "SELECT doc_id, concat('doc ', CAST(doc_id AS STRING), '#.v2') AS display, concat('doc_', CAST(doc_id AS STRING), '_.v2') AS clean FROM documents")
 def q_display_name(spark, d):
     return read(spark, d, "documents").select("doc_id", S.display_name(F.expr(_UUID)).alias("display"), S.sanitised(S.display_name(F.expr(_UUID))).alias("clean"))
 
@@ -290,6 +290,9 @@ def q_zip_groups(spark, d):
 on_lines("q_emergency_fallback", "image", lambda li: parse.emergency(parse.document_text(li)).select("doc_id", F.col("ord").cast("long").alias("ord"), "GSTIN", "INVOICE_NO", "INVOICE_DATE", "INVOICE_VALUE", "TAXABLE_VALUE"), f"{render.sql('image')}, {_TEXT}, e AS (SELECT doc_id, {O.every('text', chr(92) + 'b(' + chr(92) + 'd{2}[A-Z0-9]{13})' + chr(92) + 'b')} AS g, {O.every('text', C.DATE)} AS d, {O.every('text', r'\b(\d+\.\d{1,2}|\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?)\b')} AS a FROM dt) SELECT doc_id, i - 1 AS ord, g[i] AS GSTIN, 'UNKNOWN-' || CAST(i AS STRING) AS INVOICE_NO, coalesce(d[i], '') AS INVOICE_DATE, coalesce(replace(a[2 * i - 1], ',', ''), '') AS INVOICE_VALUE, coalesce(replace(a[2 * i], ',', ''), '') AS TAXABLE_VALUE FROM e, unnest(range(1, len(g) + 1)) t(i)")
 
 
+on_lines("q_bill_fallback", "bill", lambda li: parse.emergency_with_bills(parse.document_text(li.select("doc_id", "ord", F.expr("CASE WHEN doc_id % 2 = 0 THEN text ELSE substring(text, 1, 60) END").alias("text")))).select("doc_id", "ord", "GSTIN", "INVOICE_NO", "SOURCE", "_confidence"), f"{render.sql('bill')} SELECT doc_id, ord - 1 AS ord, CASE WHEN doc_id % 2 = 0 THEN {O.first('text', C.ID)} ELSE '' END AS GSTIN, CASE WHEN doc_id % 2 = 0 THEN 'UNKNOWN-' || CAST(ord AS STRING) ELSE {O.first('text', C.BILL_NO)} END AS INVOICE_NO, CASE WHEN doc_id % 2 = 0 THEN 'regex_fallback' ELSE 'eway_bill_fallback' END AS SOURCE, CAST(CASE WHEN doc_id % 2 = 0 THEN 0.3 ELSE 0.25 END AS DOUBLE) AS _confidence FROM li")
+
+
 # ------------------------------------------------------------------ cascade
 
 @query("q_cascade")

@@ -37,6 +37,8 @@ def text(s):
         (S.place_contained, "to the goat market", "Goa"),
         (S.place_contained, "nowhere", ""),
         (S.display_name, "/a/9982a939-eca1-48dd-bce6-010bf8dee05d_June.v2.pdf", "June.v2"),
+        (S.sanitised, "a b#c.pdf", "a_b_c.pdf"),
+        (S.sanitised, "x" * 120 + ".pdf", "x" * 90 + ".pdf"),
         (S.norm_id, " 29abcde 1234f1z5x", "29ABCDE1234F1Z5"),
         (S.norm_amount, "1,180.50 ", 1180.5),
         (S.norm_amount, "n/a", 0.0),
