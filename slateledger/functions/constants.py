@@ -12,6 +12,13 @@ FIELDS = [
 NUMERIC = ["INVOICE_VALUE", "TAX_RATE", "TAXABLE_VALUE", "IGST", "CGST", "SGST", "CESS"]
 AMOUNTS = ["INVOICE_VALUE", "TAXABLE_VALUE", "IGST", "CGST", "SGST", "CESS"]
 
+# The fields' names on a sheet.
+TITLES = [
+    "GSTIN of Supplier", "Trade / Legal Name", "Invoice Number", "Invoice Type", "Invoice Date", "Invoice Value (₹)", "Place of Supply", "Reverse Charge", "Tax Rate (%)",
+    "Taxable Value (₹)", "IGST (₹)", "CGST (₹)", "SGST / UTGST (₹)", "CESS (₹)", "GSTR-1 Filing Status", "GSTR-1 Filing Date", "GSTR-1 Period", "GSTR-3B Filing Status",
+    "Amendment", "Tax Period Amended", "Cancellation Date", "Source", "IRN", "IRN Date",
+]
+
 # Defaults of fields that are not blank.
 DEFAULTS = {"INVOICE_TYPE": "R", "REVERSE_CHARGE": "N", "AMENDMENT": "N", "TAX_PERIOD_AMENDED": "N/A", "CANCEL_DATE": "N/A", "SOURCE": "Unknown", "IRN": "N/A", "IRN_DATE": "N/A"}
 

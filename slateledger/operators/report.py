@@ -28,14 +28,17 @@ def summary(records: DataFrame) -> DataFrame:
 SHEET = [
     ("Total Invoice Records", "records", "Rows extracted"), ("Unique Suppliers", "suppliers", "Distinct GSTINs"), ("Total Invoice Value", "invoice_value", "Sum of all invoices"),
     ("Total Taxable Value", "taxable_value", "Taxable amount"), ("Total IGST", "igst", "Integrated GST"), ("Total CGST", "cgst", "Central GST"),
-    ("Total SGST/UTGST", "sgst", "State/UT GST"), ("Total CESS", "cess", "Cess amount"), ("Total Tax", "tax", "All taxes"),
+    ("Total SGST/UTGST", "sgst", "State/UT GST"), ("Total CESS", "cess", "Cess amount"), ("Total Tax Collected", "tax", "IGST+CGST+SGST+CESS"), ("Source Types", "sources", "E-Invoice/GSTR-1/Manual..."), ("OCR Accuracy", "accuracy", "Average confidence"),
 ]
 
 
 def summary_sheet(records: DataFrame) -> DataFrame:
     """(pos, metric, value, note): the summary as rows of text."""
-    row = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(m).alias("metric"), (F.col(c).cast("string") if c in ("records", "suppliers") else S.rupees(c)).alias("value"), F.lit(n).alias("note")) for i, (m, c, n) in enumerate(SHEET)]))
-    return summary(records).select(row.alias("r")).select("r.*")
+    cell = lambda c: F.col(c).cast("string") if c in ("records", "suppliers") else F.col(c) if c in ("sources", "accuracy") else S.rupees(c)
+    sources = source_counts(records).agg(F.coalesce(F.max("rendered"), F.lit("—")).alias("sources"))
+    row = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(m).alias("metric"), cell(c).alias("value"), F.lit(n).alias("note")) for i, (m, c, n) in enumerate(SHEET)]))
+    whole = summary(records).withColumn("accuracy", F.format_string("%.1f%%", "confidence")).crossJoin(F.broadcast(sources))  # one row each
+    return whole.select(row.alias("r")).select("r.*")
 
 
 def source_counts(records: DataFrame) -> DataFrame:

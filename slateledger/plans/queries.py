@@ -263,9 +263,11 @@ on_records("q_totals", report.totals, "SELECT " + ", ".join(f"{_SUM(f)} AS {f}"
 _SUMMARY = "SELECT count(*) AS records, count(DISTINCT GSTIN) AS suppliers, " + ", ".join(f"{_SUM(f)} AS {f.lower()}" for f in C.AMOUNTS) + f", avg(coalesce(TRY_CAST(_confidence AS DOUBLE), 0)) * 100 AS confidence, {_SUM('IGST')} + {_SUM('CGST')} + {_SUM('SGST')} + {_SUM('CESS')} AS tax FROM r"
 on_records("q_summary_totals", report.summary, _SUMMARY)
 _RUPEES = lambda f: f"CASE WHEN {f} = 0 THEN '₹0.00' ELSE '₹' || format('{{:,.2f}}', CAST({f} AS DOUBLE)) END"
-on_records("q_summary_sheet", report.summary_sheet, f", s AS ({_SUMMARY}) " + " UNION ALL ".join(f"SELECT {i} AS pos, {O.lit(m)} AS metric, {f'CAST({c} AS STRING)' if c in ('records', 'suppliers') else _RUPEES(c)} AS value, {O.lit(n)} AS note FROM s" for i, (m, c, n) in enumerate(report.SHEET)))
+_SOURCES = "c AS (SELECT SOURCE, count(*) AS n, min(doc_id * 100000 + ord) AS f FROM r GROUP BY SOURCE)"
+_SHOWN = {"records": "CAST(records AS STRING)", "suppliers": "CAST(suppliers AS STRING)", "sources": "(SELECT string_agg(SOURCE || ':' || CAST(n AS STRING), ', ' ORDER BY n DESC, f) FROM c)", "accuracy": "format('{:.1f}%', confidence)"}
+on_records("q_summary_sheet", report.summary_sheet, f", {_SOURCES}, s AS ({_SUMMARY}) " + " UNION ALL ".join(f"SELECT {i} AS pos, {O.lit(m)} AS metric, {_SHOWN.get(c) or _RUPEES(c)} AS value, {O.lit(n)} AS note FROM s" for i, (m, c, n) in enumerate(report.SHEET)))
 on_records("q_unique_suppliers", lambda r: r.agg(F.count_distinct(F.coalesce("GSTIN", F.lit(""))).alias("suppliers")), "SELECT count(DISTINCT coalesce(GSTIN, '')) AS suppliers FROM r")
-on_records("q_source_counts", report.source_counts, ", c AS (SELECT SOURCE, count(*) AS n, min(doc_id * 100000 + ord) AS f FROM r GROUP BY SOURCE) SELECT SOURCE, n, (SELECT string_agg(SOURCE || ':' || CAST(n AS STRING), ', ' ORDER BY n DESC, f) FROM c) AS rendered FROM c")
+on_records("q_source_counts", report.source_counts, f", {_SOURCES} SELECT SOURCE, n, (SELECT string_agg(SOURCE || ':' || CAST(n AS STRING), ', ' ORDER BY n DESC, f) FROM c) AS rendered FROM c")
 on_records("q_avg_confidence", lambda r: r.agg(F.avg(F.coalesce(F.col("_confidence").try_cast("double"), F.lit(0.0))).alias("confidence")), "SELECT avg(coalesce(TRY_CAST(_confidence AS DOUBLE), 0)) AS confidence FROM r")
 on_records("q_dedupe", lambda r: records.deduplicated(r).select("doc_id", "ord", "GSTIN", "INVOICE_NO"), "SELECT doc_id, ord, GSTIN, INVOICE_NO FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, GSTIN, INVOICE_NO ORDER BY ord) AS k FROM r) q WHERE k = 1 OR (GSTIN = '' AND INVOICE_NO = '')")
 on_records("q_prefix_limits", lambda r: r.withColumn("k", F.row_number().over(parse.in_order())).where("k <= 10").select("doc_id", "ord", F.substring(F.concat_ws(" ", "GSTIN", "TRADE_NAME", "INVOICE_VALUE"), 1, 2000).alias("sample")), "SELECT doc_id, ord, left(concat_ws(' ', GSTIN, TRADE_NAME, INVOICE_VALUE), 2000) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM r) q WHERE k <= 10")

@@ -22,7 +22,7 @@ def write_export(records: DataFrame, path: str, kind: str = "parquet", **options
     flatten(records).select(*C.FIELDS).write.mode("errorifexists").format(kind).options(**options).save(path)
 
 
-def workbook_name(path: str, stamp: str, job_id: str, prefix: str = "STATEMENT") -> F.Column:
+def workbook_name(path: str, stamp: str, job_id: str, prefix: str = "GST2A") -> F.Column:
     """<prefix>_<display name>_<time>_<first eight of the job>.xlsx"""
     return F.concat_ws("_", F.lit(prefix), S.display_name(F.lit(path)), F.lit(stamp), F.concat(F.substring(F.lit(job_id), 1, 8), F.lit(".xlsx")))
 
@@ -58,7 +58,7 @@ def write_workbook(records: DataFrame, path: str, title: str) -> int:
         z.writestr("xl/workbook.xml", '<?xml version="1.0" encoding="UTF-8"?>\n<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Data" sheetId="1" r:id="rId1"/><sheet name="Summary" sheetId="2" r:id="rId2"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0" encoding="UTF-8"?>\n<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet2.xml"/></Relationships>')
         with z.open("xl/worksheets/sheet1.xml", "w") as f:
-            f.write((head + panes + "<sheetData>" + row(1, [title]) + row(2, [f"{n} records"]) + row(3, C.FIELDS)).encode())
+            f.write((head + panes + "<sheetData>" + row(1, [title]) + row(2, [f"{n} records"]) + row(3, C.TITLES)).encode())
             for k, r in enumerate(flatten(records).orderBy("doc_id", "ord").select(*C.FIELDS).toLocalIterator(), 4):
                 f.write(row(k, r).encode())
             sums = [f"=SUM({_column(i)}4:{_column(i)}{n + 3})" if x in C.AMOUNTS else "TOTAL" if i == 0 else "" for i, x in enumerate(C.FIELDS)]
