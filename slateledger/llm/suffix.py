@@ -10,6 +10,7 @@ multiplicity above one or if its suffix shares WINDOW bytes with a neighbour in
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +29,19 @@ BATCH_BYTES = 1 << 20
 #: Strings are sorted in lots of about so many bytes. A minimizer with more of them is split by the bytes
 #: that its windows share, which keeps equal windows together.
 SORT_BYTES = 4 << 20
+#: The part of a memo among the answers.
+MEMO = -1
 PIECES = "part int, bid long, keys binary, tags binary, counts binary, spans binary, body binary"
 
 
 class Bytes:
     """A batch of documents as one array of bytes."""
 
-    def __init__(self, docs: list[bytes]):
+    def __init__(self, docs: list[bytes], hashed: bool = True):
         self.lens = np.array(list(map(len, docs)), np.int64)
         self.begin = np.r_[0, np.cumsum(self.lens)]
         self.flat = np.frombuffer(b"".join(docs), np.uint8)
-        self.hash = mix(np.arange(256, dtype=np.uint64), 5)[self.flat]
+        self.hash = mix(np.arange(256, dtype=np.uint64), 5)[self.flat] if hashed else None
 
     def windows(self, size: int) -> np.ndarray:
         left = np.repeat(self.begin[1:], self.lens) - np.arange(len(self.flat))
@@ -82,21 +85,28 @@ class Pieces:
             body.append(z.compress(b"".join(flat[s : s + n + window - 1].tobytes() for s, n in zip(self.one_first[own].tolist(), self.one_n[own].tolist(), strict=True))))
         return out | {"spans": spans, "body": body}
 
-    def repeated(self, part: list[int], bits: list[bytes]) -> np.ndarray:
-        """Starts of the repeated windows."""
-        a, yes = self.ask, np.zeros(int(self.one_n.sum()), bool)
-        at = np.r_[0, np.cumsum(self.one_n)]
-        for p, data in zip(part, bits, strict=True):
-            own = a.deal[a.bounds[p] : a.bounds[p + 1]]
-            got, done = np.unpackbits(np.frombuffer(data, np.uint8), count=int(self.one_n[own].sum()), bitorder="little").astype(bool), 0
-            for k in own.tolist():
-                yes[at[k] : at[k + 1]] = got[done : done + self.one_n[k]]
-                done += self.one_n[k]
-        hits = []
-        for k, (s, n) in enumerate(zip(a.start.tolist(), a.length.tolist(), strict=True)):
-            if (rel := np.flatnonzero(yes[at[k] : at[k + 1]])).size:
-                hits += [self.first[i] + rel for i in a.order[s : s + n].tolist()]
-        return np.concatenate(hits) if hits else np.zeros(0, np.int64)
+    def memo(self) -> bytes:
+        """What is needed to read the answers, so that nothing is searched for again."""
+        a = self.ask
+        arrays = (self.first, a.order, a.start, a.length, self.one_n, a.deal, a.bounds)
+        return zstandard.ZstdCompressor(1).compress(pickle.dumps([x.astype(np.int32) for x in arrays], protocol=5))
+
+
+def repeated_starts(memo: bytes, part: list[int], bits: list[bytes]) -> np.ndarray:
+    """Starts of the repeated windows of a batch, from the answers for its distinct pieces."""
+    first, order, start, length, span, deal, bounds = pickle.loads(zstandard.ZstdDecompressor().decompress(memo))
+    yes, at = np.zeros(int(span.sum()), bool), np.r_[0, np.cumsum(span)]
+    for p, data in zip(part, bits, strict=True):
+        own = deal[bounds[p] : bounds[p + 1]]
+        got, done = np.unpackbits(np.frombuffer(data, np.uint8), count=int(span[own].sum()), bitorder="little").astype(bool), 0
+        for k in own.tolist():
+            yes[at[k] : at[k + 1]] = got[done : done + span[k]]
+            done += span[k]
+    hits = []
+    for k, (s, n) in enumerate(zip(start.tolist(), length.tolist(), strict=True)):
+        if (rel := np.flatnonzero(yes[at[k] : at[k + 1]])).size:
+            hits += [first[i] + rel for i in order[s : s + n].tolist()]
+    return np.concatenate(hits) if hits else np.zeros(0, np.int64)
 
 
 def sort_shard(strings: list[bytes], spans: list[int], window: int) -> list[np.ndarray]:
@@ -195,6 +205,9 @@ def suffix_repeats(window: int, gram: int, sort_bytes: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
+                if not row["counts"]:  # a batch's memo, on its way back
+                    yield {"bid": [row["bid"]], "part": [MEMO], "bits": [row["body"]]}
+                    continue
                 asked.append((row["bid"], row["part"], shard.add(row, unz)))
         yes = shard.solve()
         for bid, part, ids in asked:
@@ -221,13 +234,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield Ask(sketch_keys(b.hash, b.windows(window), window, gram)[2], parts).rows(row["bid"])
 
     def ask_pieces(row: dict, part: list[int], bits: list[bytes]) -> dict:
-        return Pieces(row, parts, part, bits, window, gram).rows(row["bid"], window)
+        pieces = Pieces(row, parts, part, bits, window, gram)
+        out = pieces.rows(row["bid"], window)
+        memo = {"part": row["bid"] % parts, "bid": row["bid"], "body": pieces.memo()}
+        return {k: [*v, memo.get(k, b"")] for k, v in out.items()}
 
     def finish(row: dict, part: list[int], bits: list[bytes]) -> dict:
-        first, second = ([k for k, p in enumerate(part) if (p < 0) == late] for late in (False, True))
-        pieces = Pieces(row, parts, [part[k] for k in first], [bits[k] for k in first], window, gram)
-        b = pieces.bytes
-        hits = pieces.repeated([-1 - part[k] for k in second], [bits[k] for k in second])
+        b = Bytes(unpack(row), hashed=False)
+        told = [k for k, p in enumerate(part) if p != MEMO]
+        hits = repeated_starts(bits[part.index(MEMO)], [part[k] for k in told], [bits[k] for k in told])
         edge = np.zeros(len(b.flat) + 1, np.int32)
         np.add.at(edge, hits, 1)
         np.add.at(edge, hits + window, -1)
@@ -248,8 +263,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     estimated = arrow_map(asked, estimate_repeats, ANSWER)
     pieces = with_answers(batches, estimated, ask_pieces, PIECES).repartitionById(parts, F.col("part"))
     repeats = arrow_map(pieces, suffix_repeats(window, gram, sort_bytes), ANSWER)
-    answers = estimated.unionByName(repeats.withColumn("part", -1 - F.col("part")))
-    return with_answers(batches, answers, finish, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return with_answers(batches, repeats, finish, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op4_suffix_dedup(spark, sf_dir):
