@@ -19,7 +19,7 @@ def summary(records: DataFrame) -> DataFrame:
     sums = {f: F.coalesce(F.sum(S.money(f)), F.lit(0).cast("decimal(25,2)")) for f in C.AMOUNTS}
     got = records.agg(
         F.count("*").alias("records"), F.count_distinct(F.coalesce(S.flat("GSTIN"), F.lit(""))).alias("suppliers"), *[v.alias(f.lower()) for f, v in sums.items()],
-        F.coalesce(F.avg(F.coalesce(F.col("_confidence").try_cast("double"), F.lit(0.0))) * 100, F.lit(0.0)).alias("confidence"),
+        F.round(F.coalesce(F.avg(F.coalesce(F.col("_confidence").try_cast("double"), F.lit(0.0))) * 100, F.lit(0.0)), 6).alias("confidence"),
     )
     return got.withColumn("tax", F.col("igst") + F.col("cgst") + F.col("sgst") + F.col("cess"))
 

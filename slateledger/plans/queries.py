@@ -260,7 +260,7 @@ on_records("q_normalise_records", records.normalise, _NORM)
 on_records("q_flatten_values", lambda r: r.select("doc_id", "ord", S.flat("TRADE_NAME").alias("name"), records.unwrap(F.array("SOURCE")).alias("source"), records.unwrap(F.array().cast("array<string>")).alias("none")), f"SELECT doc_id, ord, {_FLAT('TRADE_NAME')} AS name, SOURCE AS source, '' AS none FROM r")
 on_records("q_export_rows", records.flatten, f"SELECT doc_id, ord, {', '.join(f'TRY_CAST({f} AS DOUBLE) AS {f}' if f in C.NUMERIC else f'{_FLAT(f)} AS {f}' for f in C.FIELDS)} FROM r")
 on_records("q_totals", report.totals, "SELECT " + ", ".join(f"{_SUM(f)} AS {f}" for f in C.AMOUNTS) + " FROM r")
-_SUMMARY = "SELECT count(*) AS records, count(DISTINCT GSTIN) AS suppliers, " + ", ".join(f"{_SUM(f)} AS {f.lower()}" for f in C.AMOUNTS) + f", avg(coalesce(TRY_CAST(_confidence AS DOUBLE), 0)) * 100 AS confidence, {_SUM('IGST')} + {_SUM('CGST')} + {_SUM('SGST')} + {_SUM('CESS')} AS tax FROM r"
+_SUMMARY = "SELECT count(*) AS records, count(DISTINCT GSTIN) AS suppliers, " + ", ".join(f"{_SUM(f)} AS {f.lower()}" for f in C.AMOUNTS) + f", round(avg(coalesce(TRY_CAST(_confidence AS DOUBLE), 0)) * 100, 6) AS confidence, {_SUM('IGST')} + {_SUM('CGST')} + {_SUM('SGST')} + {_SUM('CESS')} AS tax FROM r"
 on_records("q_summary_totals", report.summary, _SUMMARY)
 _RUPEES = lambda f: f"CASE WHEN {f} = 0 THEN '₹0.00' ELSE '₹' || format('{{:,.2f}}', CAST({f} AS DOUBLE)) END"
 _SOURCES = "c AS (SELECT SOURCE, count(*) AS n, min(doc_id * 100000 + ord) AS f FROM r GROUP BY SOURCE)"
@@ -268,7 +268,7 @@ _SHOWN = {"records": "CAST(records AS STRING)", "suppliers": "CAST(suppliers AS
 on_records("q_summary_sheet", report.summary_sheet, f", {_SOURCES}, s AS ({_SUMMARY}) " + " UNION ALL ".join(f"SELECT {i} AS pos, {O.lit(m)} AS metric, {_SHOWN.get(c) or _RUPEES(c)} AS value, {O.lit(n)} AS note FROM s" for i, (m, c, n) in enumerate(report.SHEET)))
 on_records("q_unique_suppliers", lambda r: r.agg(F.count_distinct(F.coalesce("GSTIN", F.lit(""))).alias("suppliers")), "SELECT count(DISTINCT coalesce(GSTIN, '')) AS suppliers FROM r")
 on_records("q_source_counts", report.source_counts, f", {_SOURCES} SELECT SOURCE, n, (SELECT string_agg(SOURCE || ':' || CAST(n AS STRING), ', ' ORDER BY n DESC, f) FROM c) AS rendered FROM c")
-on_records("q_avg_confidence", lambda r: r.agg(F.avg(F.coalesce(F.col("_confidence").try_cast("double"), F.lit(0.0))).alias("confidence")), "SELECT avg(coalesce(TRY_CAST(_confidence AS DOUBLE), 0)) AS confidence FROM r")
+on_records("q_avg_confidence", lambda r: r.agg(F.round(F.avg(F.coalesce(F.col("_confidence").try_cast("double"), F.lit(0.0))), 6).alias("confidence")), "SELECT round(avg(coalesce(TRY_CAST(_confidence AS DOUBLE), 0)), 6) AS confidence FROM r")
 on_records("q_dedupe", lambda r: records.deduplicated(r).select("doc_id", "ord", "GSTIN", "INVOICE_NO"), "SELECT doc_id, ord, GSTIN, INVOICE_NO FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, GSTIN, INVOICE_NO ORDER BY ord) AS k FROM r) q WHERE k = 1 OR (GSTIN = '' AND INVOICE_NO = '')")
 on_records("q_prefix_limits", lambda r: r.withColumn("k", F.row_number().over(parse.in_order())).where("k <= 10").select("doc_id", "ord", F.substring(F.concat_ws(" ", "GSTIN", "TRADE_NAME", "INVOICE_VALUE"), 1, 2000).alias("sample")), "SELECT doc_id, ord, left(concat_ws(' ', GSTIN, TRADE_NAME, INVOICE_VALUE), 2000) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM r) q WHERE k <= 10")
 on_records("q_correction_count", lambda r: report.corrections(r, records.normalise(r), ["doc_id", "ord"]), f", n AS ({_NORM}) SELECT r.doc_id, r.ord, CAST(r.INVOICE_VALUE <> n.INVOICE_VALUE AS INT) + CAST(r.PLACE_OF_SUPPLY <> n.PLACE_OF_SUPPLY AS INT) AS changed FROM r JOIN n USING (doc_id, ord)")
@@ -435,7 +435,7 @@ def _words(spark, d) -> DataFrame:
 
 
 query("q_word_lines", f"{_WSQL} SELECT * FROM ln")(lambda spark, d: ocr.word_lines(_words(spark, d)))
-query("q_page_stats", f"{_WSQL} SELECT doc_id, avg(conf) / 100 AS confidence, count(*) AS lines FROM ln GROUP BY doc_id")(lambda spark, d: ocr.page_stats(ocr.word_lines(_words(spark, d))))
+query("q_page_stats", f"{_WSQL} SELECT doc_id, round(avg(conf) / 100, 6) AS confidence, count(*) AS lines FROM ln GROUP BY doc_id")(lambda spark, d: ocr.page_stats(ocr.word_lines(_words(spark, d))))
 
 
 @query("q_variant_plan", "SELECT event_id, CASE WHEN value / 500 >= 0.75 THEN 2 WHEN value / 500 >= 0.45 THEN 4 ELSE 7 END AS variants FROM events")
