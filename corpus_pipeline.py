@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slateledger.llm import toxicity
-from slateledger.llm.common import scratch_dir, table
+from slateledger.llm.common import own_dir, table
 from slateledger.llm.decontam import decontaminate
 from slateledger.llm.exact import exact_dedup
 from slateledger.llm.packing import pack_sequences
@@ -67,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's result is written as Parquet and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), f"{own_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
 import math
-import os
 import tempfile
 import uuid
 import zipfile
@@ -58,20 +59,40 @@ def scratch_dir(spark: SparkSession) -> str:
 def save(df: DataFrame, **options: object) -> DataFrame:
     """Write df to a new folder of the shared place and read it again: the lineage ends there."""
     spark = df.sparkSession
-    to = f"{scratch_dir(spark)}/slateledger-{uuid.uuid4().hex}"
+    to = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.options(**options).parquet(to)
     out = spark.read.schema(df.schema).parquet(to)
     out._slateledger_path = to
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that save() made, when nothing will read it again."""
-    spark, to = df.sparkSession, df._slateledger_path
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared place; removed when the driver ends, or by clean()."""
+    sc = spark.sparkContext
+    to = f"{scratch_dir(spark)}/slateledger-{sc.applicationId}"
+    if not getattr(sc, "_slateledger_scratch", False):
+        sc._slateledger_scratch = True
+        atexit.register(clean, spark)
+    return to
+
+
+def remove(spark: SparkSession, to: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(to)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that weren't written yet are lost."""
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone at exit
+            remove(spark, f"{scratch_dir(spark)}/slateledger-{spark.sparkContext.applicationId}")
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that save() made, when nothing will read it again."""
+    remove(df.sparkSession, df._slateledger_path)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the input as the optimizer knows them (file sizes); by a count of bytes where it doesn't."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -135,7 +156,3 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def held_out(doc_id: str = "doc_id", mod: int = 5, rest: int = 0):
     """Whether crc32(doc_id as text) mod `mod` is `rest`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(mod) == F.lit(rest)
-
-
-def environment(name: str, default: str) -> str:
-    return os.environ.get(name, default)

@@ -19,6 +19,8 @@ from slateledger.llm.labelled import sample
 
 #: At most so many labelled rows are used for fitting.
 MOST_LABELLED = 8_000
+#: A document of more passages is fitted on so many means of neighbouring ones (scoring takes each passage).
+MOST_PASSAGES = 256
 #: Bytes of a passage; all of a text is in one.
 PASSAGE = 512
 HIDDEN, ATTENTION = 24, 12
@@ -63,6 +65,18 @@ def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return x, begin
 
 
+def pooled(x: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bags of at most MOST_PASSAGES vectors: means of equal shares of the longer ones."""
+    out = []
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        if b - a > MOST_PASSAGES:
+            cut = a + np.arange(MOST_PASSAGES) * (b - a) // MOST_PASSAGES
+            out.append(np.add.reduceat(x[:b], cut) / np.diff(np.r_[cut, b])[:, None])
+        else:
+            out.append(x[a:b])
+    return np.concatenate(out).astype(np.float32), np.r_[0, np.cumsum([len(v) for v in out])]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -151,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 x, begin = encode(as_bytes(part.column(1)))
-                x = x.astype(np.float32)
+                x, begin = pooled(x, begin)
                 yield {"id": part.column(0), "label": part.column(2), "x": [x[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]}
 
     got = sorted((r[0], r[1], bytes(r[2])) for r in arrow_map(rows.select(F.xxhash64("doc_id").alias("id"), "text", "label"), vectors, "id long, label int, x binary").toLocalIterator())

@@ -147,7 +147,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     A null or empty text has fingerprint zero and is linked like any other. Repeated rows give
-    repeated result rows; rows without an id take part, with a null id. component_id is the smallest
+    repeated result rows; rows without an id have the component of their fingerprint but link nothing by
+    themselves. component_id is the smallest
     doc_id reachable over links of at most 2 differing bits. An empty table gives an empty result.
     """
     src = texts(docs, id_col, text_col)
