@@ -256,12 +256,12 @@ def minimal(df: DataFrame, context: str) -> DataFrame:
 
 def token_windows(docs: DataFrame) -> DataFrame:
     """docs (doc_id, tokens): (doc_id, size, at, merged, context) for runs of 2, 3 and 4 tokens that collapse to 15 characters and more."""
-    n = F.size("tokens")
-    sized = docs.select("doc_id", "tokens", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("size")).where(n >= F.col("size"))
-    at = sized.select("doc_id", "tokens", "size", F.explode(F.sequence(F.lit(0), n - F.col("size"))).alias("at"))
-    part = lambda a, k: F.slice("tokens", a + 1, k)
-    lo = F.greatest(F.lit(0), F.col("at") - 2)
-    out = at.select("doc_id", "size", "at", F.regexp_replace(F.upper(F.array_join(part(F.col("at"), F.col("size")), "")), "[^A-Z0-9]", "").alias("merged"), F.array_join(part(lo, F.least(n, F.col("at") + F.col("size") + 8) - lo), " ").alias("context"))
+    word = docs.select("doc_id", F.posexplode("tokens").alias("at", "_t"))
+    near = word.select("doc_id", "at", F.collect_list("_t").over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(-2, 11)).alias("_near"))  # no row carries all tokens
+    before, size = F.least("at", F.lit(2)), F.col("size")
+    sized = near.select("doc_id", "at", "_near", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("size")).where(before + size <= F.size("_near"))
+    merged = F.regexp_replace(F.upper(F.array_join(F.slice("_near", before + 1, size), "")), "[^A-Z0-9]", "")
+    out = sized.select("doc_id", "size", "at", merged.alias("merged"), F.array_join(F.slice("_near", F.lit(1), before + size + 8), " ").alias("context"))
     return out.where("length(merged) >= 15")
 
 

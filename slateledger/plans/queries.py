@@ -307,9 +307,9 @@ _VALID = O.valid_id(O.first("text", C.ID))
 
 @query("q_cascade_choice", f"{render.sql('mixed')}, n AS (SELECT doc_id, count(*) AS lines, count(*) FILTER ({_VALID}) AS ids FROM li GROUP BY doc_id) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'lines' WHEN 2 THEN 'bills' ELSE 'blocks' END AS strategy FROM n WHERE lines = 12 AND ids >= 3 AND doc_id % 5 IN (0, 2, 3)")
 def q_cascade_choice(spark, d):
-    """Documents of twelve lines with at least three identifiers: what the cascade settles on."""
+    """What the cascade settles on for whole documents, of those whose first twelve lines have at least three identifiers."""
     li = render.mixed(render.invoices(spark, d))
-    full = li.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(S.valid_id(S.strict_id("text"))).alias("ids")).where("lines = 12 and ids >= 3 and doc_id % 5 in (0, 2, 3)").select("doc_id")
+    full = li.where("ord <= 12").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(S.valid_id(S.strict_id("text"))).alias("ids")).where("lines = 12 and ids >= 3 and doc_id % 5 in (0, 2, 3)").select("doc_id")
     return cascade_.cascade(li.join(full, "doc_id", "left_semi")).select("doc_id", "strategy").distinct()
 
 

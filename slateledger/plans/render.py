@@ -73,11 +73,11 @@ _MIXED = """CASE doc_id % 5 WHEN 0 THEN {image} WHEN 1 THEN concat(substring({im
 
 
 def mixed(inv: DataFrame) -> DataFrame:
-    return settled(inv.where("ord <= 12").select("doc_id", "page_no", "ord", F.expr(_MIXED.format(**layouts(SPARK))).alias("text")), F.lit(True))
+    return settled(inv.select("doc_id", "page_no", "ord", F.expr(_MIXED.format(**layouts(SPARK))).alias("text")), F.lit(True))
 
 
 def sql(layout: str | None = None) -> str:
-    """A WITH clause for the oracle: inv, and li (doc_id, page_no, ord, text) in a layout or mixed."""
+    """A WITH clause for the oracle: inv, and li (doc_id, page_no, ord, text) in a layout or mixed (here the first 12 lines only)."""
     base = f"WITH inv AS ({_base(**DUCK)})"
     if layout is None:
         return base
