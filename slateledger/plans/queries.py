@@ -63,7 +63,14 @@ def boxes(li: DataFrame) -> DataFrame:
 
 
 on_lines("q_row_cluster", "image", lambda li: parse.row_clusters(boxes(li)), f"{render.sql('image')} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS ord, regexp_replace(text, ' +', ' ', 'g') AS text FROM li")
-on_lines("q_ewb_boxes", "bill", lambda li: parse.parse_bills(li.where("ord = 1"), boxes(li)).groupBy("doc_id").agg(F.count("*").alias("n")), f"{render.sql('bill')} SELECT doc_id, count(*) AS n FROM li GROUP BY doc_id")
+
+
+def faded(li: DataFrame) -> DataFrame:
+    """Bill lines; of two documents in three the lines, in one of them from the third on, have lost bill number and identifier."""
+    return li.withColumn("text", F.expr("CASE WHEN doc_id % 3 = 0 OR (doc_id % 3 = 1 AND ord > 2) THEN substring(text, 14, length(text) - 29) ELSE text END"))
+
+
+on_lines("q_ewb_boxes", "bill", lambda li: parse.parse_bills(faded(li), boxes(li)).groupBy("doc_id").agg(F.count("*").alias("n")), f"{render.sql('bill')} SELECT doc_id, count(*) AS n FROM li GROUP BY doc_id")
 
 
 @query("q_parse_split")
@@ -178,7 +185,7 @@ on_lines("q_page_groups", "register", lambda li: parse.page_groups(pages(li).wit
 @query("q_stream_order_text")
 def q_stream_order_text(spark, d):
     """Characters of the lines, each a little off its line's height."""
-    li = render.lines(render.invoices(spark, d), "image").where("ord <= 20")
+    li = render.lines(render.invoices(spark, d), "image")
     ch = li.select("doc_id", "page_no", "ord", F.posexplode(F.split("text", "")).alias("at", "ch"))
     return ingest.stream_order(ch.select("doc_id", "page_no", (F.col("ord") * 1000 + F.col("at")).alias("pos"), "ch", (F.col("ord") * 12.0 + F.col("at") % 2).alias("top")))
 

@@ -50,3 +50,22 @@ def test_token_windows_of_short_lists(spark):
     docs = spark.createDataFrame([(d, ["29ABCDE1234F1Z5"] * d) for d in range(4)], "doc_id long, tokens array<string>")
     got = sorted((r.doc_id, r["size"], r["at"]) for r in parse.token_windows(docs).collect())
     assert got == [(2, 2, 0), (3, 2, 0), (3, 2, 1), (3, 3, 0)]
+
+
+def test_stream_order_takes_every_line(spark, sf):
+    assert count(QUERIES["q_stream_order_text"](spark, sf)) == count(render.invoices(spark, sf))
+
+
+def test_bills_and_boxes_are_whole(spark, sf, monkeypatch):
+    """Boxes win in two documents of three, where lines lost their numbers; no line is withheld."""
+    seen = []
+    real = parse.parse_bills
+    monkeypatch.setattr(parse, "parse_bills", lambda li, boxes: seen.append(li) or real(li, boxes))
+    got, inv = count_n(QUERIES["q_ewb_boxes"](spark, sf)), count(render.invoices(spark, sf))
+    assert got == inv and count(seen[0]) == inv
+    alone = count(real(seen[0]))
+    assert {d: alone.get(d, 0) for d in inv} == {d: (0, 2, n)[d % 3] for d, n in inv.items()}
+
+
+def count_n(df):
+    return {r.doc_id: r.n for r in df.collect()}
