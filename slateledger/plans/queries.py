@@ -52,7 +52,7 @@ on_lines("q_parse_blocks", "image", lambda li: parse.parse_blocks(li).drop("ord"
 on_lines("q_parse_anchored", "image", parse.parse_anchored, O.anchored(render.sql("image")))
 on_lines("q_parse_generic", "generic", parse.parse_generic, O.generic(render.sql("generic")))
 on_lines("q_parse_ewb", "bill", parse.parse_bills, O.bill(render.sql("bill")))
-on_lines("q_parse_reconstruct", "mixed", lambda li: parse.parse_rebuilt(li.where("doc_id % 5 = 1")))
+on_lines("q_parse_reconstruct", "mixed", parse.parse_rebuilt)
 on_lines("q_parse_colscan", "image", lambda li: parse.parse_columns(boxes(li)))
 
 
@@ -314,10 +314,10 @@ _VALID = O.valid_id(O.first("text", C.ID))
 
 @query("q_cascade_choice", f"{render.sql('mixed')}, n AS (SELECT doc_id, count(*) AS lines, count(*) FILTER ({_VALID}) AS ids FROM li GROUP BY doc_id) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'lines' WHEN 2 THEN 'bills' ELSE 'blocks' END AS strategy FROM n WHERE lines = 12 AND ids >= 3 AND doc_id % 5 IN (0, 2, 3)")
 def q_cascade_choice(spark, d):
-    """What the cascade settles on for whole documents, of those whose first twelve lines have at least three identifiers."""
+    """What the cascade over all documents settles on, for those that the SQL covers (q_cascade has the choice for every one)."""
     li = render.mixed(render.invoices(spark, d))
-    full = li.where("ord <= 12").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(S.valid_id(S.strict_id("text"))).alias("ids")).where("lines = 12 and ids >= 3 and doc_id % 5 in (0, 2, 3)").select("doc_id")
-    return cascade_.cascade(li.join(full, "doc_id", "left_semi")).select("doc_id", "strategy").distinct()
+    known = li.where("ord <= 12").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(S.valid_id(S.strict_id("text"))).alias("ids")).where("lines = 12 and ids >= 3 and doc_id % 5 in (0, 2, 3)").select("doc_id")
+    return cascade_.cascade(li).select("doc_id", "strategy").distinct().join(known, "doc_id", "left_semi")
 
 
 # ------------------------------------------------------------------ evaluation

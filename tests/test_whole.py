@@ -69,3 +69,37 @@ def test_bills_and_boxes_are_whole(spark, sf, monkeypatch):
 
 def count_n(df):
     return {r.doc_id: r.n for r in df.collect()}
+
+
+def rebuilt(texts):
+    """The identifiers of parse_rebuilt, plainly."""
+    tokens = [t for x in texts for t in re.split(r"\s+", x) if t]
+    joined = [re.sub("[^A-Z0-9]", "", "".join(tokens[i : i + k]).upper()) for k in (2, 3, 4) for i in range(len(tokens) - k + 1)]
+    joined = [j for j in joined if len(j) >= 15] + [re.sub(r"\s+", "", x) for x in texts]
+    out = []
+    for m in filter(None, (re.search(C.ID_COLLAPSED, j) for j in joined)):
+        g = m.group(1)
+        fix = lambda s, a, b: s.translate(str.maketrans(a, b))
+        g = g[:2] + fix(g[2:7], "018", "OIB") + fix(g[7:11], "OISZ", "0152") + fix(g[11], "01", "OI") + g[12] + fix(g[13], "27", "ZZ") + g[14]
+        if g[:2] in C.IMAGE_STATES and re.fullmatch(r".{2}[A-Za-z]{5}[0-9]{4}[A-Za-z].Z.", g):
+            out.append(g)
+    return sorted(out)
+
+
+def test_reconstruction_of_all_documents_equals_brute_force(spark, sf):
+    li, want = render.mixed(render.invoices(spark, sf)).where("doc_id < 5"), {}
+    for r in li.orderBy("doc_id", "ord").collect():
+        want.setdefault(r.doc_id, []).append(r.text)
+    got = {d: [] for d in want}
+    for r in QUERIES["q_parse_reconstruct"](spark, sf).where("doc_id < 5").select("doc_id", "GSTIN").collect():
+        got[r.doc_id].append(r.GSTIN)
+    assert {d: sorted(g) for d, g in got.items()} == {d: rebuilt(x) for d, x in want.items()}
+    assert min(map(len, got.values())) > 0
+
+
+def test_choice_runs_over_all_documents(spark, sf, monkeypatch):
+    seen = []
+    real = cascade.cascade
+    monkeypatch.setattr(cascade, "cascade", lambda li: seen.append(li) or real(li))
+    QUERIES["q_cascade_choice"](spark, sf)
+    assert count(seen[0]) == count(render.invoices(spark, sf))
