@@ -116,9 +116,26 @@ class Postings:
             mine = np.flatnonzero(number >= 0)
             self.count[number[mine]], self.first[number[mine]] = counts[mine], bounds[mine]
 
+        self.begin = np.r_[0, np.cumsum(self.lens + 1)]
+        self.known: dict[int, tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]] = {}
+
     def of(self, term: int) -> np.ndarray:
         return self.positions[self.first[term] : self.first[term] + self.count[term]]
 
+    def doc_of(self, term: int) -> np.ndarray:
+        """The document of each position."""
+        return self._documents(term)[0]
+
+    def docs(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        """The documents with the term, and how often each has it."""
+        return self._documents(term)[1]
+
+    def _documents(self, term: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        if term not in self.known:
+            of = np.searchsorted(self.begin, self.of(term), side="right") - 1
+            self.known[term] = of, np.unique(of, return_counts=True)
+        return self.known[term]
+
 
 def intersect(starts: np.ndarray, other: np.ndarray, offset: int) -> np.ndarray:
     """Of the sorted starts those s with s + offset in the other sorted list."""
@@ -138,24 +155,37 @@ def phrase(index: Postings, window: np.ndarray) -> np.ndarray:
     return starts
 
 
-def proximity(index: Postings, window: np.ndarray, slop: int) -> np.ndarray:
-    """Positions of the rarest term that have every other term of the window within its length + slop."""
-    order = np.argsort(index.count[window], kind="stable")
-    near, reach = index.of(window[order[0]]), len(window) + slop
-    for k in order[1:]:
-        if not len(near):
-            break
-        other = index.of(window[k])
-        at = np.searchsorted(other, near - reach)
-        at[at == len(other)] = len(other) - 1
-        near = near[np.abs(other[at] - near) <= reach]
-    return near
+def proximity(index: Postings, window: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, positions) of a document's rarest term of the window that have every other one within
+    the window's length + slop in the same document; what a document gives doesn't depend on its block."""
+    terms, reach = list(dict.fromkeys(window.tolist())), len(window) + slop
+    by_count = sorted(terms, key=index.count.__getitem__)
+    docs = index.docs(by_count[0])[0]
+    for t in by_count[1:]:
+        docs = docs[np.isin(docs, index.docs(t)[0], assume_unique=True)]
+        if not len(docs):
+            return docs, docs
+    number = [n[np.searchsorted(d, docs)] for d, n in map(index.docs, terms)]
+    rarest = np.argmin(number, axis=0)  # of equals the first in the window
+    every_doc, every_at = [], []
+    for k in np.unique(rarest).tolist():
+        of, at = index.doc_of(terms[k]), index.of(terms[k]).astype(np.int64)
+        own = np.isin(of, docs[rarest == k])
+        of, at = of[own], at[own]
+        for t in by_count:
+            other = index.of(t)
+            low, high = np.maximum(at - reach, index.begin[of]), np.minimum(at + reach, index.begin[of + 1] - 1)
+            near = np.searchsorted(other, low) < np.searchsorted(other, high, side="right")
+            of, at = of[near], at[near]
+        every_doc.append(of)
+        every_at.append(at)
+    return np.concatenate(every_doc), np.concatenate(every_at)
 
 
 def search_block(row: dict, queries: Queries, window: int, slop: int) -> list[tuple[int, np.ndarray, list[str], int]]:
     """For documents of a block with any match: (number in it, hit intervals, items, proximity matches)."""
     index = Postings(row, queries.terms)
-    begin = np.r_[0, np.cumsum(index.lens + 1)]
+    begin = index.begin
     held = np.where(queries.padded >= 0, index.count[queries.padded], 1)
     found: dict[int, tuple[list, set, int]] = {}
     for k in np.flatnonzero((held > 0).all(axis=1)):
@@ -165,11 +195,14 @@ def search_block(row: dict, queries: Queries, window: int, slop: int) -> list[tu
             spans, items, near = found.setdefault(d, ([], set(), 0))
             spans.append((s - begin[d], s - begin[d] + len(w)))
             items.update(queries.owners[k])
-        if slop and not len(starts):
-            at = proximity(index, w, slop)
-            for d in (np.searchsorted(begin, at, side="right") - 1).tolist():
+        if slop:
+            of, at = proximity(index, w, slop)
+            if len(starts):  # without those in exact matches
+                last = np.searchsorted(starts, at, side="right") - 1
+                of = of[(last < 0) | (at >= starts[last] + len(w))]
+            for d, n in zip(*(x.tolist() for x in np.unique(of, return_counts=True)), strict=True):
                 spans, items, near = found.setdefault(d, ([], set(), 0))
-                found[d] = (spans, items, near + 1)
+                found[d] = (spans, items, near + n)
     return [(d, np.array(spans, np.int64).reshape(-1, 2), sorted(items), near) for d, (spans, items, near) in found.items()]
 
 
