@@ -7,6 +7,7 @@ text are mapped back.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -176,14 +177,15 @@ def deobfuscate(text: str) -> Rewritten | None:
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
-    """(base spans, spans that deobfuscation adds); the added ones overlap no base span."""
+    """(base spans, spans that deobfuscation adds); no base span of an added one's kind covers all of it."""
     text = text or ""
     base, added = detect(text), []
     if (plain := deobfuscate(text)) is not None:
-        taken = sorted((a, b) for _, a, b in base)
+        own = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}  # of a kind: in order, apart
         for kind, a, b in detect(plain.text):
             a, b = plain.start[a], plain.end[b - 1]
-            if not any(x < b and a < y for x, y in taken):
+            at = bisect.bisect_right(own[kind], a, key=lambda s: s[0]) - 1
+            if at < 0 or own[kind][at][1] < b:
                 added.append((kind, a, b))
     return base, added
 
