@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from slateledger.llm.common import arrow_map, table, texts
 
 CAPACITY = 1024
-#: Remainders held before windows are filled; what the last windows of a task leave is cut to powers of two.
+#: Remainders held after windows were filled; twice as many are held before. What fills no window exactly is cut.
 POOL = 8192
 #: Words whose ids a task remembers; the memory is emptied when it is full, which changes no result.
 REMEMBERED = 800_000
@@ -155,7 +155,11 @@ class Packer:
             self.held += 1
 
     def fill(self, keep: int) -> None:
-        """Windows by minimum slack, each opened by the longest remainder, while more than keep are held."""
+        """Windows by minimum slack, each opened by the longest remainder, while more than keep are held.
+
+        What fills no window exactly is cut to full windows; less than a window of it is held on, or cut
+        to powers of two where nothing is kept. So no more than keep and a window's remainders stay.
+        """
         lengths = sorted(self.by_length, reverse=True)
         counts = {n: len(x) for n, x in self.by_length.items()}
         under: list[tuple] = []
@@ -180,17 +184,14 @@ class Packer:
                 else:
                     under += window
         self.by_length = {n: x for n, x in self.by_length.items() if x}
-        if keep:
-            for x in under:
-                self.by_length.setdefault(len(x[2]) // 4, []).append(x)
-            self.held += len(under)
-        else:
-            self.cut(under)
+        for x in self.cut(under, last=not keep):
+            self.by_length.setdefault(len(x[2]) // 4, []).append(x)
+            self.held += 1
 
-    def cut(self, pieces: list[tuple]) -> None:
-        """What fills no window exactly: windows filled by cutting, the last of them to powers of two."""
+    def cut(self, pieces: list[tuple], last: bool) -> list[tuple]:
+        """Windows filled by cutting; less than a window is given back, or the last are cut to powers of two."""
         left, total = list(reversed(pieces)), sum(len(x[2]) // 4 for x in pieces)
-        while left:
+        while left and (last or total >= self.capacity):
             room = self.capacity if total >= self.capacity else 1 << (total.bit_length() - 1)
             total -= room
             window = []
@@ -203,6 +204,7 @@ class Packer:
                 window.append((doc, start, ids, all_))
                 room -= n
             self.put(window)
+        return left
 
     def take(self) -> list[tuple]:
         rows, self.rows = self.rows, []
@@ -213,8 +215,9 @@ def pack_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and a terminating 0; a null or empty text is the terminator alone. Repeated
-    rows are packed once each, a null id is carried along. Every task packs its own documents, holding
-    at most POOL remainders; sequence_id is unique over all tasks. capacity is a power of two.
+    rows are packed once each, a null id is carried along; documents of one length that divides no window
+    are cut. Every task packs its own documents, holding at most 2 * POOL remainders and those of a window;
+    sequence_id is unique over all tasks. capacity is a power of two. An empty table gives an empty result.
     """
     src, path = texts(docs, id_col, text_col), vocabulary(tokenizer)
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -314,3 +314,27 @@ def test_empty_index_and_benchmark(spark, docs):
 
 def test_hash_is_the_contracts():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+@pytest.mark.parametrize("lengths", [[600], [1023, 513], [1, 1024, 2048], [700, 600, 333]])
+def test_packing_holds_a_bounded_pool(monkeypatch, lengths):
+    monkeypatch.setattr(packing, "POOL", 2000)
+    p, most, rows, n = packing.Packer(), 0, [], 50_000
+    for d in range(n):
+        k = lengths[d % len(lengths)]
+        p.add(d, np.arange(k, dtype="<u4").tobytes())
+        if p.held > 2 * packing.POOL:
+            p.fill(packing.POOL)
+        most = max(most, p.held)
+        rows += p.take()
+    p.fill(0)
+    rows += p.take()
+    assert most <= 2 * packing.POOL + 1
+    doc, start, length, _, total, seq, offset = (np.array(c) for c in zip(*rows))
+    at = np.lexsort((start, doc))  # every id in one piece
+    assert (start[at] == np.where(np.r_[True, doc[at][1:] != doc[at][:-1]], 0, np.r_[0, (start + length)[at][:-1]])).all()
+    assert np.bincount(doc, weights=length).tolist() == [lengths[d % len(lengths)] for d in range(n)]
+    at = np.lexsort((offset, seq))  # gapless
+    assert (offset[at] == np.where(np.r_[True, seq[at][1:] != seq[at][:-1]], 0, np.r_[0, (offset + length)[at][:-1]])).all()
+    size = np.bincount(seq, weights=length).astype(int)
+    assert all(x == 1024 or (x < 1024 and x & (x - 1) == 0) for x in size.tolist()) and (size < 1024).sum() <= 10
