@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of queue kept in memory; what comes on top of it is on disk.
-IN_MEMORY = 96 << 20
+IN_MEMORY = 16 << 20
 #: Names up to this many are sorted by induction again; beyond that there are too few suffixes to a name.
 MOST_BUCKETS = 600
 #: Tuples taken from the queue at once.

@@ -1,74 +1,113 @@
 """Repeated passages of words: a count-min prefilter, then exact groups of the windows left.
 
-Every window of WINDOW words is represented by its minimizer, the smallest hash among its runs of GRAM
-words (the leftmost on ties): equal windows have equal minimizers at equal offsets. Sketches count the
-minimizers' occurrences, so an estimate is never below the count of any window it stands for, and a
-window whose estimate is one is unique. The others are grouped by a 96-bit hash of all their words.
+Every batch of documents makes a sparse count-min sketch of its windows of WINDOW words: the cells that
+they touch, in ROWS_OF_COUNTERS rows, with how often. The table is cut into slices, one for each part;
+a part's task adds up what all batches have in its slice and tells each batch which of its cells are above
+one. Windows all of whose cells are have an estimate above one and go to the second pass, where they
+are grouped by 128 bits of the SHA-256 of their words. An estimate is never below a window's count.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slateledger.llm.common import arrow_map, as_bytes, blocks, input_bytes, mix, parts_for, runs, table, texts
+from slateledger.llm.common import arrow_map, as_bytes, input_bytes, mix, parts_for, table, texts
+from slateledger.llm.exchange import ANSWER, ASK, Ask, count_keys, packed, unpack, with_answers
 
-WINDOW, GRAM = 35, 8
-#: Text of one packed batch; a longer document is a batch of its own.
-BATCH_BYTES = 2 << 20
+WINDOW = 35
 ROWS_OF_COUNTERS = 2
+#: Counters of one slice in each row; the table has a slice for each part, so that its width follows the
+#: input (some eight counters a window).
+SLICE_BITS = 25
+SKETCH = "part int, bid long, row int, cells binary, more binary"
 
 
-class CountMin:
-    """Counters in ROWS_OF_COUNTERS rows; an estimate is the least of a key's counters.
+class Sketch:
+    """A batch's sparse count-min sketch: its distinct cells in each row and slice, and which occur more than once."""
 
-    A partition's sketch is sparse: its distinct keys and saturated counts, from which every row's
-    counters follow. Adding partitions gives the sketch of all their keys.
-    """
+    def __init__(self, windows: np.ndarray, parts: int, bits: int = SLICE_BITS):
+        self.parts, self.bits, cells = parts, bits, []
+        for r in range(ROWS_OF_COUNTERS):
+            h = mix(windows, 11 + r)
+            cells.append(((h % np.uint64(parts) + np.uint64(r * parts)) << np.uint64(bits)) | (h >> np.uint64(64 - bits)))
+        flat = np.concatenate(cells)
+        order = np.argsort(flat)
+        cell = flat[order]
+        new = np.r_[np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1]]
+        start = np.flatnonzero(new)
+        self.of = np.empty(len(flat), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.cell, self.more = cell[start], np.diff(np.r_[start, len(cell)]) > 1
+        self.bounds = np.searchsorted(self.cell >> np.uint64(bits), np.arange(ROWS_OF_COUNTERS * parts + 1, dtype=np.uint64))
 
-    def __init__(self, bits: int):
-        self.bits, self.rows = bits, np.zeros((ROWS_OF_COUNTERS, 1 << bits), np.uint32)
+    def rows(self, bid: int) -> dict:
+        """Cells as differences, byte plane by byte plane, which a shuffle's compression makes short."""
+        full = np.flatnonzero(np.diff(self.bounds)).tolist()
+        own = [slice(self.bounds[p], self.bounds[p + 1]) for p in full]
+        low = (self.cell & np.uint64((1 << self.bits) - 1)).astype(np.uint32)
+        return {
+            "part": [p % self.parts for p in full], "bid": [bid] * len(full), "row": [p // self.parts for p in full],
+            "cells": [np.ascontiguousarray(np.diff(low[s], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T).tobytes() for s in own],
+            "more": [np.packbits(self.more[s], bitorder="little").tobytes() for s in own],
+        }
+
+    def repeated(self, part: list[int], bits: list[bytes]) -> np.ndarray:
+        """Whether each window's estimate is above one; part is that of the slice, row by row."""
+        yes = np.zeros(len(self.cell), bool)
+        for p, b in zip(part, bits, strict=True):
+            own = slice(self.bounds[p], self.bounds[p + 1])
+            yes[own] = np.unpackbits(np.frombuffer(b, np.uint8), count=own.stop - own.start, bitorder="little")
+        return np.logical_and.reduce(yes[self.of].reshape(ROWS_OF_COUNTERS, -1), axis=0)
 
-    def cells(self, keys: np.ndarray, row: int) -> np.ndarray:
-        return (mix(keys, 11 + row) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        for r in range(ROWS_OF_COUNTERS):
-            self.rows[r] += np.bincount(self.cells(keys, r), weights=counts, minlength=1 << self.bits).astype(np.uint32)
+class Counters:
+    """One slice of one row of the table; sketches are added cell by cell, counts stay at 255 beyond it."""
 
-    def estimate(self, keys: np.ndarray) -> np.ndarray:
-        return np.minimum.reduce([self.rows[r][self.cells(keys, r)] for r in range(ROWS_OF_COUNTERS)])
+    def __init__(self, bits: int = SLICE_BITS):
+        self.n = np.zeros(1 << bits, np.uint8)
 
+    @staticmethod
+    def read(cells: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
+        diff = np.ascontiguousarray(np.frombuffer(cells, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
+        return np.cumsum(diff, dtype=np.uint32), np.unpackbits(np.frombuffer(more, np.uint8), count=len(diff), bitorder="little")
 
-def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
-    """Minimum over every run of `size` elements, by doubling."""
-    have = 1
-    while 2 * have <= size:
-        x = np.minimum(x[:-have], x[have:])
-        have *= 2
-    return np.minimum(x[: len(x) - (size - have)], x[size - have :]) if have < size else x
+    def add(self, cells: bytes, more: bytes) -> None:
+        at, twice = self.read(cells, more)
+        had = self.n[at]
+        self.n[at] = had + np.minimum(1 + twice, 255 - had)
 
+    def above_one(self, cells: bytes, more: bytes) -> bytes:
+        return np.packbits(self.n[self.read(cells, more)[0]] > 1, bitorder="little").tobytes()
 
-def minimizers(gram: np.ndarray, per_window: int) -> np.ndarray:
-    """For every window of per_window grams the position of its leftmost smallest gram."""
-    low = np.uint64((1 << 28) - 1)
-    return (sliding_min((gram & ~low) | np.arange(len(gram), dtype=np.uint64), per_window) & low).astype(np.int64)
 
+def add_sketches(parts: int):
+    """Answers (bid, part of the row and slice, bits) to all batches with cells in this slice."""
 
-_B1, _B2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        for k in range(ROWS_OF_COUNTERS):
+            for p in sorted({r["part"] for r in rows}):
+                own, table_ = [r for r in rows if r["row"] == k and r["part"] == p], Counters()
+                for r in own:
+                    table_.add(r["cells"], r["more"])
+                yield {"bid": [r["bid"] for r in own], "part": [k * parts + p] * len(own), "bits": [table_.above_one(r["cells"], r["more"]) for r in own]}
+
+    return run
+
+
+_B1 = 0xD6E8FEB86659FD93
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
-    out[0] = 1
+    out[:1] = 1
     done, step = 1, base
     with np.errstate(over="ignore"):
         while done < n:
@@ -78,171 +117,70 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def rolling(values: np.ndarray, sizes: tuple[int, ...], base: int = _B1) -> list[np.ndarray]:
-    """Polynomial hashes of all runs of each size, mixed."""
-    out = []
+def rolling(values: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hashes of all runs of `size` values, mixed. Equal runs have equal hashes; unequal ones may,
+    so that nothing but a prefilter may rest on them."""
+    if len(values) < size:
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         prefix = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * _powers(base, len(values)), out=prefix[1:])
-        back = _powers(pow(base, -1, 2**64), len(values)) if len(values) else prefix
-        for n in sizes:
-            out.append(mix((prefix[n:] - prefix[:-n]) * back[: len(values) - n + 1]) if len(values) >= n else prefix[:0])
-    return out
+        np.cumsum(values * _powers(_B1, len(values)), out=prefix[1:])
+        return mix((prefix[size:] - prefix[:-size]) * _powers(pow(_B1, -1, 2**64), len(values))[: len(values) - size + 1])
 
 
 class Words:
-    """A batch of documents as one array of word hashes; valid: window starts that lie in one document."""
+    """A batch of documents as one buffer of words joined by spaces, with an array of word hashes."""
 
-    def __init__(self, docs: list[bytes | None]):
+    def __init__(self, docs: list[bytes]):
         number: dict[bytes, int] = {}
-        get, ids, self.words = number.setdefault, [], []
+        get, ids, joined = number.setdefault, [], []
         for d in docs:
-            ws = (d or b"").split()
+            ws = d.split()
             ids.append(np.fromiter((get(w, len(number)) for w in ws), np.int32, len(ws)))
+            if ws:
+                joined.append(b" ".join(ws))
         self.lens = np.array(list(map(len, ids)), np.int64)
         self.begin = np.r_[0, np.cumsum(self.lens)]
+        self.text, at = b" ".join(joined), np.concatenate(ids) if ids else np.zeros(0, np.int32)
         h = xxhash.xxh3_64_intdigest
-        self.hash = np.array([h(w) for w in number], np.uint64)[np.concatenate(ids)] if number else np.zeros(0, np.uint64)
+        self.hash = np.array([h(w) for w in number], np.uint64)[at]
+        size = np.array(list(map(len, number)), np.int64)[at]
+        self.to = np.cumsum(size + 1) - 1  # where each word ends in the buffer
+        self.from_ = self.to - size
 
     def windows(self, size: int) -> np.ndarray:
-        """Starts of all windows of `size` items within one document."""
+        """Starts of all windows of `size` words within one document."""
         left = np.repeat(self.begin[1:], self.lens) - np.arange(len(self.hash))
         return np.flatnonzero(left >= size)
 
-
-def sketch_keys(hashes: np.ndarray, starts: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The minimizer position of each window, the distinct positions, and the hashes of the grams there."""
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = rolling(hashes, (gram,))[0]
-    at = minimizers(grams, size - gram + 1)[starts]
-    places = at[np.r_[True, at[1:] != at[:-1]]]
-    return at, places, grams[places]
-
-
-class Ask:
-    """A batch's distinct keys dealt to parts, in an order that the answer's bits follow."""
-
-    def __init__(self, keys: np.ndarray, parts: int, tag: np.ndarray | None = None):
-        self.order = np.argsort(keys, kind="stable") if tag is None else np.lexsort((tag, keys))
-        k = keys[self.order]
-        same = k[1:] != k[:-1]
-        if tag is not None:
-            same |= tag[self.order][1:] != tag[self.order][:-1]
-        self.start = np.flatnonzero(np.r_[np.ones(min(1, len(k)), bool), same])
-        self.length = np.diff(np.r_[self.start, len(k)])
-        self.keys, self.tags = k[self.start], None if tag is None else tag[self.order][self.start]
-        self.counts = np.minimum(self.length, 2).astype(np.uint8)
-        self.deal, self.bounds = blocks((mix(self.keys, 7) % np.uint64(parts)).astype(np.int32), parts)
-        self.parts = parts
-
-    def rows(self, bid: int) -> dict:
-        full = [p for p in range(self.parts) if self.bounds[p + 1] > self.bounds[p]]
-        cut = lambda x: [x[self.deal[self.bounds[p] : self.bounds[p + 1]]].tobytes() for p in full]
-        return {"part": full, "bid": [bid] * len(full), "keys": cut(self.keys), "tags": cut(self.tags) if self.tags is not None else [b""] * len(full), "counts": cut(self.counts)}
-
-    def answer(self, part: list[int], bits: list[bytes]) -> np.ndarray:
-        """For every key as given: whether it is repeated."""
-        yes = np.zeros(len(self.keys), bool)
-        for p, b in zip(part, bits, strict=True):
-            at = self.deal[self.bounds[p] : self.bounds[p + 1]]
-            yes[at] = np.unpackbits(np.frombuffer(b, np.uint8), count=len(at), bitorder="little").astype(bool)
-        out = np.zeros(len(self.order), bool)
-        out[self.order] = np.repeat(yes, self.length)
+    def digests(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """128 bits of the SHA-256 of each window's words, as two numbers."""
+        view, sha = memoryview(self.text), hashlib.sha256
+        spans = zip(self.from_[starts].tolist(), self.to[starts + size - 1].tolist(), strict=True)
+        return np.frombuffer(b"".join([sha(view[a:b]).digest()[:16] for a, b in spans]), np.uint64).reshape(-1, 2)
+
+    def kept(self, gone: np.ndarray) -> list[bytes]:
+        """Each document's words that aren't gone, joined by one space."""
+        out = []
+        for a, b in zip(self.begin[:-1].tolist(), self.begin[1:].tolist(), strict=True):
+            g = gone[a:b]
+            if g.any():
+                turn = np.flatnonzero(np.diff(np.r_[True, g, True])) + a
+                out.append(b" ".join([self.text[self.from_[s] : self.to[e - 1]] for s, e in turn.reshape(-1, 2).tolist()]))
+            else:
+                out.append(self.text[self.from_[a] : self.to[b - 1]] if b > a else b"")
         return out
 
 
-ASK = "part int, bid long, keys binary, tags binary, counts binary"
-ANSWER = "bid long, part int, bits binary"
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[list[int], list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
-    rows = [b.to_pydict() for b in batches]
-    part, bid = ([x for r in rows for x in r[c]] for c in ("part", "bid"))
-    counts = [x for r in rows for x in r["counts"]]
-    join = lambda c, t: np.frombuffer(b"".join(x for r in rows for x in r[c]), t)
-    return part, bid, list(map(len, counts)), join("keys", np.uint64), join("tags", np.uint32), np.frombuffer(b"".join(counts), np.uint8)
-
-
-def _answers(part: list[int], bid: list[int], sizes: list[int], yes: np.ndarray) -> dict:
-    at, bits = 0, []
-    for n in sizes:
-        bits.append(np.packbits(yes[at : at + n], bitorder="little").tobytes())
-        at += n
-    return {"bid": bid, "part": part, "bits": bits}
-
+def cover(n: int, starts: np.ndarray, size: int) -> np.ndarray:
+    """Which of n items lie in a window of `size` items at one of the starts."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + size, -1)
+    return np.cumsum(edge)[:-1] > 0
 
-def estimate_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Merge the partitions' sketches of a share of the keys; tell each batch which it should keep."""
-    part, bid, sizes, keys, _, counts = _gather(batches)
-    if len(keys):
-        sketch = CountMin(max(10, int(len(keys)).bit_length() + 2))
-        sketch.add(keys, counts)
-        yield _answers(part, bid, sizes, sketch.estimate(keys) > 1)
 
-
-def exact_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Group windows by their whole hash: those with another start anywhere."""
-    part, bid, sizes, keys, tags, counts = _gather(batches)
-    if len(keys):
-        order = np.lexsort((tags, keys))
-        k, t = keys[order], tags[order]
-        first = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])]
-        start = np.flatnonzero(first)
-        total = np.add.reduceat(counts[order].astype(np.int64), start)
-        yes = np.zeros(len(keys), bool)
-        yes[order] = np.repeat(total > 1, np.diff(np.r_[start, len(k)]))
-        yield _answers(part, bid, sizes, yes)
-
-
-def packed(src: DataFrame, parts: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Documents in batches: one row (bid, ids, lens, body) of compressed text; bid is set by the input's
-    own partitions, and rows are dealt by bid so that every later step finds them where they are."""
-    kind = src.schema["doc_id"].dataType.simpleString()
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        z, bid, ids, held, size = zstandard.ZstdCompressor(1), TaskContext.get().partitionId() << 32, [], [], 0
-        row = lambda: {"bid": [bid], "ids": [ids], "lens": [np.array([len(x) for x in held], np.int64).tobytes()], "body": [z.compress(b"".join(held))]}
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                ids.append(doc)
-                held.append(text or b"")
-                size += len(held[-1]) + 32
-                if size >= batch_bytes:
-                    yield row()
-                    bid, ids, held, size = bid + 1, [], [], 0
-        if ids:
-            yield row()
-
-    return arrow_map(src, pack, f"bid long, ids array<{kind}>, lens binary, body binary").repartition(parts, "bid")
-
-
-def unpack(row: dict) -> list[bytes]:
-    body, out, at = zstandard.ZstdDecompressor().decompress(row["body"]), [], 0
-    for n in np.frombuffer(row["lens"], np.int64).tolist():
-        out.append(body[at : at + n])
-        at += n
-    return out
-
-
-def with_answers(batches: DataFrame, answers: DataFrame, fn: Callable[[dict, list[int], list[bytes]], dict], schema: str) -> DataFrame:
-    """fn(row, part, bits) for every batch with its answers; the batches aren't moved again."""
-    from slateledger.llm.common import arrow_schema, ship
-
-    ship(batches.sparkSession)
-    kinds = arrow_schema(batches.sparkSession, schema)
-
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        out, parts, bits = [], right.column("part").to_pylist(), right.column("bits").to_pylist()
-        for row in left.to_pylist():
-            cols = fn(row, parts, bits)
-            out.append(pa.Table.from_arrays([pa.array(cols[f.name], type=f.type) for f in kinds], schema=kinds))
-        return pa.concat_tables(out) if out else kinds.empty_table()
-
-    return batches.groupBy("bid").cogroup(answers.groupBy("bid")).applyInArrow(both, schema)
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (its words left, joined by one space).
 
     A null or empty text has no words, and texts of fewer words than a window lose nothing. Repeated
@@ -253,51 +191,37 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     parts = parts_for(input_bytes(src))
     batches = packed(src, parts)
 
+    def sketched(row: dict) -> tuple[Words, np.ndarray, Sketch]:
+        w = Words(unpack(row))
+        starts = w.windows(window)
+        return w, starts, Sketch(rolling(w.hash, window)[starts] if len(starts) else np.zeros(0, np.uint64), parts)
+
     def ask_sketch(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in rows:
             for row in b.to_pylist():
-                w = Words(unpack(row))
-                yield Ask(sketch_keys(w.hash, w.windows(window), window, gram)[2], parts).rows(row["bid"])
-
-    def candidates(row: dict, part: list[int], bits: list[bytes]) -> tuple[Words, np.ndarray]:
-        """Starts of the windows that the sketch estimates repeated."""
-        w = Words(unpack(row))
-        starts = w.windows(window)
-        at, places, keys = sketch_keys(w.hash, starts, window, gram)
-        kept = places[Ask(keys, parts).answer(part, bits)] if len(keys) else places
-        hit = np.zeros(len(w.hash) + 1, bool)
-        hit[kept] = True
-        return w, starts[hit[at]]
+                yield sketched(row)[2].rows(row["bid"])
 
-    def window_ask(w: Words, starts: np.ndarray) -> Ask:
-        one = rolling(w.hash, (window,))[0][starts] if len(starts) else np.zeros(0, np.uint64)
-        two = rolling(mix(w.hash, 3), (window,), _B2)[0][starts].astype(np.uint32) if len(starts) else np.zeros(0, np.uint32)
-        return Ask(one, parts, two)
+    def candidates(row: dict, part: list[int], bits: list[bytes]) -> tuple[Words, np.ndarray, Ask]:
+        """The windows that the sketch estimates repeated."""
+        w, starts, sketch = sketched(row)
+        starts = starts[sketch.repeated(part, bits)]
+        key = w.digests(starts, window)
+        return w, starts, Ask(key[:, 0], parts, key[:, 1])
 
     def ask_windows(row: dict, part: list[int], bits: list[bytes]) -> dict:
-        return window_ask(*candidates(row, part, bits)).rows(row["bid"])
+        return candidates(row, part, bits)[2].rows(row["bid"])
 
     def finish(row: dict, part: list[int], bits: list[bytes]) -> dict:
-        first = [k for k, p in enumerate(part) if p >= 0]
-        second = [k for k, p in enumerate(part) if p < 0]
-        pick = lambda at: ([part[k] if part[k] >= 0 else -1 - part[k] for k in at], [bits[k] for k in at])
-        w, starts = candidates(row, *pick(first))
-        hits = starts[window_ask(w, starts).answer(*pick(second))]
-        edge = np.zeros(len(w.hash) + 1, np.int32)
-        np.add.at(edge, hits, 1)
-        np.add.at(edge, hits + window, -1)
-        gone = np.cumsum(edge)[:-1] > 0
-        kept = []
-        for k, text in enumerate(unpack(row)):
-            ws, g = text.split(), gone[w.begin[k] : w.begin[k + 1]]
-            kept.append(b" ".join(ws[i] for i in np.flatnonzero(~g).tolist()) if g.any() else b" ".join(ws))
-        removed = np.add.reduceat(np.r_[gone, False], np.minimum(w.begin[:-1], len(gone)), dtype=np.int64) * (w.lens > 0) if len(w.lens) else w.lens
-        return {"doc_id": row["ids"], "n_words": w.lens, "n_removed": removed, "kept": [x.decode() for x in kept]}
-
-    asked = arrow_map(batches, ask_sketch, ASK).repartitionById(parts, F.col("part"))
-    estimated = arrow_map(asked, estimate_repeats, ANSWER)
+        pick = lambda second: ([-1 - p if second else p for p in part if (p < 0) == second], [b for p, b in zip(part, bits, strict=True) if (p < 0) == second])
+        w, starts, ask = candidates(row, *pick(False))
+        gone = cover(len(w.hash), starts[ask.answer(*pick(True))[0]], window)
+        removed = np.diff(np.r_[0, np.cumsum(gone, dtype=np.int64)][w.begin])
+        return {"doc_id": row["ids"], "n_words": w.lens, "n_removed": removed, "kept": [x.decode() for x in w.kept(gone)]}
+
+    asked = arrow_map(batches, ask_sketch, SKETCH).repartitionById(parts, F.col("part"))
+    estimated = arrow_map(asked, add_sketches(parts), ANSWER)
     exact = with_answers(batches, estimated, ask_windows, ASK).repartitionById(parts, F.col("part"))
-    grouped = arrow_map(exact, exact_repeats, ANSWER)
+    grouped = arrow_map(exact, count_keys(2), ANSWER)
     answers = estimated.unionByName(grouped.withColumn("part", -1 - F.col("part")))
     return with_answers(batches, answers, finish, f"doc_id {kind}, n_words long, n_removed long, kept string")
 

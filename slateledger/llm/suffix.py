@@ -1,16 +1,20 @@
-"""Repeated byte strings through suffix arrays of shards.
-
-Shards hold the strings that can have an equal window elsewhere: windows of WINDOW bytes with the same
-minimizer (see substring.py) come to the same shard, with the bytes about them. A sketch of the
-minimizers leaves out windows that are unique by it. Equal strings enter a shard once, with their
-multiplicity; the shard is sorted by external induction, and a window is repeated if its string has
-multiplicity above one or if its suffix shares WINDOW bytes with a neighbour in suffix order.
+"""Repeated byte strings through suffix arrays of shards on disk.
+
+Every window of WINDOW bytes has a minimizer, the smallest hash among its runs of GRAM bytes (the leftmost
+on ties): equal windows have equal minimizers at equal offsets. Windows whose minimizer occurs once are
+unique. The others come to the shard of their minimizer, a run of windows about one occurrence as one
+string; equal strings of a batch, told by 128 bits of their SHA-256, once with their number. A
+shard keeps its strings in a file and sorts them by external induction, in lots of whole minimizers;
+a window is repeated if its string occurs more than once or if its suffix shares WINDOW bytes with a
+neighbour in suffix order. Strings about a minimizer with HOT or more occurrences would all come to one
+task: their windows are dealt one by one, by the SHA-256 of their bytes, over all tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,93 +24,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slateledger.llm import induced
-from slateledger.llm.common import arrow_map, input_bytes, mix, parts_for, table, texts
-from slateledger.llm.substring import _B2, ANSWER, ASK, Ask, _powers, estimate_repeats, packed, sketch_keys, unpack, with_answers
+from slateledger.llm.common import arrow_map, input_bytes, mix, parts_for, runs, table, texts
+from slateledger.llm.exchange import ANSWER, ASK, Ask, count_keys, counted, packed, unpack, with_answers
+from slateledger.llm.substring import cover, rolling
 
 WINDOW, GRAM = 400, 24
 #: Text of one packed batch; numbers of eight bytes are held for each of its bytes.
 BATCH_BYTES = 1 << 20
-#: Strings are sorted in lots of about so many bytes. A minimizer with more of them is split by the bytes
-#: that its windows share, which keeps equal windows together.
+#: A lot ends with the minimizer that brings it to so many bytes.
 SORT_BYTES = 4 << 20
-#: The part of a memo among the answers.
-MEMO = -1
-PIECES = "part int, bid long, keys binary, tags binary, counts binary, spans binary, body binary"
+#: Occurrences from which on a minimizer's windows are dealt one by one; a minimizer below it has strings of
+#: some 3 MB at most, whatever the size of the input.
+HOT = 4096
+#: What a row of an exchange is, and the part that tells a batch's own memo and answers to single windows.
+MEMO, STRINGS, WINDOWS = 0, 1, 2
+PIECES = "part int, bid long, kind int, keys binary, tags binary, counts binary, spans binary, body binary"
 
 
 class Bytes:
     """A batch of documents as one array of bytes."""
 
-    def __init__(self, docs: list[bytes], hashed: bool = True):
+    def __init__(self, docs: list[bytes]):
         self.lens = np.array(list(map(len, docs)), np.int64)
         self.begin = np.r_[0, np.cumsum(self.lens)]
-        self.flat = np.frombuffer(b"".join(docs), np.uint8)
-        self.hash = mix(np.arange(256, dtype=np.uint64), 5)[self.flat] if hashed else None
+        self.text = b"".join(docs)
+        self.flat = np.frombuffer(self.text, np.uint8)
 
     def windows(self, size: int) -> np.ndarray:
         left = np.repeat(self.begin[1:], self.lens) - np.arange(len(self.flat))
         return np.flatnonzero(left >= size)
 
 
+def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
+    """Minimum over every run of `size` elements, by doubling."""
+    have = 1
+    while 2 * have <= size:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return np.minimum(x[: len(x) - (size - have)], x[size - have :]) if have < size else x
+
+
+def minimizers(flat: np.ndarray, starts: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The minimizer's position for each window, the distinct positions, and the hashes of the grams there."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    grams, low = rolling(mix(np.arange(256, dtype=np.uint64), 5)[flat], gram), np.uint64((1 << 28) - 1)
+    at = (sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), size - gram + 1) & low).astype(np.int64)[starts]
+    places = at[np.r_[True, at[1:] != at[:-1]]]
+    return at, places, grams[places]
+
+
+def sha(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the SHA-256 of each string, as two arrays of numbers."""
+    view, one = memoryview(text), hashlib.sha256
+    both = np.frombuffer(b"".join([one(view[a:b]).digest()[:16] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 class Pieces:
-    """Runs of windows with one minimizer, kept if it is estimated repeated; distinct ones by content."""
+    """A batch's runs of windows about one occurrence of a repeated minimizer."""
 
     def __init__(self, row: dict, parts: int, part: list[int], bits: list[bytes], window: int, gram: int):
-        self.bytes = b = Bytes(unpack(row))
-        starts = b.windows(window)
-        at, places, keys = sketch_keys(b.hash, starts, window, gram)
-        hit = np.zeros(len(b.flat) + 1, bool)
-        hit[places[Ask(keys, parts).answer(part, bits)] if len(keys) else places] = True
-        keep = hit[at]
+        self.bytes, self.window = Bytes(unpack(row)), window
+        text, starts = self.bytes.text, self.bytes.windows(window)
+        at, places, keys = minimizers(self.bytes.flat, starts, window, gram)
+        repeated, hot = Ask(keys, parts).answer(part, bits, planes=2)
+        flag, key_at = np.zeros((2, len(text) + 1), bool), np.zeros(len(text) + 1, np.uint64)
+        flag[0, places], flag[1, places], key_at[places] = repeated, hot, keys
+        self.single = starts[flag[1, at]]  # windows about a hot minimizer
+        high, low = sha(text, self.single, self.single + window)
+        self.by_window = Ask(high, parts, low)
+        keep = flag[0, at] & ~flag[1, at]
         starts, at = starts[keep], at[keep]
         new = np.flatnonzero(np.r_[np.ones(min(1, len(at)), bool), (at[1:] != at[:-1]) | (np.diff(starts) != 1)])
         self.first, self.n = starts[new], np.diff(np.r_[new, len(starts)])
-        end = self.first + self.n + window - 1
-        value = dict(zip(places.tolist(), keys.tolist(), strict=True))
-        key = np.array([value[p] for p in at[new].tolist()], np.uint64)
-        with np.errstate(over="ignore"):
-            prefix = np.zeros(len(b.flat) + 1, np.uint64)
-            if len(new):
-                np.cumsum(mix(b.hash, 3) * _powers(_B2, len(b.flat)), out=prefix[1:])
-                content = mix((prefix[end] - prefix[self.first]) * _powers(pow(_B2, -1, 2**64), len(b.flat))[self.first] + self.n.astype(np.uint64))
-            else:
-                content = prefix[:0]
-        self.ask = Ask(key, parts, content)
-        one = self.ask.order[self.ask.start]  # a piece of each distinct content
-        self.one_first, self.one_n, self.one_at = self.first[one], self.n[one], at[new][one]
-
-    def rows(self, bid: int, window: int) -> dict:
-        a, z, flat = self.ask, zstandard.ZstdCompressor(1), self.bytes.flat
-        out = a.rows(bid)
-        spans, body = [], []
-        for p in out["part"]:
-            own = a.deal[a.bounds[p] : a.bounds[p + 1]]
-            spans.append(np.stack([self.one_n[own], self.one_at[own] - self.one_first[own]], axis=1).astype(np.uint32).tobytes())
-            body.append(z.compress(b"".join(flat[s : s + n + window - 1].tobytes() for s, n in zip(self.one_first[own].tolist(), self.one_n[own].tolist(), strict=True))))
-        return out | {"spans": spans, "body": body}
+        high, low = sha(text, self.first, self.first + self.n + window - 1)
+        order = np.lexsort((low, high))
+        number = np.empty(len(order), np.uint64)
+        number[order] = np.cumsum(np.r_[np.zeros(min(1, len(order)), bool), (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])])
+        self.ask = Ask(key_at[at[new]], parts, number)
+        one = self.ask.order[self.ask.start]
+        self.one_first, self.one_n, self.one_tag = self.first[one], self.n[one], np.stack([high[one], low[one]], axis=1)
+
+    def rows(self, bid: int, parts: int) -> dict:
+        a, z, text = self.ask, zstandard.ZstdCompressor(1), self.bytes.text
+        strings, single = a.rows(bid), self.by_window.rows(bid)
+        n, m = len(a.full), len(self.by_window.full)
+        first, count = (np.split(x[a.deal], a.bounds[1:-1]) for x in (self.one_first, self.one_n))
+        body = [z.compress(b"".join([text[s : s + k + self.window - 1] for s, k in zip(first[p].tolist(), count[p].tolist(), strict=True)])) for p in a.full]
+        out = {c: [*strings[c], *single[c]] for c in ("part", "bid", "keys", "counts")}
+        out |= {"kind": [STRINGS] * n + [WINDOWS] * m, "tags": [*a.cut(self.one_tag), *single["tags"]], "spans": [count[p].astype(np.uint32).tobytes() for p in a.full] + [b""] * m, "body": [*body, *[b""] * m]}
+        memo = {"part": bid % parts, "bid": bid, "kind": MEMO, "body": self.memo()}
+        return {c: [*v, memo.get(c, b"")] for c, v in out.items()}
 
     def memo(self) -> bytes:
         """What is needed to read the answers, so that nothing is searched for again."""
-        a = self.ask
-        arrays = (self.first, a.order, a.start, a.length, self.one_n, a.deal, a.bounds)
-        return zstandard.ZstdCompressor(1).compress(pickle.dumps([x.astype(np.int32) for x in arrays], protocol=5))
-
-
-def repeated_starts(memo: bytes, part: list[int], bits: list[bytes]) -> np.ndarray:
-    """Starts of the repeated windows of a batch, from the answers for its distinct pieces."""
-    first, order, start, length, span, deal, bounds = pickle.loads(zstandard.ZstdDecompressor().decompress(memo))
-    yes, at = np.zeros(int(span.sum()), bool), np.r_[0, np.cumsum(span)]
-    for p, data in zip(part, bits, strict=True):
-        own = deal[bounds[p] : bounds[p + 1]]
-        got, done = np.unpackbits(np.frombuffer(data, np.uint8), count=int(span[own].sum()), bitorder="little").astype(bool), 0
-        for k in own.tolist():
-            yes[at[k] : at[k + 1]] = got[done : done + span[k]]
-            done += span[k]
-    hits = []
-    for k, (s, n) in enumerate(zip(start.tolist(), length.tolist(), strict=True)):
-        if (rel := np.flatnonzero(yes[at[k] : at[k + 1]])).size:
-            hits += [first[i] + rel for i in order[s : s + n].tolist()]
-    return np.concatenate(hits) if hits else np.zeros(0, np.int64)
+        a, w = self.ask, self.by_window
+        arrays = [x.astype(np.int32) for x in (self.first, a.order, a.start, a.length, self.one_n, a.deal, a.bounds, self.single, w.order, w.length, w.deal, w.bounds)]
+        return zstandard.ZstdCompressor(1).compress(pickle.dumps(arrays, protocol=5))
+
+
+def repeated_starts(memo: bytes, strings: list[tuple[int, bytes]], single: list[tuple[int, bytes]]) -> np.ndarray:
+    """Starts of the repeated windows of a batch, from the answers for its distinct strings and single windows."""
+    first, order, start, length, span, deal, bounds, alone, w_order, w_length, w_deal, w_bounds = pickle.loads(zstandard.ZstdDecompressor().decompress(memo))
+    hits, yes = [], np.zeros(len(w_length), bool)
+    for p, data in single:
+        at = w_deal[w_bounds[p] : w_bounds[p + 1]]
+        yes[at] = np.unpackbits(np.frombuffer(data, np.uint8), count=len(at), bitorder="little")
+    hits.append(alone[w_order[np.repeat(yes, w_length)]])
+    for p, data in strings:
+        got, done = np.frombuffer(data, np.uint8), 0
+        for k in deal[bounds[p] : bounds[p + 1]].tolist():  # each string's bits begin with a byte
+            size = (int(span[k]) + 7) // 8
+            if (rel := np.flatnonzero(np.unpackbits(got[done : done + size], count=int(span[k]), bitorder="little"))).size:
+                hits += [first[i] + rel for i in order[start[k] : start[k] + length[k]].tolist()]
+            done += size
+    return np.concatenate(hits).astype(np.int64)
 
 
 def sort_shard(strings: list[bytes], spans: list[int], window: int) -> list[np.ndarray]:
@@ -127,96 +160,84 @@ def sort_shard(strings: list[bytes], spans: list[int], window: int) -> list[np.n
 
 
 class Shard:
-    """Distinct strings by minimizer; finds the windows of each that start in another place, too."""
-
-    def __init__(self, window: int, gram: int, sort_bytes: int):
-        self.window, self.gram, self.sort_bytes = window, gram, sort_bytes
-        self.which: dict[tuple[int, int], int] = {}
-        self.strings, self.total, self.span, self.at, self.key = [], [], [], [], []
-        self.lot: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
-        self.size = 0
-
-    def add(self, row: dict, unz: zstandard.ZstdDecompressor) -> list[int]:
-        """The row's strings; their numbers here."""
-        keys, tags = np.frombuffer(row["keys"], np.uint64).tolist(), np.frombuffer(row["tags"], np.uint64).tolist()
-        body, done, ids = unz.decompress(row["body"]), 0, []
-        for k, tag, (n, at), c in zip(keys, tags, np.frombuffer(row["spans"], np.uint32).reshape(-1, 2).tolist(), row["counts"], strict=True):
-            i = self.which.setdefault((k, tag), len(self.strings))
-            if i == len(self.strings):
-                self.strings.append(body[done : done + n + self.window - 1])
-                self.total.append(0)
-                self.span.append(n)
-                self.at.append(at)
-                self.key.append(k)
-            self.total[i] += c
-            done += n + self.window - 1
-            ids.append(i)
-        return ids
-
-    def solve(self) -> list[np.ndarray]:
-        self.yes = [np.full(n, t > 1) for n, t in zip(self.span, self.total, strict=True)]
-        groups: dict[int, list[int]] = {}
-        for i, k in enumerate(self.key):
-            groups.setdefault(k, []).append(i)
-        for ids in groups.values():
-            self.settle(ids, 0, self.window - self.gram + 1)
-        self.sort()
-        return self.yes
-
-    def settle(self, ids: list[int], low: int, high: int) -> None:
-        """Windows that begin low to high - 1 bytes before the minimizer: by the bytes common to all of them."""
-        by: dict[bytes, list[tuple[int, int, int]]] = {}
-        for i in ids:
-            a = self.at[i]
-            first, end = max(0, a - high + 1), min(self.span[i], a - low + 1)
-            if first < end:
-                by.setdefault(self.strings[i][a - low : a - high + 1 + self.window], []).append((i, first, end))
-        for own in by.values():
-            if len(own) < 2:  # nothing to compare with
-                continue
-            if high - low == 1:
-                for i, first, _ in own:
-                    self.yes[i][first] = True
-            elif sum(e - f + self.window for _, f, e in own) > self.sort_bytes:
-                mid = (low + high) // 2
-                self.settle([i for i, _, _ in own], low, mid)
-                self.settle([i for i, _, _ in own], mid, high)
-            else:
-                for i, f, e in own:
-                    part = self.strings[i][f : e - 1 + self.window]
-                    places = self.lot.setdefault(part, (e - f, []))[1]
-                    self.size += 0 if places else len(part)
-                    places.append((i, f))
-                if self.size >= self.sort_bytes:
-                    self.sort()
-
-    def sort(self) -> None:
-        lot, self.lot, self.size = self.lot, {}, 0
+    """The strings of a part in a file of the task, some fifty bytes of each in memory; finds the windows of
+    each that start in another place, too. The file goes with the object."""
+
+    def __init__(self, window: int, sort_bytes: int):
+        self.window, self.sort_bytes, self.file, self.size = window, sort_bytes, tempfile.TemporaryFile(), 0
+        self.known: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, row: dict, unz: zstandard.ZstdDecompressor) -> int:
+        """Put a row's strings into the file; their number."""
+        body, n = unz.decompress(row["body"]), np.frombuffer(row["spans"], np.uint32).astype(np.int64)
+        lens = n + self.window - 1
+        self.file.write(body)
+        tags = np.frombuffer(row["tags"], np.uint64).reshape(-1, 2)
+        self.known.append((np.frombuffer(row["keys"], np.uint64), tags[:, 0], tags[:, 1], n, self.size + np.cumsum(lens) - lens, np.frombuffer(row["counts"], np.uint32).astype(np.int64)))
+        self.size += len(body)
+        return len(n)
+
+    def solve(self) -> Iterator[bytes]:
+        """For each string in the order of add(): the bits of its windows."""
+        if not self.known:
+            return
+        key, high, low, n, at, count = (np.concatenate(x) for x in zip(*self.known, strict=True))
+        self.known = []
+        order = np.lexsort((low, high, key))
+        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])]
+        one, number = order[new], np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        total = np.add.reduceat(count[order], np.flatnonzero(new))
+        span, place, size = n[one], at[one], (n[one] + 7) // 8
+        base = np.r_[0, np.cumsum(size)]
+        bits = np.zeros(int(base[-1]), np.uint8)
+        for k in np.flatnonzero(total > 1).tolist():
+            bits[base[k] : base[k + 1]] = np.packbits(np.ones(span[k], bool), bitorder="little")
+        lot, held = [], 0
+        for s, m in zip(*(x.tolist() for x in runs(key[one])), strict=True):
+            if m > 1:  # a string alone with its minimizer has nothing to compare with
+                lot += range(s, s + m)
+                held += int(span[s : s + m].sum()) + m * self.window
+                if held >= self.sort_bytes:
+                    self.sort(lot, span, place, base, bits)
+                    lot, held = [], 0
+        self.sort(lot, span, place, base, bits)
+        for k in number.tolist():
+            yield bits[base[k] : base[k + 1]].tobytes()
+
+    def sort(self, lot: list[int], span: np.ndarray, place: np.ndarray, base: np.ndarray, bits: np.ndarray) -> None:
         if not lot:
             return
-        for (n, places), yes in zip(lot.values(), sort_shard(list(lot), [n for n, _ in lot.values()], self.window), strict=True):
-            for i, f in places:
-                self.yes[i][f : f + n] |= yes | (len(places) > 1)
+        strings = []
+        for k in lot:
+            self.file.seek(place[k])
+            strings.append(self.file.read(span[k] + self.window - 1))
+        for k, yes in zip(lot, sort_shard(strings, span[lot].tolist(), self.window), strict=True):
+            bits[base[k] : base[k + 1]] |= np.packbits(yes, bitorder="little")
 
 
-def suffix_repeats(window: int, gram: int, sort_bytes: int):
+def suffix_repeats(window: int, sort_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        unz, shard, asked = zstandard.ZstdDecompressor(), Shard(window, gram, sort_bytes), []
+        unz, shard, asked, single = zstandard.ZstdDecompressor(), Shard(window, sort_bytes), [], []
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                if not row["counts"]:  # a batch's memo, on its way back
-                    yield {"bid": [row["bid"]], "part": [MEMO], "bits": [row["body"]]}
-                    continue
-                asked.append((row["bid"], row["part"], shard.add(row, unz)))
-        yes = shard.solve()
-        for bid, part, ids in asked:
-            yield {"bid": [bid], "part": [part], "bits": [np.packbits(np.concatenate([yes[i] for i in ids]), bitorder="little").tobytes()]}
+                if row["kind"] == MEMO:  # on its way back
+                    yield {"bid": [row["bid"]], "part": [-1], "bits": [row["body"]]}
+                elif row["kind"] == WINDOWS:
+                    single.append(row)
+                else:
+                    asked.append((row["bid"], row["part"], shard.add(row, unz)))
+        for row, n in zip(single, counted(*([r[c] for r in single] for c in ("keys", "tags", "counts"))), strict=True):
+            yield {"bid": [row["bid"]], "part": [-2 - row["part"]], "bits": [np.packbits(n > 1, bitorder="little").tobytes()]}
+        bits = shard.solve()
+        for bid, part, n in asked:
+            yield {"bid": [bid], "part": [part], "bits": [b"".join([next(bits) for _ in range(n)])]}
 
     return run
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, sort_bytes: int = SORT_BYTES) -> DataFrame:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, sort_bytes: int = SORT_BYTES, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (removed runs of bytes: start, end), kept (bytes left).
 
     A null text counts as empty; a text shorter than a window loses nothing; repeated rows are documents
@@ -227,42 +248,35 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = parts_for(input_bytes(src))
     batches = packed(src, parts, BATCH_BYTES)
 
-    def ask_sketch(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def ask_minimizers(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in rows:
             for row in batch.to_pylist():
                 b = Bytes(unpack(row))
-                yield Ask(sketch_keys(b.hash, b.windows(window), window, gram)[2], parts).rows(row["bid"])
+                yield Ask(minimizers(b.flat, b.windows(window), window, gram)[2], parts).rows(row["bid"])
 
     def ask_pieces(row: dict, part: list[int], bits: list[bytes]) -> dict:
-        pieces = Pieces(row, parts, part, bits, window, gram)
-        out = pieces.rows(row["bid"], window)
-        memo = {"part": row["bid"] % parts, "bid": row["bid"], "body": pieces.memo()}
-        return {k: [*v, memo.get(k, b"")] for k, v in out.items()}
+        return Pieces(row, parts, part, bits, window, gram).rows(row["bid"], parts)
 
     def finish(row: dict, part: list[int], bits: list[bytes]) -> dict:
-        b = Bytes(unpack(row), hashed=False)
-        told = [k for k, p in enumerate(part) if p != MEMO]
-        hits = repeated_starts(bits[part.index(MEMO)], [part[k] for k in told], [bits[k] for k in told])
-        edge = np.zeros(len(b.flat) + 1, np.int32)
-        np.add.at(edge, hits, 1)
-        np.add.at(edge, hits + window, -1)
-        gone = np.cumsum(edge)[:-1] > 0
+        b, told = Bytes(unpack(row)), list(zip(part, bits, strict=True))
+        hits = repeated_starts(bits[part.index(-1)], [x for x in told if x[0] >= 0], [(-2 - p, x) for p, x in told if p < -1])
+        gone = cover(len(b.flat), hits, window)
         spans, kept = [], []
         for s, e in zip(b.begin[:-1].tolist(), b.begin[1:].tolist(), strict=True):
             g = gone[s:e]
             if not g.any():
                 spans.append([])
-                kept.append(b.flat[s:e].tobytes())
+                kept.append(b.text[s:e])
                 continue
             turn = np.flatnonzero(np.diff(np.r_[0, g.astype(np.int8), 0]))
             spans.append([{"start": x, "end": y} for x, y in turn.reshape(-1, 2).tolist()])
             kept.append(b.flat[s:e][~g].tobytes())
         return {"doc_id": row["ids"], "n_bytes": b.lens, "spans": spans, "kept": kept}
 
-    asked = arrow_map(batches, ask_sketch, ASK).repartitionById(parts, F.col("part"))
-    estimated = arrow_map(asked, estimate_repeats, ANSWER)
-    pieces = with_answers(batches, estimated, ask_pieces, PIECES).repartitionById(parts, F.col("part"))
-    repeats = arrow_map(pieces, suffix_repeats(window, gram, sort_bytes), ANSWER)
+    asked = arrow_map(batches, ask_minimizers, ASK).repartitionById(parts, F.col("part"))
+    known = arrow_map(asked, count_keys(2, hot), ANSWER)
+    pieces = with_answers(batches, known, ask_pieces, PIECES).repartitionById(parts, F.col("part"))
+    repeats = arrow_map(pieces, suffix_repeats(window, sort_bytes), ANSWER)
     return with_answers(batches, repeats, finish, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 

@@ -1,9 +1,12 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from slateledger.llm import common, components, decontam, exact, induced, langid, packing, pii, quality, simhash, substring, suffix, toxicity
 from tests.llm import brute
@@ -38,40 +41,112 @@ def docs():
 EMPTY = []
 
 
-def test_sliding_minimum_and_minimizers():
+def test_sliding_minimum():
     r = np.random.default_rng(3)
     for n in (1, 2, 3, 5, 28):
         x = r.integers(0, 9, 60).astype(np.uint64)
-        assert substring.sliding_min(x, n).tolist() == [min(x[i : i + n]) for i in range(60 - n + 1)]
+        assert suffix.sliding_min(x, n).tolist() == [min(x[i : i + n]) for i in range(60 - n + 1)]
 
 
-def test_count_min_never_underestimates_and_merges():
+def rows_of(cols):
+    return [dict(zip(cols, x, strict=True)) for x in zip(*cols.values(), strict=True)]
+
+
+@pytest.mark.parametrize("bits", [4, 25])
+def test_sketches_merge_and_never_underestimate(monkeypatch, bits):
+    """What batches send are cells of the table; merged in any order, every repeated window is told."""
+    monkeypatch.setattr(substring, "SLICE_BITS", bits)
+    monkeypatch.setattr(substring.Sketch.__init__, "__defaults__", (bits,))
+    monkeypatch.setattr(substring.Counters.__init__, "__defaults__", (bits,))
     r = np.random.default_rng(5)
-    keys = r.integers(0, 500, 4000).astype(np.uint64)
-    whole, halves = substring.CountMin(10), substring.CountMin(10)
-    whole.add(keys, np.ones(len(keys)))
-    for part in np.array_split(keys, 7):
-        u, c = np.unique(part, return_counts=True)
-        halves.add(u, c)
-    assert (whole.rows == halves.rows).all()
-    u, c = np.unique(keys, return_counts=True)
-    assert (whole.estimate(u) >= c).all()
-
-
-@pytest.mark.parametrize("window,gram", [(35, 8), (6, 2), (3, 3)])
-def test_passages_equal_brute_force(spark, docs, window, gram):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.repeated_passages(frame(spark, docs), window=window, gram=gram).collect()}
+    batches, parts = [r.integers(0, 3000, n).astype(np.uint64) for n in (0, 1, 700, 900)], 3
+    sketches = [substring.Sketch(common.mix(b), parts) for b in batches]
+    sent = [x for k, s in enumerate(sketches) for x in rows_of(s.rows(k))]
+    assert not {"keys", "windows"} & set(sent[0])
+    told = {}
+    for p in range(parts):
+        for got in substring.add_sketches(parts)(iter([pa.RecordBatch.from_pylist([x for x in sent if x["part"] == p][::-1])] if sent else [])):
+            for bid, part, data in zip(got["bid"], got["part"], got["bits"], strict=True):
+                told.setdefault(bid, []).append((part, data))
+    count = Counter(np.concatenate(batches).tolist())
+    wrong = 0
+    for k, (b, s) in enumerate(zip(batches, sketches, strict=True)):
+        yes = s.repeated([p for p, _ in told.get(k, [])], [d for _, d in told.get(k, [])])
+        want = np.array([count[x] > 1 for x in b.tolist()], bool)
+        assert (yes | ~want).all()
+        wrong += (yes & ~want).sum()
+    assert bits == 4 or wrong == 0
+
+
+def test_counters_stay_at_their_most():
+    c = substring.Counters(3)
+    cells = np.ascontiguousarray(np.array([2], np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    for _ in range(300):
+        c.add(cells, b"\x01")
+    assert c.n.tolist() == [0, 0, 255, 0, 0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("window", [35, 6, 3, 1])
+def test_passages_equal_brute_force(spark, docs, window):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.repeated_passages(frame(spark, docs), window=window).collect()}
     assert got == brute.passages(docs, window)
 
 
-@pytest.mark.parametrize("window,gram,lot", [(400, 24, 1 << 20), (40, 8, 1 << 20), (40, 8, 300), (9, 4, 1)])
-def test_bytes_equal_brute_force(spark, docs, window, gram, lot):
+@pytest.mark.parametrize("window,gram,lot,hot", [(400, 24, 1 << 20, 4096), (40, 8, 1 << 20, 4096), (40, 8, 300, 5), (9, 4, 1, 3), (9, 4, 1 << 20, 1)])
+def test_bytes_equal_brute_force(spark, docs, window, gram, lot, hot):
     some = [d for d in docs if len(d[1] or "") < 20_000]
-    rows = suffix.repeated_bytes(frame(spark, some), window=window, gram=gram, sort_bytes=lot).collect()
+    rows = suffix.repeated_bytes(frame(spark, some), window=window, gram=gram, sort_bytes=lot, hot=hot).collect()
     got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in rows}
     assert got == brute.byte_strings(some, window)
 
 
+def thue_morse(bits):
+    x = "0"
+    while len(x) < 1 << bits:
+        x += x.translate({48: "1", 49: "0"})
+    return x
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_strings_of_equal_polynomial_hash_are_told_apart(spark, hot):
+    """Two documents whose strings have one polynomial hash modulo 2 ** 64 and share no 400 bytes."""
+    r, x = random.Random(1), thue_morse(8)
+    front, back = ("".join(r.choice("abcdefgh") for _ in range(n)) for n in (100, 324))
+    some = [(1, front + x + back), (2, front + x.translate({48: "1", 49: "0"}) + back), (3, front + x[:-1] + "2" + back)]
+    got = {d.doc_id: sum(s.end - s.start for s in d.spans) for d in suffix.repeated_bytes(frame(spark, some), hot=hot).collect()}
+    assert got == {d: v[1] for d, v in brute.byte_strings(some, 400).items()} == {1: 0, 2: 0, 3: 0}
+    words = [(d, " ".join(t)) for d, t in some]
+    got = {d.doc_id: d.n_removed for d in substring.repeated_passages(frame(spark, words), window=256).collect()}
+    assert got == {d: v[1] for d, v in brute.passages(words, 256).items()}
+
+
+def test_a_shard_larger_than_its_memory_spills(spark, monkeypatch):
+    """The query's own bounds: strings are in a file of the task, a lot's queues go to disk."""
+    files, put = [], induced.Spool.put
+
+    def counting(self, *arrays):
+        got = put(self, *arrays)
+        files.append(self.file is not None)
+        return got
+
+    monkeypatch.setattr(induced.Spool, "put", counting)
+    r = random.Random(4)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(500))
+    texts_ = [("".join(r.choice("abcdefgh ") for _ in range(200)) + shared + "".join(r.choice("abcdefgh ") for _ in range(200))).encode() for _ in range(3 * induced.IN_MEMORY // 6 // 900)]
+    shard = suffix.Shard(suffix.WINDOW, suffix.SORT_BYTES)
+    z = zstandard.ZstdCompressor(1)
+    spans = np.array([len(t) - suffix.WINDOW + 1 for t in texts_], np.uint32)
+    tags = np.array([np.frombuffer(hashlib.sha256(t).digest()[:16], np.uint64) for t in texts_])
+    keys = np.zeros(len(texts_), np.uint64)
+    n = shard.add({"keys": keys.tobytes(), "tags": tags.tobytes(), "spans": spans.tobytes(), "counts": np.ones(len(texts_), np.uint32).tobytes(), "body": z.compress(b"".join(texts_))}, zstandard.ZstdDecompressor())
+    near = [[hash(t[i : i + 400]) for i in range(185, 316)] for t in texts_]  # windows beyond share nothing
+    count = Counter(x for row in near for x in row)
+    for got, row in zip(shard.solve(), near, strict=True):
+        assert np.flatnonzero(np.unpackbits(np.frombuffer(got, np.uint8), bitorder="little")).tolist() == [185 + i for i, x in enumerate(row) if count[x] > 1]
+    assert n == len(texts_)
+    assert any(files) and shard.size > induced.IN_MEMORY // 6
+
+
 @pytest.mark.parametrize("in_memory", [0, 1 << 20])
 def test_induced_suffix_and_prefix_arrays(monkeypatch, in_memory):
     monkeypatch.setattr(induced, "IN_MEMORY", in_memory)
