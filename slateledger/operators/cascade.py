@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +77,12 @@ def cascade(lines: DataFrame, boxes: DataFrame | None = None, lazily: bool = Tru
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder of the session; a folder of our own only where none is set."""
+    """df.checkpoint() in the shared folder of the session; a folder of our own where none is set and everything
+    runs in one process. On a cluster an unset folder is refused: executors couldn't share it."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/slateledger-checkpoints")
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or f"{tempfile.gettempdir()}/slateledger-checkpoints")
     return df.checkpoint()
