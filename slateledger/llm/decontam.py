@@ -3,6 +3,8 @@
 The index is cut by documents: each row holds the postings of one block of documents, for every term
 the sorted positions at which it occurs. A phrase is looked up in every block by intersecting its
 terms' posting lists, each moved back by the term's offset in the phrase, from the rarest term on.
+Benchmark texts come in groups of bounded size, one after the other; what a group finds is kept as a
+table of the documents hit, and the groups' tables are put together by block.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from slateledger.llm.common import arrow_map, as_bytes, save, table, texts
 
@@ -22,8 +26,10 @@ WINDOW = 13
 SLOP = 5
 #: Bytes of text that one block of the index covers (a longer document is a block of its own).
 BLOCK_BYTES = 4 << 20
-#: Benchmark texts are searched in groups of about so many bytes, so that a task holds a bounded share.
+#: Benchmark texts are searched in groups of about so many bytes (a longer text is a group of its own): the
+#: driver and every task hold one group at a time.
 QUERY_BYTES = 8 << 20
+HITS = "n int, spans array<struct<start:long,end:long>>, items array<string>, n_near long"
 
 _FOLD = bytes((c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20) for c in range(256))
 
@@ -51,16 +57,17 @@ def postings(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarr
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per block of documents: doc_ids, lens, terms, counts, positions (compressed)."""
+    """One row per block of documents: block, doc_ids, lens, terms, counts, positions (compressed). A block's
+    number comes from the input's partition, so it is settled only once the index is written."""
     src = texts(docs, id_col, text_col)
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        pack, ids, held, size = zstandard.ZstdCompressor(1), [], [], 0
+        pack, block, ids, held, size = zstandard.ZstdCompressor(1), TaskContext.get().partitionId() << 32, [], [], 0
 
         def row() -> dict:
             terms, counts, at, lens = postings(held)
-            return {"doc_ids": [ids], "lens": [lens.tobytes()], "terms": [pack.compress(b" ".join(terms))], "counts": [counts.astype(np.int32).tobytes()], "positions": [pack.compress(np.diff(at, prepend=np.int32(0)).tobytes())]}
+            return {"block": [block], "doc_ids": [ids], "lens": [lens.tobytes()], "terms": [pack.compress(b" ".join(terms))], "counts": [counts.astype(np.int32).tobytes()], "positions": [pack.compress(np.diff(at, prepend=np.int32(0)).tobytes())]}
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -69,11 +76,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 size += len(text or b"") + 16
                 if size >= BLOCK_BYTES:
                     yield row()
-                    ids, held, size = [], [], 0
+                    block, ids, held, size = block + 1, [], [], 0
         if ids:
             yield row()
 
-    return arrow_map(src, build, f"doc_ids array<{kind}>, lens binary, terms binary, counts binary, positions binary")
+    return arrow_map(src, build, f"block long, doc_ids array<{kind}>, lens binary, terms binary, counts binary, positions binary")
 
 
 class Queries:
@@ -202,7 +209,7 @@ def search_block(row: dict, queries: Queries, window: int, slop: int) -> list[tu
                 of = of[(last < 0) | (at >= starts[last] + len(w))]
             for d, n in zip(*(x.tolist() for x in np.unique(of, return_counts=True)), strict=True):
                 spans, items, near = found.setdefault(d, ([], set(), 0))
-                found[d] = (spans, items, near + n)
+                found[d] = (spans, items, near + n * len(queries.owners[k]))
     return [(d, np.array(spans, np.int64).reshape(-1, 2), sorted(items), near) for d, (spans, items, near) in found.items()]
 
 
@@ -216,46 +223,72 @@ def covered(spans: np.ndarray) -> np.ndarray:
     return np.c_[spans[new, 0], top[np.r_[np.flatnonzero(new)[1:] - 1, len(top) - 1]]]
 
 
-def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (exact matches, in words), items, n_near.
-
-    The benchmark, a stated set of queries, is read in groups of QUERY_BYTES; each group is searched in
-    every block, so no more than one group and one block is in a task's memory.
-    """
-    spark = index.sparkSession
-    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    groups, held, size = [], [], 0
+def query_groups(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items with words, in groups of QUERY_BYTES, read one partition at a time."""
+    held, size = [], 0
     for item, text in texts(benchmark, item_id, item_text).select("doc_id", "text").toLocalIterator():
         if ws := words((text or "").encode()):
             held.append((str(item), ws))
             size += len(text)
         if size >= QUERY_BYTES:
-            groups.append(held)
+            yield held
             held, size = [], 0
-    groups.append(held)
-    shared = [spark.sparkContext.broadcast(g) for g in groups]
+    if held:
+        yield held
+
+
+def search_group(index: DataFrame, group: list[tuple[str, list[bytes]]], window: int, slop: int) -> DataFrame:
+    """(block, n, spans, items, n_near): the documents with any match of a group, by number in their block."""
+    shared = index.sparkSession.sparkContext.broadcast(group)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ready = Queries(shared[0].value, window) if len(shared) == 1 else None
+        ready = Queries(shared.value, window)
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = search_block(row, ready, window, slop)
+                spans = [[{"start": a, "end": b} for a, b in covered(x[1]).tolist()] for x in found]
+                yield {"block": [row["block"]] * len(found), "n": [x[0] for x in found], "spans": spans, "items": [x[2] for x in found], "n_near": [x[3] for x in found]}
+
+    found = save(arrow_map(index.select("block", "lens", "terms", "counts", "positions"), look, f"block long, {HITS}"))
+    shared.unpersist()
+    return found
+
+
+def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """One row per document: doc_id, n_words, spans (exact matches, in words), items, n_near.
+
+    index is a written one. The benchmark, a stated set of queries, is searched group by group in every
+    block; results don't depend on how documents fall into blocks or items into groups. n_near counts, for
+    every window of an item, the places where its rarest word in the document has all others near.
+    """
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    hits = index.sparkSession.createDataFrame([], f"block long, {HITS}")
+    for group in query_groups(benchmark, item_id, item_text):
+        hits = hits.unionByName(search_group(index, group, window, slop))
+    by_block = hits.groupBy("block").agg(F.collect_list(F.struct("n", "spans", "items", "n_near")).alias("hits"))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in batch.to_pylist():
-                n, found = len(row["doc_ids"]), {}
-                for g in shared:
-                    for d, spans, items, near in search_block(row, ready or Queries(g.value, window), window, slop):
-                        s, i, k = found.get(d, (np.zeros((0, 2), np.int64), [], 0))
-                        found[d] = (np.concatenate([s, spans]), [*i, *items], k + near)
                 lens = np.frombuffer(row["lens"], np.int64)
-                spans = [covered(found[d][0]).tolist() if d in found else [] for d in range(n)]
-                yield {"doc_id": row["doc_ids"], "n_words": lens, "spans": [[{"start": a, "end": b} for a, b in x] for x in spans], "items": [sorted(set(found[d][1])) if d in found else [] for d in range(n)], "n_near": [found[d][2] if d in found else 0 for d in range(n)]}
+                spans, items, near = [[] for _ in lens], [[] for _ in lens], [0] * len(lens)
+                for h in row["hits"] or []:
+                    k = h["n"]
+                    every = np.array([(x["start"], x["end"]) for x in [*spans[k], *h["spans"]]], np.int64).reshape(-1, 2)
+                    spans[k] = [{"start": a, "end": b} for a, b in covered(every).tolist()]
+                    items[k] = sorted({*items[k], *h["items"]})
+                    near[k] += h["n_near"]
+                yield {"doc_id": row["doc_ids"], "n_words": lens, "spans": spans, "items": items, "n_near": near}
 
-    return arrow_map(index, look, f"doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>, n_near long")
+    blocks = index.select("block", "doc_ids", "lens").join(by_block, "block", "left").select("doc_ids", "lens", "hits")
+    return arrow_map(blocks, together, f"doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>, n_near long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """search() over a fresh index of docs, kept as a table in the shared folder.
 
     Null texts have no words; an item without words has no window; repeated rows give repeated results.
-    An empty benchmark matches nothing.
+    An empty benchmark matches nothing; an empty table of documents gives an empty result.
     """
     return search(save(build_index(docs, id_col, text_col), **{"parquet.block.size": 16 << 20}), benchmark, window=window)
 
@@ -266,11 +299,11 @@ def op5_decontam(spark, sf_dir):
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            rows = b.select(["n_words", "spans", "items"]).to_pylist()
+            rows = b.select(["n_words", "spans", "items", "n_near"]).to_pylist()
             hit = [sum(s["end"] - s["start"] for s in r["spans"]) for r in rows]
-            yield {"doc_id": b.column(0), "n_words": b.column(1), "n_hit": hit, "n_items": [len(r["items"]) for r in rows], "items_sha256": [hashlib.sha256(",".join(r["items"]).encode()).hexdigest() for r in rows], "contaminated": [h > 0 and 20 * h >= r["n_words"] for h, r in zip(hit, rows, strict=True)]}
+            yield {"doc_id": b.column(0), "n_words": b.column(1), "n_hit": hit, "n_items": [len(r["items"]) for r in rows], "items_sha256": [hashlib.sha256(",".join(r["items"]).encode()).hexdigest() for r in rows], "contaminated": [h > 0 and 20 * h >= r["n_words"] for h, r in zip(hit, rows, strict=True)], "n_near": [r["n_near"] for r in rows]}
 
-    return arrow_map(found, digest, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return arrow_map(found, digest, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -281,10 +314,21 @@ iw AS (SELECT DISTINCT item_id, array_to_string(w[k:least(k + 12, len(w))], ' ')
        FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(k) WHERE len(w) > 0),
 dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS g
        FROM d, (SELECT DISTINCT n FROM iw) l, unnest(range(1, len(w) - n + 2)) t(k)),
-m AS (SELECT doc_id, k, n, item_id FROM dw JOIN iw USING (g, n)),
+m AS (SELECT doc_id, k, n, g, item_id FROM dw JOIN iw USING (g, n)),
 h AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM m, unnest(range(n)) u(j) GROUP BY doc_id),
-it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS s FROM m GROUP BY doc_id)
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS s FROM m GROUP BY doc_id),
+wt AS (SELECT g, n, t, min(p) AS first_ FROM (SELECT g, n, unnest(string_split(g, ' ')) AS t, unnest(range(1, n + 1)) AS p FROM (SELECT DISTINCT g, n FROM iw) x) y GROUP BY g, n, t),
+wn AS (SELECT g, count(*) AS terms FROM wt GROUP BY g),
+ow AS (SELECT g, count(*) AS owners FROM iw GROUP BY g),
+dp AS (SELECT * FROM (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d) x WHERE t IN (SELECT t FROM wt)),
+dc AS (SELECT doc_id, t, count(*) AS c FROM dp GROUP BY doc_id, t),
+ca AS (SELECT doc_id, g, n, terms, rare FROM (SELECT doc_id, g, n, count(*) AS k, arg_min(t, c * 100 + first_) AS rare FROM dc JOIN wt USING (t) GROUP BY doc_id, g, n) q JOIN wn USING (g) WHERE k = terms),
+at_ AS (SELECT ca.doc_id, ca.g, ca.n, terms, p FROM ca JOIN dp ON dp.doc_id = ca.doc_id AND dp.t = rare),
+nr AS (SELECT a.doc_id, a.g, a.n, a.p FROM at_ a JOIN wt USING (g) JOIN dp q ON q.doc_id = a.doc_id AND q.t = wt.t AND q.p BETWEEN a.p - a.n - 5 AND a.p + a.n + 5
+       GROUP BY a.doc_id, a.g, a.n, a.p, terms HAVING count(DISTINCT q.t) = terms),
+nn AS (SELECT doc_id, sum(owners) AS n_near FROM nr JOIN ow USING (g) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = nr.doc_id AND m.g = nr.g AND m.k <= nr.p AND nr.p < m.k + m.n) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
