@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slateledger.llm.common import held_out
+from slateledger.llm.common import held_out, save
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, label) for at most `most` labelled rows outside the held-out rest, chosen by a hash
-    of the id. Null ids and labels are left out; of several labels for an id the largest counts."""
+#: Text that a sample may have in all.
+MOST_BYTES = 128 << 20
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, most: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(doc_id, text, label), a written table: at most `most` labelled rows outside the held-out rest, chosen
+    by a hash of the id, and of these, in that order, as many whole texts as `most_bytes` hold in all.
+
+    Null ids and labels are left out; of several labels for an id the largest counts; rows of documents
+    that repeat an id are all taken. Empty tables give an empty sample.
+    """
     ids = labels.select(labels[id_col].alias("doc_id"), labels[label].cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = ids.where(~held_out("doc_id", mod, rest)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return src.join(F.broadcast(ids), "doc_id")  # at most `most` rows of two numbers
+    rows = save(src.join(F.broadcast(ids), "doc_id").withColumn("_n", F.monotonically_increasing_id()))  # at most `most` ids
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "_n"))
+    fits = rows.select("_n", size.alias("size")).where(F.col("size") <= most_bytes).select("_n")
+    return rows.join(fits, "_n", "left_semi").select("doc_id", "text", "label")
 
 
 def folds(ids: np.ndarray, k: int) -> np.ndarray:

@@ -6,7 +6,6 @@ from the documents' labels weighs them, and the weighted mean of the encodings i
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +16,10 @@ from pyspark.sql import functions as F
 from slateledger.llm.common import arrow_map, as_bytes, table
 from slateledger.llm.labelled import sample
 
-#: At most so many labelled rows are used for fitting.
+#: At most so many labelled rows are used for fitting (and labelled.MOST_BYTES of their text).
 MOST_LABELLED = 8_000
-#: A document of more passages is fitted on so many means of neighbouring ones (scoring takes each passage).
-MOST_PASSAGES = 256
+#: A step of fitting takes whole bags of about so many passages in all.
+STEP_PASSAGES = 1024
 #: Bytes of a passage; all of a text is in one.
 PASSAGE = 512
 HIDDEN, ATTENTION = 24, 12
@@ -32,14 +31,16 @@ for _k, _chars in enumerate((b" \t\v\f", b"\n\r", bytes(range(0x61, 0x7B)), byte
         _CLASSES[_c] = _k
 _CLASSES[0x80:] = 2  # letters of the texts' languages
 N = 12
-#: Besides transitions: share of the passage in use, and of the document distinct words and lines, their lengths.
+#: Besides transitions, of the passage alone: share in use, distinct words and lines, their lengths.
 EXTRA = 6
 SIZE = N * N + EXTRA
-_LINE = re.compile(rb"[^\n]+")
 
 
 def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of all passages, and where each text's passages begin; an empty text has one empty passage."""
+    """Vectors of all passages, and where each text's passages begin; an empty text has one empty passage.
+
+    Every number is of its passage alone, so that what a document scores goes through the attention.
+    """
     texts = [t or b"" for t in texts]
     lens = np.array(list(map(len, texts)), np.int64)
     bags = np.maximum(1, -(-lens // PASSAGE))
@@ -56,27 +57,18 @@ def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     used = np.bincount(passage, minlength=total)
     x[:, : N * N] = np.sqrt(x[:, : N * N] / np.maximum(1, used)[:, None])
     x[:, N * N] = used / PASSAGE
-    about = np.zeros((len(texts), EXTRA - 1))
-    for k, t in enumerate(texts):
-        if words := t.split():
-            lines = _LINE.findall(t)
-            about[k] = len(set(words)) / len(words), len(set(lines)) / max(1, len(lines)), np.log1p(len(words)), (len(t) - len(words)) / len(words) / 10, np.log1p(len(words) / max(1, len(lines)))
-    x[:, N * N + 1 :] = np.repeat(about, bags, axis=0)
+    row = 0
+    for t in texts:
+        for k in range(0, max(1, len(t)), PASSAGE):
+            own = t[k : k + PASSAGE]
+            if words := own.split():
+                lines = [y for y in own.split(b"\n") if y]
+                n = len(words)
+                x[row, N * N + 1 :] = len(set(words)) / n, len(set(lines)) / max(1, len(lines)), np.log1p(n), (len(own) - n) / n / 10, np.log1p(n / max(1, len(lines)))
+            row += 1
     return x, begin
 
 
-def pooled(x: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bags of at most MOST_PASSAGES vectors: means of equal shares of the longer ones."""
-    out = []
-    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-        if b - a > MOST_PASSAGES:
-            cut = a + np.arange(MOST_PASSAGES) * (b - a) // MOST_PASSAGES
-            out.append(np.add.reduceat(x[:b], cut) / np.diff(np.r_[cut, b])[:, None])
-        else:
-            out.append(x[a:b])
-    return np.concatenate(out).astype(np.float32), np.r_[0, np.cumsum([len(v) for v in out])]
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -113,17 +105,19 @@ class AttentionMIL:
         dh = (dh + dv @ p["V"].T + du @ p["U"].T) * (1 - h**2)
         return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ da[:, None], "o": z.T @ d, "c": d.sum(axis=0)}
 
-    def fit(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 128, rate: float = 4e-3, decay: float = 1e-4, seed: int = 11) -> AttentionMIL:
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        x, r, step = (x - self.mean) / self.scale, np.random.default_rng(seed), 0
+    def fit(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 4e-3, decay: float = 1e-4, seed: int = 11) -> AttentionMIL:
+        shares = [slice(k, k + 65_536) for k in range(0, len(x), 65_536)]
+        self.mean = sum(x[k].sum(axis=0, dtype=float) for k in shares) / len(x)
+        self.scale = np.sqrt(sum(((x[k] - self.mean) ** 2).sum(axis=0) for k in shares) / len(x)) + 1e-3
+        r, step = np.random.default_rng(seed), 0
         m, s = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for epoch in range(epochs):
             order = r.permutation(len(y))
-            for k in range(0, len(y), batch):
-                own = order[k : k + batch]
+            full = np.cumsum(np.diff(begin)[order]) // STEP_PASSAGES
+            for own in np.split(order, np.flatnonzero(full[1:] != full[:-1]) + 1):
                 sizes = begin[own + 1] - begin[own]
                 at = np.repeat(begin[own] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-                g, step = self.gradient(x[at], np.r_[0, np.cumsum(sizes)], y[own]), step + 1
+                g, step = self.gradient((x[at] - self.mean) / self.scale, np.r_[0, np.cumsum(sizes)], y[own]), step + 1
                 for n, v in g.items():
                     v = v + decay * self.p[n]
                     m[n], s[n] = 0.9 * m[n] + 0.1 * v, 0.999 * s[n] + 0.001 * v * v
@@ -147,17 +141,21 @@ class AttentionMIL:
 
 
 class Prior:
-    """Where one of the labels is missing: every text scores alike."""
+    """Where one of the labels is missing there is nothing to tell texts apart by: every text scores alike, below a half."""
 
     def __init__(self, value: float):
-        self.value = value
+        self.value = min(0.49, value)
 
     def score(self, texts: list) -> np.ndarray:
         return np.full(len(texts), self.value)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3, rest: int = 1, most: int = MOST_LABELLED) -> AttentionMIL | Prior:
-    """Fit on at most `most` labelled rows; their passages are encoded on the executors."""
+    """Fit on at most `most` labelled rows; every passage of them is encoded on the executors and learned from.
+
+    Rows that repeat an id are all learned from; null texts are empty passages. Where documents or labels
+    are empty, or one label is missing, every text scores alike, below a half.
+    """
     rows = sample(docs, labels, label, mod, rest, most)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -165,15 +163,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 x, begin = encode(as_bytes(part.column(1)))
-                x, begin = pooled(x, begin)
+                x = x.astype(np.float16)
                 yield {"id": part.column(0), "label": part.column(2), "x": [x[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]}
 
     got = sorted((r[0], r[1], bytes(r[2])) for r in arrow_map(rows.select(F.xxhash64("doc_id").alias("id"), "text", "label"), vectors, "id long, label int, x binary").toLocalIterator())
     y = np.array([r[1] for r in got], float)
     if not 0 < y.sum() < len(y):
-        return Prior(float(y.mean()) if len(y) else 0.5)
-    bags = [np.frombuffer(r[2], np.float32).reshape(-1, SIZE) for r in got]
-    return AttentionMIL().fit(np.concatenate(bags), np.r_[0, np.cumsum([len(b) for b in bags])], y)
+        return Prior(float(y.mean()) if len(y) else 0.49)
+    sizes = [len(r[2]) // (2 * SIZE) for r in got]
+    x = np.frombuffer(b"".join(r[2] for r in got), np.float16).reshape(-1, SIZE)
+    return AttentionMIL().fit(x, np.r_[0, np.cumsum(sizes)], y)
 
 
 def op7_quality(spark, sf_dir):

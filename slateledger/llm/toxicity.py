@@ -17,7 +17,7 @@ from slateledger.llm.boosting import Boosted, Isotonic
 from slateledger.llm.common import arrow_map, as_bytes, held_out, save, ship, table
 from slateledger.llm.labelled import folds, sample
 
-#: At most so many labelled rows are used for fitting, and so many learned words kept.
+#: At most so many labelled rows are used for fitting (and labelled.MOST_BYTES of their text), and so many learned words kept.
 MOST_LABELLED, MOST_LEARNED = 12_000, 400
 #: A word is learned from this many toxic texts on, at this ratio of its rates.
 LEAST_TEXTS, LEAST_RATIO = 3, 6.0
@@ -131,7 +131,11 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, rest: int = 0, most: int = MOST_LABELLED) -> Model:
     """Fit on at most `most` labelled rows. Words are learned on one half to make features of the other, so
-    that no text is judged by words learned from itself; the calibration sees out-of-fold margins only."""
+    that no text is judged by words learned from itself; the calibration sees out-of-fold margins only.
+
+    Rows that repeat an id are all learned from, in the same half; null texts are empty. Where documents or
+    labels are empty, or one label is missing, every text scores alike, below a half.
+    """
     rows = save(sample(docs, labels, label, mod, rest, most))
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     lex = [Lexicon(learned=learn_words(rows.where(half != k))) for k in (0, 1)]
@@ -154,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5,
 
 
 def scorer(docs: DataFrame, model, text_col: str = "text") -> Column:
-    """The model's score of a text column, as a column; null and empty texts have a score, too."""
+    """The model's score of a text column, as a column. Null and empty texts have a score, too, and repeated
+    rows the same one; an empty table has no scores. No other column is read, whatever its name."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -169,6 +174,8 @@ def scorer(docs: DataFrame, model, text_col: str = "text") -> Column:
 
 
 def scored(docs: DataFrame, model, mod: int, rest: int) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score, predicted. A null id is held out as the empty text's
+    remainder says; repeated rows have equal results; an empty table gives an empty result."""
     out = docs.select(docs["doc_id"], scorer(docs, model).alias("score"))
     return out.select("doc_id", held_out("doc_id", mod, rest).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
