@@ -86,20 +86,25 @@ _ALIKE |= dict.fromkeys("‐‑‒–—―−﹣", "-") | dict.fromkeys("․。
 _ALIKE |= dict.fromkeys("              　", " ")
 _ALIKE |= dict.fromkeys("­​‌‍⁠﻿", "")
 _ALIKE |= {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}  # full width
-# Digits as words.
+# Digits as words, in the texts' languages.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "plus": "+"}
-_DOT_WORDS, _AT_WORDS = r"dot|point|punto|punkt", r"at|arroba"
+_SPELLED |= {"zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9"}
+_SPELLED |= {"null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
+_SPELLED |= {"cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "más": "+"}
+_DOT_WORDS, _AT_WORDS = r"dot|point|punto|punkt", r"at|arroba|arobase|chez|ät"
 
 #: Characters beyond the ones that the texts' languages use: only these can be lookalikes.
 _ODD = re.compile("[ ­·Ͱ-῿ -⁯−①-⓿⺀-\U0010ffff]")
-_BRACKETED_AT = re.compile(rf"\s{{0,3}}[(\[{{<]\s{{0,3}}(?:{_AT_WORDS}|@)\s{{0,3}}[)\]}}>]\s{{0,3}}", re.I)
-_BRACKETED_DOT = re.compile(rf"\s{{0,3}}[(\[{{<]\s{{0,3}}(?:{_DOT_WORDS}|\.)\s{{0,3}}[)\]}}>]\s{{0,3}}", re.I)
-_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:(\s{{1,3}}(?:{_AT_WORDS})\s{{1,3}})|\s?@\s?)[A-Za-z0-9-]{{1,63}}(?:\s{{1,3}}(?:{_DOT_WORDS})\s{{1,3}}[A-Za-z0-9-]{{1,63}}){{1,8}}", re.I)
-_BARE_DOT = re.compile(rf"\s{{1,3}}(?:{_DOT_WORDS})\s{{1,3}}", re.I)
-_BARE_AT = re.compile(rf"\s{{1,3}}(?:{_AT_WORDS})\s{{1,3}}|\s?@\s?", re.I)
-_WORDS = "|".join(_SPELLED)
-_RUN = re.compile(rf"\b(?:{_WORDS})(?:[\x20,.-]{{1,2}}(?:(?:{_WORDS})\b|[0-9]+(?![0-9A-Za-z])))*", re.I)
+# No pattern can be entered twice in one run of spaces or characters, so that each is linear in the text.
+_BRACKETED_AT = re.compile(rf"[(\[{{<]\s*+(?:{_AT_WORDS}|@)\s*+[)\]}}>]\s*+", re.I)
+_BRACKETED_DOT = re.compile(rf"[(\[{{<]\s*+(?:{_DOT_WORDS}|\.)\s*+[)\]}}>]\s*+", re.I)
+_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(\s++(?:{_AT_WORDS})\s++)|\s?+@\s?+)[A-Za-z0-9-]++(?:\s++(?:{_DOT_WORDS})\s++[A-Za-z0-9-]++)++", re.I)
+_BARE_DOT = re.compile(rf"(?<!\s)\s++(?:{_DOT_WORDS})\s++", re.I)
+_BARE_AT = re.compile(r"\s?+@\s?+")
+_WORDS = "|".join(sorted(_SPELLED, key=len, reverse=True))
+_RUN = re.compile(rf"\b(?:{_WORDS})\b(?:[\x20,.-]++(?:(?:{_WORDS})\b|[0-9]++(?![0-9A-Za-z])))*+", re.I)
 _WORD = re.compile(rf"(?:{_WORDS})\b|[0-9]+", re.I)
+_TOKEN = re.compile(r"\w+")
 
 
 class Rewritten:
@@ -135,31 +140,42 @@ def _lookalikes(text: str) -> list[tuple[int, int, str]]:
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     """Runs with at least three spelled digits, as digits."""
-    low = text.lower()
-    if not any(w in low for w in ("two", "three", "four", "five", "six", "seven", "eight", "nine", "zero")) and low.count("one") < 3:
-        return []
-    out = []
+    out, tokens = [], _TOKEN.findall(text.lower())
+    if _SPELLED.keys().isdisjoint(tokens) or not any(a in _SPELLED and (b in _SPELLED or b[0].isdigit()) for a, b in zip(tokens, tokens[1:], strict=False)):
+        return out
     for m in _RUN.finditer(text):
-        words = _WORD.findall(m.group())
-        if sum(w.lower() in _SPELLED and w.lower() != "plus" for w in words) >= 3:
-            out.append((m.start(), m.end(), "".join(_SPELLED.get(w.lower(), w) for w in words)))
+        words = [w.lower() for w in _WORD.findall(m.group())]
+        if sum(_SPELLED.get(w, "+") != "+" for w in words) >= 3:
+            out.append((m.start(), m.end(), "".join(_SPELLED.get(w, w) for w in words)))
     return out
 
 
 def _brackets(pattern: re.Pattern, new: str) -> Callable[[str], list[tuple[int, int, str]]]:
-    return lambda text: [(m.start(), m.end(), new) for m in pattern.finditer(text)]
+    """Bracketed words with the spaces about them."""
+
+    def edits(text: str) -> list[tuple[int, int, str]]:
+        out, last = [], 0
+        for m in pattern.finditer(text):
+            a = m.start()
+            while a > last and text[a - 1].isspace():
+                a -= 1
+            last = m.end()
+            out.append((a, last, new))
+        return out
+
+    return edits
 
 
 def _bare(text: str) -> list[tuple[int, int, str]]:
     """`name at host dot com` with spaces about the words: only the whole pattern is rewritten."""
     low = text.lower()
-    if not any(f"{w} " in low for w in _DOT_WORDS.split("|")):
+    if not any(w in low for w in _DOT_WORDS.split("|")):
         return []
     out = []
     for m in _BARE.finditer(text):
-        at = _BARE_AT.search(text, m.start(), m.end()) if m.group(1) is None else re.compile(re.escape(m.group(1))).search(text, m.start(1))
-        out.append((at.start(), at.end(), "@"))
-        out += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, at.end(), m.end())]
+        a, b = m.span(1) if m.group(1) is not None else _BARE_AT.search(text, m.start(), m.end()).span()
+        out.append((a, b, "@"))
+        out += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, b, m.end())]
     return out
 
 
@@ -193,7 +209,8 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, base and added (arrays of kind, start, end), in code points.
 
-    A null text counts as empty and has no spans; repeated rows give repeated results.
+    A null text counts as empty and has no spans; repeated rows give repeated results; an empty table gives
+    an empty result. Disguised forms may be of any length.
     """
     src = texts(docs, id_col, text_col)
     span = "array<struct<kind:string,start:long,end:long>>"
@@ -213,13 +230,13 @@ def digest(spans: list[dict]) -> str:
 
 
 def op10_pii(spark, sf_dir):
-    """The counts are of all spans, base and added."""
+    """The counts are of all spans, base and added; n_spans is their sum."""
     found = pii_spans(table(spark, sf_dir, "documents"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             base, added = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             every = [b + a for b, a in zip(base, added, strict=True)]
-            yield {"doc_id": batch.column(0), **{f"n_{k}": [sum(s["kind"] == k for s in x) for x in every] for k in KINDS}, "base_sha256": [hashlib.sha256(digest(b).encode()).hexdigest() for b in base], "spans": [digest(x) for x in every], "n_added": [len(a) for a in added]}
+            yield {"doc_id": batch.column(0), **{f"n_{k}": [sum(s["kind"] == k for s in x) for x in every] for k in KINDS}, "base_sha256": [hashlib.sha256(digest(b).encode()).hexdigest() for b in base], "spans": [digest(x) for x in every], "n_added": [len(a) for a in added], "n_spans": [len(x) for x in every]}
 
-    return arrow_map(found, count, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return arrow_map(found, count, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
