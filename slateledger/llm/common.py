@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import io
 import math
+import re
 import tempfile
 import uuid
 import zipfile
@@ -48,9 +49,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; a folder of our own where that is unset and everything
+    runs in one process, as in tests. On a cluster an unset folder is refused: executors couldn't share it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"{tempfile.gettempdir()}/slateledger-checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

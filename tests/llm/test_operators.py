@@ -165,13 +165,31 @@ def test_induced_suffix_and_prefix_arrays(monkeypatch, in_memory):
             assert lcp[i + 1] == min(n, cap)
 
 
-def test_quotient_filters_merge_without_loss():
+@pytest.mark.parametrize("kind", range(4))
+def test_quotient_filters_merge_without_loss(kind):
+    """Encoded and decoded, cut into bytes and merged in any split, the multiset stays."""
+    C = exact.CountingQuotientFilter
     r = np.random.default_rng(4)
-    f = r.integers(0, 300, 2000).astype(np.uint64) << np.uint64(40)
-    whole = exact.CountingQuotientFilter.of(f)
-    merged = exact.CountingQuotientFilter.merged([exact.CountingQuotientFilter.of(x) for x in np.array_split(f, 9)])
-    assert (whole.fingerprints == merged.fingerprints).all() and (whole.counts == merged.counts).all()
-    assert set(merged.repeated().tolist()) == {x for x in set(f.tolist()) if (f == x).sum() > 1}
+    for _ in range(40):
+        n = int(r.integers(0, 400))
+        f = [r.integers(0, 2**64, n, dtype=np.uint64), r.integers(0, 50, n).astype(np.uint64) << np.uint64(int(r.integers(0, 58))), np.full(n, 2**64 - 1, np.uint64), r.integers(0, 300, n).astype(np.uint64)][kind]
+        want = [x.tolist() for x in np.unique(f, return_counts=True)]
+        assert [x.tolist() for x in C.of(f).items()] == want
+        assert [x.tolist() for x in C.from_bytes(C.of(f).to_bytes()).items()] == want
+        parts = np.array_split(r.permutation(f), int(r.integers(1, 9)))
+        assert [x.tolist() for x in C.all_merged([C.of(x) for x in parts]).items()] == want
+
+
+def test_quotient_filters_store_remainders_and_counters():
+    """One run for two fingerprints that share a quotient; a counter of several digits; few bytes a fingerprint."""
+    C = exact.CountingQuotientFilter
+    r = np.random.default_rng(1)
+    big = C.encoded(np.array([3, 9], np.uint64), np.array([2**60 + 5, 1], np.uint64))
+    assert C.from_bytes(big.to_bytes()).items()[1].tolist() == [2**60 + 5, 1] and big.counter.sum() > 1
+    f = np.unique(r.integers(0, 2**64, 50_000, dtype=np.uint64))
+    c = C.of(f)
+    assert c.occupied.sum() == c.runend.sum() < len(f) == len(c.slots) and int(c.slots.max()) < 2 ** (64 - c.q)
+    assert len(c.to_bytes()) < 7 * len(f)
 
 
 def test_copies_equal_brute_force(spark, docs):
@@ -186,11 +204,22 @@ def test_copies_without_ids_and_repeated_rows(spark):
 
 
 def test_all_fingerprint_collisions_are_verified(spark, docs, monkeypatch):
-    """One quotient for all: every document is routed to verification and the result is the same."""
-    monkeypatch.setattr(exact, "MOST_QUOTIENT_BITS", 10)
-    some = docs * 1
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_dedup(frame(spark, some)).collect()}
-    assert got == {d: (k, n) for d, (k, n, _) in brute.copies(some).items()}
+    """Documents of one fingerprint are all compared byte by byte, and the result is the same."""
+    few = [d for d in docs if len(d[1] or "") < 2000]
+    batch = {"lens": np.array([len((t or "").encode()) for _, t in few]).tobytes(), "body": zstandard.ZstdCompressor(1).compress("".join(t or "" for _, t in few).encode())}
+    monkeypatch.setattr(exact.xxhash, "xxh3_64_intdigest", lambda t: 7)
+    own = exact.Fingerprints(batch, 4)
+    rows = rows_of(own.rows(5))
+    got = list(exact.merge_filters(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert len(rows) == 1 and all(own.repeated(got[0]["part"], got[0]["bits"]))
+
+
+def test_verification_tells_different_texts_of_one_hash():
+    z = zstandard.ZstdCompressor(1).compress
+    rows = lambda *x: iter([pa.RecordBatch.from_pylist([{"sha": s, "body": z(t)} for s, t in x])])
+    assert [r["sha"] for r in exact.verify(rows((b"1", b"a"), (b"1", b"a"), (b"2", b"b")))] == [[b"1", b"2"]]
+    with pytest.raises(RuntimeError):
+        list(exact.verify(rows((b"1", b"a"), (b"1", b"b"))))
 
 
 def near_copies(seed):
@@ -215,20 +244,43 @@ def test_near_copies_equal_brute_force(spark):
     assert len(set(want.values())) < len({t for _, t in docs})
 
 
-@pytest.mark.parametrize("run", [256, 3])
-def test_no_link_is_lost(monkeypatch, run):
+@pytest.mark.parametrize("run,room,hot", [(256, 1 << 22, 0.0), (3, 700, 0.0), (256, 1 << 22, 1.0), (3, 700, 0.5)])
+@pytest.mark.parametrize("hot_segment", [False, True])
+def test_no_link_is_lost(monkeypatch, run, room, hot, hot_segment):
+    """Whatever keys are cut into pieces, and however runs are searched; also where all share a segment."""
     monkeypatch.setattr(simhash, "SHIFT_RUN", run)
+    monkeypatch.setattr(simhash, "RUN_ROOM", room)
     r = np.random.default_rng(6)
     base = r.integers(0, 2**64, 40, dtype=np.uint64)
     fp = np.unique(np.concatenate([base, *[base[:25] ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a, b in r.integers(0, 64, (12, 2))]]))
-    v, f = np.repeat(np.arange(64, dtype=np.uint8), len(fp)), np.tile(fp, 64)
-    a, b = simhash.near_links(v, f)
-    at = {x: i for i, x in enumerate(fp.tolist())}
-    got = components.local_roots(len(fp), np.array([at[x] for x in a.tolist()]), np.array([at[x] for x in b.tolist()]))
+    if hot_segment:
+        fp = np.unique((r.integers(0, 2**12, 400).astype(np.uint64) << np.uint64(20)) | np.uint64(7 << 40))
+    part, v, own = simhash.scattered(fp, 5, r.random(1 << 12) < hot, 12)
+    at, links = {x: i for i, x in enumerate(fp.tolist())}, [(np.zeros(0, int),) * 2]
+    for p in range(5):
+        links.append([np.array([at[x] for x in y.tolist()], int) for y in simhash.near_links(v[part == p], own[part == p])])
+    got = components.local_roots(len(fp), *(np.concatenate(x) for x in zip(*links, strict=True)))
     i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2)
     assert (got == components.local_roots(len(fp), i, j)).all()
 
 
+def test_hot_keys_are_found_and_cut(spark, monkeypatch):
+    """A third of all fingerprints share a segment: their keys are cut, and the links are the same."""
+    monkeypatch.setattr(simhash, "HOT", 100)
+    r = np.random.default_rng(3)
+    fp = np.unique(np.r_[r.integers(0, 2**64, 800, dtype=np.uint64), r.integers(0, 2**14, 500).astype(np.uint64) | np.uint64(5 << 32)])
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long").repartition(3)
+    bitmap, bits = simhash.hot_counters(df, len(fp))
+    hot = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
+    keys = simhash.variant_keys(fp, 40)  # a variant of the upper segment
+    assert hot[simhash.counter(keys[fp >> np.uint64(32) == 5], bits)].all() and not hot.all()
+    got = simhash.simhash_links(df, len(fp), 6).collect()
+    at = {x: i for i, x in enumerate(fp.view(np.int64).tolist())}
+    label = components.local_roots(len(fp), np.array([at[x.a] for x in got]), np.array([at[x.b] for x in got]))
+    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2)
+    assert (label == components.local_roots(len(fp), i, j)).all()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(8, 60)] + [(5, 5), (1000, 7)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
