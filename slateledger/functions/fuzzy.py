@@ -1,4 +1,4 @@
-"""Closest place name to a run of words, as difflib measures closeness; on texts without a known place only."""
+"""Closest place name to a run of words, as difflib measures closeness; for texts without a known place."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from difflib import get_close_matches
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,7 +51,16 @@ def _fuzzy(text: pa.Array) -> pa.Array:
     return pa.array(["" if t is None else fuzzy_place(t) for t in text.to_pylist()], pa.string())
 
 
+def placed(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the place of its text column. Closest names are looked up once for each distinct text without a
+    known place and joined back, so that df is computed twice: for tables, not for long chains of steps."""
+    known = df.withColumn(out, S.place_contained(text))
+    near = known.where(F.col(out) == "").select(F.col(text).alias("_text")).distinct().select("_text", _fuzzy("_text").alias("_near"))
+    return known.join(near, F.col(text) == F.col("_text"), "left").withColumn(out, F.coalesce("_near", out)).drop("_text", "_near")
+
+
 def place(text: Column | str) -> Column:
-    """A place that the text contains, else the closest one; only texts without the first reach Python."""
+    """A place that the text contains, else the closest one. Rows of texts with a known place pass the Python
+    step, too, as nulls: splitting them off would compute the steps before it twice."""
     known = S.place_contained(text)
     return F.when(known != "", known).otherwise(_fuzzy(F.when(known == "", S.col(text))))

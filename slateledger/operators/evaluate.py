@@ -40,6 +40,12 @@ def latest_predictions(predicted: DataFrame) -> DataFrame:
     return predicted.join(top, "file_num").where("fmt = _fmt").drop("_fmt")
 
 
+def available_format(files: DataFrame, predicted: DataFrame) -> DataFrame:
+    """files (file_num) that have predictions, with the format that is taken first: jpg, else png."""
+    had = predicted.groupBy("file_num").agg(F.bool_or(F.col("fmt") == "jpg").alias("_jpg"))
+    return files.select("file_num").distinct().join(had, "file_num").select("file_num", F.when(F.col("_jpg"), "jpg").otherwise("png").alias("fmt"))
+
+
 def accuracy_by_format(rates: DataFrame) -> DataFrame:
     """rates (fmt, matched, gt_count): by format and over all."""
     out = rates.rollup("fmt").agg(F.sum("matched").alias("correct"), F.sum("gt_count").alias("total"))

@@ -92,7 +92,7 @@ def _dated_and_valued(step: Line) -> Line:
 
 def parse_wide(lines: DataFrame) -> DataFrame:
     """One wide row for each invoice, consumed from left to right."""
-    df = settled(before_after(body_lines(lines), "text"), "GSTIN <> ''")
+    df = settled(before_after(body_lines(lines.where(F.col("text").rlike(C.ID_RELAXED))), "text"), "GSTIN <> ''")
     step = Line(_numbered(df), F.col("_after"))
     step.fields += ["GSTIN", "INVOICE_NO", "TRADE_NAME"]
     _dated_and_valued(step).take("REVERSE_CHARGE", r"([NY])\s*", start=True).take("TAX_RATE", C.RATE, start=True)
@@ -110,11 +110,16 @@ def parse_wide(lines: DataFrame) -> DataFrame:
     return step.records(C.CONFIDENCE["wide"], "direct_pdf")
 
 
-def page_groups(pages: DataFrame) -> DataFrame:
-    """(doc_id, n, a, b, c): pages (doc_id, page_no from 0, text) to the first page of each column group."""
+def page_marks(rows: DataFrame) -> DataFrame:
+    """(doc_id, page_no, _a, _b, _c): whether a page (its whole text, or its lines) has a marker of each column group."""
     low = F.lower("text")
-    seen = pages.select("doc_id", "page_no", *[S.any_of(low, m).alias(k) for k, m in (("_a", C.GROUP_A_MARKERS), ("_b", C.GROUP_B_MARKERS), ("_c", C.GROUP_C_MARKERS))])
-    whole = Window.partitionBy("doc_id")
+    seen = rows.select("doc_id", "page_no", *[S.any_of(low, m).alias(k) for k, m in (("_a", C.GROUP_A_MARKERS), ("_b", C.GROUP_B_MARKERS), ("_c", C.GROUP_C_MARKERS))])
+    return seen.groupBy("doc_id", "page_no").agg(*[F.bool_or(k).alias(k) for k in ("_a", "_b", "_c")])
+
+
+def page_groups(rows: DataFrame) -> DataFrame:
+    """(doc_id, n, a, b, c): pages or their lines (doc_id, page_no from 0, text) to the first page of each column group."""
+    whole, seen = Window.partitionBy("doc_id"), page_marks(rows)
     seen = seen.withColumn("a", F.min(F.when(F.col("_a"), F.col("page_no"))).over(whole))
     seen = seen.withColumn("b", F.min(F.when(F.col("_b") & (F.col("page_no") > F.col("a")), F.col("page_no"))).over(whole))
     got = seen.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.min("b").alias("b"), F.min(F.when(F.col("_c") & (F.col("page_no") > F.col("b")), F.col("page_no"))).alias("c"))
@@ -124,7 +129,7 @@ def page_groups(pages: DataFrame) -> DataFrame:
 
 def parse_group_a(lines: DataFrame) -> DataFrame:
     """Supplier and invoice columns."""
-    df = settled(before_after(body_lines(lines), "text"), "GSTIN <> ''")
+    df = settled(before_after(body_lines(lines.where(F.col("text").rlike(C.ID_RELAXED))), "text"), "GSTIN <> ''")
     raw = S.first("text", C.INVOICE)
     df = df.withColumn("_raw", raw).withColumn("_front", S.first("text", f"(?s)^(.*?)(?:{C.INVOICE})"))
     df = df.select(
@@ -174,8 +179,7 @@ def zip_groups(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
 
 def parse_split(lines: DataFrame) -> DataFrame:
     """lines (doc_id, page_no from 0, ord, text): groups of pages hold groups of columns of the same rows."""
-    pages = lines.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    own = lines.join(page_groups(pages), "doc_id")
+    own = lines.join(page_groups(lines), "doc_id")  # markers lie within lines, so no page's text is put together
     cut = lambda lo, hi: own.where((F.col("page_no") >= F.col(lo)) & (F.col("page_no") < F.col(hi))).select(*KEYS, "text")
     return zip_groups(parse_group_a(cut("a", "b")), parse_group_b(cut("b", "c")), parse_group_c(cut("c", "n")))
 
@@ -294,10 +298,12 @@ def row_clusters(boxes: DataFrame, reach: float = 20.0) -> DataFrame:
         return F.when(new, F.struct(x["y"].alias("y"), F.concat(acc["starts"], F.array(x["i"])).alias("starts"))).otherwise(acc)
 
     heights = F.transform("b", lambda x, i: F.struct(x["yc"].alias("y"), i.alias("i")))  # only rows' first boxes are gathered
-    placed = ordered.select("doc_id", F.aggregate(heights, begin, step)["starts"].alias("s"), "b").select("doc_id", "s", F.posexplode("b").alias("i", "z"))
-    row = F.sum(F.array_contains("s", F.col("i")).cast("long")).over(Window.partitionBy("doc_id").orderBy("i"))
-    rows = placed.select("doc_id", "z", row.alias("ord"))
-    return rows.groupBy("doc_id", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z.xc", "z.yc", "z.pos", "z.text"))), lambda x: x["text"]), " ").alias("text"))
+    placed = ordered.select("doc_id", F.aggregate(heights, begin, step)["starts"].alias("s"), "b")
+    ends = F.concat(F.slice("s", F.lit(2), F.size("s")), F.array(F.size("b")))
+    cut = F.transform(F.arrays_zip("s", ends.alias("e")), lambda r: F.slice("b", r["s"] + 1, r["e"] - r["s"]))  # a row's boxes are neighbours
+    rows = placed.select("doc_id", F.posexplode(cut).alias("k", "r"))
+    text = F.array_join(F.transform(F.array_sort(F.transform("r", lambda z: F.struct(z["xc"], z["yc"], z["pos"], z["text"]))), lambda x: x["text"]), " ")
+    return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("ord"), text.alias("text"))
 
 
 def parse_columns(boxes: DataFrame) -> DataFrame:

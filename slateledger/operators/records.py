@@ -67,14 +67,15 @@ def nth(array: str, i: int) -> Column:
     return F.coalesce(F.get(array, F.lit(i)), F.lit(""))
 
 
-def normalise(records: DataFrame, recompute: bool = True) -> DataFrame:
+def normalise(records: DataFrame, recompute: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """The full contract with defaults, value recomputed from its parts and place filled from the state.
 
     Missing columns get their defaults. The image path's own normalisation leaves values as they are.
+    Columns in `keep` come along.
     """
     have = set(records.columns)
     base = {f: F.coalesce(F.col(f).cast("string"), F.lit(C.DEFAULTS.get(f, ""))) if f in have else F.lit(C.DEFAULTS.get(f, "")) for f in C.FIELDS}
-    df = records.select(*[k for k in KEYS if k in have], *[v.alias(f) for f, v in base.items()], *[c for c in ("_confidence", "_source") if c in have])
+    df = records.select(*[k for k in KEYS if k in have], *[v.alias(f) for f, v in base.items()], *[c for c in ("_confidence", "_source") if c in have], *keep)
     if recompute:
         df = df.withColumn("INVOICE_VALUE", S.recalculated("INVOICE_VALUE", "TAXABLE_VALUE", "IGST", "CGST", "SGST", "CESS"))
         df = df.withColumn("PLACE_OF_SUPPLY", F.when(F.col("PLACE_OF_SUPPLY") == "", S.state_name("GSTIN", C.PDF_STATES)).otherwise(F.col("PLACE_OF_SUPPLY")))

@@ -60,7 +60,16 @@ def routes(docs: DataFrame, records: DataFrame, enough: int = 3) -> DataFrame:
     return docs.select("doc_id").join(records.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.coalesce("n", F.lit(0)) >= enough, "digital").otherwise("image").alias("route"))
 
 
+def with_original(records: DataFrame) -> DataFrame:
+    """Records with their fields as they are now in `_original`, for changed() after they were rewritten."""
+    return records.withColumn("_original", F.struct(*C.FIELDS))
+
+
+def changed(records: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, changed): how many fields differ from `_original`."""
+    return records.select(*keys, sum((F.when(~F.col("_original")[f].eqNullSafe(F.col(f)), 1).otherwise(0) for f in C.FIELDS), F.lit(0)).alias("changed"))
+
+
 def corrections(original: DataFrame, corrected: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, changed): how many fields differ."""
-    pair = original.select(*keys, *[F.col(f).alias(f"o_{f}") for f in C.FIELDS]).join(corrected.select(*keys, *C.FIELDS), keys)
-    return pair.select(*keys, sum((F.when(~F.col(f"o_{f}").eqNullSafe(F.col(f)), 1).otherwise(0) for f in C.FIELDS), F.lit(0)).alias("changed"))
+    """(keys, changed): how many fields differ between two tables."""
+    return changed(with_original(original).select(*keys, "_original").join(corrected.select(*keys, *C.FIELDS), keys), keys)

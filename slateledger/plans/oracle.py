@@ -33,6 +33,11 @@ def place(text: str) -> str:
     return "CASE " + " ".join(f"WHEN contains(lower({text}), '{n.lower()}') THEN '{n}'" for n in dict.fromkeys(C.IMAGE_STATES.values())) + " ELSE '' END"
 
 
+def near_place(text: str) -> str:
+    """The same for text that may begin or end within a name: of the names' parts only one is close enough to count."""
+    return f"CASE WHEN {place(text)} <> '' THEN {place(text)} WHEN regexp_matches(lower({text}), '(^| )and kashmir( |$)') THEN 'Jammu and Kashmir' ELSE '' END"
+
+
 def count_words(text: str, words: list[str]) -> str:
     return "(" + " + ".join(f"CAST(contains({text}, {lit(w)}) AS INT)" for w in words) + ")"
 
@@ -111,6 +116,10 @@ class Steps:
         return ", ".join(self.parts) + f" SELECT doc_id, CAST(ord AS BIGINT) AS ord, {', '.join(cols)}, CAST({confidence} AS DOUBLE) AS _confidence, {lit(source)} AS _source FROM s{self.n} WHERE {where}"
 
 
+#: The first of the steps within another statement's table.
+INNER = "WITH one AS (SELECT 1)"
+
+
 def after_id(s: Steps) -> Steps:
     s.add(n_=f"length(regexp_extract(rest, '(?s)^(.*?)' || {lit(C.NAME_END)}, 1)) * CAST(regexp_matches(rest, {lit(C.NAME_END)}) AS INT)")
     s.add(TRADE_NAME="CASE WHEN n_ > 0 THEN trim(substring(rest, 1, n_)) ELSE '' END", rest="CASE WHEN n_ > 0 THEN trim(substring(rest, n_ + 1)) ELSE rest END")
@@ -184,3 +193,79 @@ def bill(ctes: str) -> str:
     s.add(INVOICE_VALUE="CASE WHEN len(am_) >= 5 THEN am_[len(am_)] ELSE coalesce(am_[1], '') END", PLACE_OF_SUPPLY=place("rest"), INVOICE_TYPE=pick(C.TRANSPORT_MODES, "R"), GSTR1_STATUS=pick(C.BILL_STATUSES, ""))
     s.add(id_=repair(first("concat_ws(' ', prev_, rest, next_)", C.ID)), GSTIN=f"CASE WHEN {valid_id('id_')} THEN id_ ELSE '' END").take("TAX_RATE", C.IMAGE_RATE, cut=False)
     return s.records(0.75, "eway_bill", "INVOICE_VALUE <> ''")
+
+
+def bill_ids(ctes: str) -> str:
+    """Bill lines without a bill number, by their identifier."""
+    low = "trim(lower(text))"
+    s = Steps(ctes, f"SELECT doc_id, ord, trim(text) AS text FROM li WHERE length(trim(text)) >= 10 AND NOT ({any_word(low, C.EWB_HEADERS)} AND length(trim(text)) < 100) AND {first('text', C.BILL_NO)} = ''")
+    s.add(GSTIN=repair(first("text", C.ID))).where(valid_id("GSTIN"))
+    return after_id(s.add(rest=f"trim({drop('text', '(?s)^.*?(?:' + C.ID + ')')})")).records(0.80, "eway_bill_gstin")
+
+
+#: Documents' texts.
+TEXTS = "dt AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY ord) AS text FROM li GROUP BY doc_id)"
+
+
+def block_texts() -> str:
+    """Blocks from each identifier of dt to the next, white space unified."""
+    marked = f"regexp_replace(text, {lit(C.ID)}, chr(1) || '\\1', 'g')"
+    cut = f"SELECT doc_id, unnest(string_split({marked}, chr(1))) AS b, unnest(range(1, 2 + length({marked}) - length(text))) AS k, CAST(regexp_matches(text, {lit('^(?:' + C.ID + ')')}) AS INT) AS at_start FROM dt"
+    return f"SELECT doc_id, k - 1 - at_start AS ord, trim(regexp_replace(b, '\\s+', ' ', 'g')) AS text FROM ({cut}) q WHERE k > 1"
+
+
+def block(ctes: str) -> str:
+    s = Steps(ctes, block_texts())
+    s.add(GSTIN=repair(first("text", "^(?:" + C.ID + ")"))).where(valid_id("GSTIN"))
+    return after_id(s.add(rest=f"trim({drop('text', '(?s)^.*?(?:' + C.ID + ')')})")).records(0.80, "ocr_image")
+
+
+def minimal(s: Steps) -> str:
+    """A record of few fields from a context about a joined identifier."""
+    s.add(GSTIN=repair(first("joined", C.ID_COLLAPSED))).where(valid_id("GSTIN"))
+    s.add(am_=image_amounts("context"), inv_=first("context", C.IMAGE_INVOICE), INVOICE_DATE=first("context", C.IMAGE_DATE), INVOICE_VALUE="coalesce(am_[1], '')", TAXABLE_VALUE="coalesce(am_[2], '')")
+    return s.add(INVOICE_NO="CASE WHEN inv_ <> GSTIN THEN inv_ ELSE '' END", PLACE_OF_SUPPLY=near_place("context")).records(0.70, "reconstructed_ocr")
+
+
+def rebuilt(ctes: str) -> str:
+    """Identifiers joined from runs of 2, 3 and 4 words, then from whole lines."""
+    word = "SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY ord, p) - 1 AS at_ FROM (SELECT doc_id, ord, unnest(regexp_split_to_array(text, '\\s+')) AS t, unnest(range(1, 1 + len(regexp_split_to_array(text, '\\s+')))) AS p FROM li) x WHERE t <> ''"
+    over = lambda n: f"OVER (PARTITION BY doc_id ORDER BY at_ ROWS BETWEEN {n} FOLLOWING)"
+    sizes = " UNION ALL ".join(f"SELECT doc_id, {k} AS size, at_, string_agg(t, '') {over(f'CURRENT ROW AND {k - 1}')} AS run, string_agg(t, ' ') {over(f'2 PRECEDING AND {k + 7}')} AS context, count(*) {over(f'CURRENT ROW AND {k - 1}')} AS n FROM words" for k in (2, 3, 4))
+    joined = f"SELECT doc_id, size * {1 << 40} + at_ AS ord, regexp_replace(upper(run), '[^A-Z0-9]', '', 'g') AS joined, context FROM ({sizes}) y WHERE n = size"
+    whole = f"SELECT doc_id, 5 * {1 << 40} + ord AS ord, regexp_replace(text, '\\s+', '', 'g') AS joined, text AS context FROM li"
+    return minimal(Steps(f"{ctes}, words AS ({word}), runs AS ({joined})", f"SELECT * FROM runs WHERE length(joined) >= 15 UNION ALL {whole}"))
+
+
+def column_rows(ctes: str) -> str:
+    """Rows of boxes: with an identifier as a line's rest, else as few fields about a torn one."""
+    row = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS ord, regexp_replace(text, ' +', ' ', 'g') AS text FROM li"
+    s = Steps(INNER, f"SELECT *, {repair(first('text', C.ID))} AS GSTIN FROM ({row}) q WHERE {first('text', C.ID)} <> ''")
+    s.fields.append("GSTIN")
+    strict = after_id(s.where(valid_id("GSTIN")).add(rest=f"trim({drop('text', '(?s)^.*?(?:' + C.ID + ')')})")).records(0.80, "ocr_image")
+    torn = minimal(Steps(INNER, f"SELECT doc_id, ord, regexp_replace(text, '\\s+', '', 'g') AS joined, text AS context FROM ({row}) q WHERE {first('text', C.ID)} = ''"))
+    return f"{ctes}, strict_rows AS ({strict}), torn_rows AS ({torn}) SELECT * FROM strict_rows UNION ALL SELECT * FROM torn_rows"
+
+
+FORMAT = f"CASE WHEN {count_words('lower(text)', C.EWB_KEYWORDS)} >= 2 THEN 'eway_bill' WHEN {count_words('lower(text)', C.STATEMENT_KEYWORDS)} >= 2 THEN 'gst2a' WHEN len({every('text', C.BILL_NO)}) >= 3 THEN 'eway_bill' WHEN len({every('text', C.ID)}) >= 2 THEN 'gst2a' ELSE 'unknown' END"
+
+
+def cascade(ctes: str) -> str:
+    """Common tables up to chosen (doc_id, strategy) and every (all strategies' records)."""
+    found = {"bills": f"SELECT * FROM ({bill(INNER)}) UNION ALL SELECT * FROM ({bill_ids(INNER)})", "lines": line(INNER), "blocks": block(INNER), "anchored": anchored(INNER), "rebuilt": rebuilt(INNER), "generic": generic(INNER)}
+    parts = [ctes, TEXTS, f"fmt AS (SELECT doc_id, {FORMAT} AS fmt FROM dt)", *[f"r_{k} AS MATERIALIZED ({v})" for k, v in found.items()]]
+    parts.append("every AS (" + " UNION ALL ".join(f"SELECT *, '{k}' AS strategy FROM r_{k}" for k in found) + ")")
+    parts.append("counts AS (SELECT fmt.doc_id, fmt, " + ", ".join(f"count(*) FILTER (strategy = '{k}') AS n_{k}" for k in found) + " FROM fmt LEFT JOIN every USING (doc_id) GROUP BY fmt.doc_id, fmt)")
+    parts.append("c0 AS (SELECT *, CASE WHEN fmt = 'eway_bill' THEN n_bills ELSE 0 END AS n, CASE WHEN fmt = 'eway_bill' AND n_bills > 0 THEN 'bills' ELSE '' END AS strategy FROM counts)")
+    parts.append("c1 AS (SELECT * REPLACE (CASE WHEN (fmt = 'gst2a' OR n = 0) AND n_lines > 0 THEN n_lines ELSE n END AS n, CASE WHEN (fmt = 'gst2a' OR n = 0) AND n_lines > 0 THEN 'lines' ELSE strategy END AS strategy), n = 0 AS open_ FROM c0)")
+    for k, (name, tried) in enumerate([("blocks", "(fmt = 'gst2a' OR open_)"), ("anchored", "(fmt = 'gst2a' OR open_)"), ("rebuilt", "(fmt = 'gst2a' OR open_)"), ("generic", "TRUE")], 2):
+        better = f"{tried} AND n < 3 AND n_{name} > n"
+        parts.append(f"c{k} AS (SELECT * REPLACE (CASE WHEN {better} THEN n_{name} ELSE n END AS n, CASE WHEN {better} THEN '{name}' ELSE strategy END AS strategy) FROM c{k - 1})")
+    return ", ".join([*parts, "chosen AS (SELECT doc_id, strategy FROM c5 WHERE strategy <> '')"])
+
+
+def cascade_records(ctes: str) -> str:
+    """The chosen records, the first of each identifier and number, places filled from the state."""
+    once = "row_number() OVER (PARTITION BY doc_id, GSTIN, INVOICE_NO, CASE WHEN GSTIN = '' AND INVOICE_NO = '' THEN ord END ORDER BY ord)"
+    own = states("substring(GSTIN, 1, 2)", C.IMAGE_STATES)
+    return f"{cascade(ctes)} SELECT * REPLACE (CASE WHEN PLACE_OF_SUPPLY = '' THEN {own} ELSE PLACE_OF_SUPPLY END AS PLACE_OF_SUPPLY) FROM every JOIN chosen USING (doc_id, strategy) QUALIFY {once} = 1"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,8 @@ from slateledger.functions import scalars as S
 from slateledger.operators import cascade as cascade_, evaluate, ocr, parse, records, report
 from slateledger.plans import oracle as O
 from slateledger.plans import render
-from slateledger.sources import ingest
+from slateledger.sources import ingest, sinks
+from slateledger.streaming import jobs as jobs_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,8 +55,8 @@ on_lines("q_parse_blocks", "image", lambda li: parse.parse_blocks(li).drop("ord"
 on_lines("q_parse_anchored", "image", parse.parse_anchored, O.anchored(render.sql("image")))
 on_lines("q_parse_generic", "generic", parse.parse_generic, O.generic(render.sql("generic")))
 on_lines("q_parse_ewb", "bill", parse.parse_bills, O.bill(render.sql("bill")))
-on_lines("q_parse_reconstruct", "mixed", parse.parse_rebuilt)
-on_lines("q_parse_colscan", "image", lambda li: parse.parse_columns(boxes(li)))
+on_lines("q_parse_reconstruct", "mixed", parse.parse_rebuilt, O.rebuilt(render.sql("mixed")))
+on_lines("q_parse_colscan", "mixed", lambda li: parse.parse_columns(boxes(li)), O.column_rows(render.sql("mixed")))
 
 
 def boxes(li: DataFrame) -> DataFrame:
@@ -73,10 +76,13 @@ def faded(li: DataFrame) -> DataFrame:
 on_lines("q_ewb_boxes", "bill", lambda li: parse.parse_bills(faded(li), boxes(li)).groupBy("doc_id").agg(F.count("*").alias("n")), f"{render.sql('bill')} SELECT doc_id, count(*) AS n FROM li GROUP BY doc_id")
 
 
-@query("q_parse_split")
+_SPLIT = {"GSTIN": "gstin", "TRADE_NAME": "name", "INVOICE_NO": "concat('INV-', okey)", "INVOICE_DATE": "inv_date", "INVOICE_VALUE": "CAST(value AS STRING)", "PLACE_OF_SUPPLY": "pos", "REVERSE_CHARGE": "rc", "TAX_RATE": "rate", "TAXABLE_VALUE": "CAST(taxable AS STRING)", "IGST": "CAST(igst AS STRING)", "CGST": "CAST(half AS STRING)", "SGST": "CAST(half AS STRING)", "CESS": "'0.00'", "GSTR1_STATUS": "'Y'", "GSTR1_FILING_DATE": "'11-Feb-24'", "GSTR1_PERIOD": "'Feb-24'", "GSTR3B_STATUS": "'Y'", "SOURCE": "CASE WHEN parity = 1 THEN 'Manual' ELSE 'IFF' END"}
+
+
+@query("q_parse_split", f"{render.sql()} SELECT doc_id, ord, {', '.join(f'{_SPLIT.get(f) or O.lit(C.DEFAULTS[f])} AS {f}' for f in C.FIELDS)}, CAST(0.98 AS DOUBLE) AS _confidence, 'direct_pdf' AS _source FROM inv")
 def q_parse_split(spark, d):
-    """Three pages for each ten rows: identifiers, amounts, registration."""
-    return parse.parse_split(split_lines(render.invoices(spark, d)))
+    """Three pages for each document: identifiers, amounts, registration. What is parsed is what was rendered."""
+    return parse.parse_split(split_lines(render.invoices(spark, d))).withColumn("ord", F.col("ord").cast("long"))
 
 
 def split_lines(inv: DataFrame) -> DataFrame:
@@ -112,13 +118,28 @@ scalar("q_pos_substring", "image", {"place": S.place_contained}, {"place": O.pla
 scalar("q_state_lookup", "image", {"pdf": lambda t: S.state_name(F.substring(t, 1, 2), C.PDF_STATES), "image": lambda t: S.state_name(F.substring(t, 1, 2), C.IMAGE_STATES)}, {"pdf": O.states("substring(text, 1, 2)", C.PDF_STATES), "image": O.states("substring(text, 1, 2)", C.IMAGE_STATES)})
 
 
-@query("q_pos_fuzzy")
+# Place names without their fifth letter that are still read as a place, worked out with Python's difflib.
+_NEAR = {
+    "to Jamm and Kashmir by road": "Jammu and Kashmir", "to Himahal Pradesh by road": "Himachal Pradesh", "to Punjb by road": "Punjab",
+    "to Chanigarh by road": "Chandigarh", "to Uttaakhand by road": "Uttarakhand", "to Haryna by road": "Haryana", "to Delh by road": "Delhi",
+    "to Rajathan by road": "Rajasthan", "to Utta Pradesh by road": "Uttar Pradesh", "to Biha by road": "Bihar", "to Sikkm by road": "Sikkim",
+    "to Arunchal Pradesh by road": "Arunachal Pradesh", "to Nagaand by road": "Nagaland", "to Maniur by road": "Manipur",
+    "to Mizoam by road": "Mizoram", "to Tripra by road": "Tripura", "to Meghlaya by road": "Meghalaya", "to Assa by road": "Assam",
+    "to WestBengal by road": "West Bengal", "to Jharhand by road": "Jharkhand", "to Odisa by road": "Odisha",
+    "to Chhatisgarh by road": "Chhattisgarh", "to Madha Pradesh by road": "Madhya Pradesh", "to Gujaat by road": "Gujarat",
+    "to Mahaashtra by road": "Maharashtra", "to Andha Pradesh by road": "Andhra Pradesh", "to Karntaka by road": "Karnataka",
+    "to Goa by road": "Goa", "to Laksadweep by road": "Lakshadweep", "to Keraa by road": "Kerala", "to Tami Nadu by road": "Tamil Nadu",
+    "to Puduherry by road": "Puducherry", "to Andaan by road": "Andaman", "to Telagana by road": "Telangana", "to Ladah by road": "Ladakh",
+}
+_LESS = "concat('to ', substring(pos, 1, 4), substring(pos, 6), ' by road')"
+
+
+@query("q_pos_fuzzy", f"{render.sql()}, near(text, place) AS (VALUES {', '.join(f'({O.lit(k)}, {O.lit(v)})' for k, v in _NEAR.items())}) SELECT doc_id, ord, pos, coalesce(place, '') AS place FROM (SELECT doc_id, ord, pos, {_LESS} AS text FROM inv) q LEFT JOIN near USING (text)")
 def q_pos_fuzzy(spark, d):
     """Names with a letter lost, found again."""
-    from slateledger.functions.fuzzy import place
+    from slateledger.functions.fuzzy import placed
 
-    inv = render.invoices(spark, d).where("length(pos) > 5").select("doc_id", "ord", "pos", F.expr("concat('to ', substring(pos, 1, 4), substring(pos, 6))").alias("text"))
-    return inv.select("doc_id", "ord", "pos", place("text").alias("place"))
+    return placed(render.invoices(spark, d).select("doc_id", "ord", "pos", F.expr(_LESS).alias("text")), "text", "place").drop("text")
 
 
 _RECALC = "CASE WHEN t > 100 AND (v = 0 OR (v > 0 AND v * 100 < t)) THEN CAST(CAST(t AS DECIMAL(15,2)) AS STRING) ELSE CAST(v AS STRING) END"
@@ -142,10 +163,9 @@ def q_normalisers(spark, d):
 _HEADED = "CASE ord % 6 WHEN 0 THEN 'Invoice Number Invoice Date Taxable Value' WHEN 1 THEN 'Page ' || CAST(ord AS STRING) WHEN 2 THEN 'Grand Total' ELSE text END"
 on_lines("q_header_filter", "wide", lambda li: li.select("doc_id", "ord", F.expr(_HEADED).alias("text")).where(~S.header_line("text")), f"{render.sql('wide')}, h AS (SELECT doc_id, ord, {_HEADED} AS text FROM li) SELECT * FROM h WHERE NOT {O.header('text')}")
 on_lines("q_ewb_header_filter", "bill", lambda li: li.select("doc_id", "ord", F.expr(_HEADED).alias("text")).where(~S.bill_header_line("text")), f"{render.sql('bill')}, h AS (SELECT doc_id, ord, {_HEADED} AS text FROM li) SELECT * FROM h WHERE NOT ({O.any_word('trim(lower(text))', C.EWB_HEADERS)} AND length(trim(text)) < 100)")
-_TEXT = "dt AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY ord) AS text FROM li GROUP BY doc_id)"
-_FMT = f"CASE WHEN {O.count_words('lower(text)', C.EWB_KEYWORDS)} >= 2 THEN 'eway_bill' WHEN {O.count_words('lower(text)', C.STATEMENT_KEYWORDS)} >= 2 THEN 'gst2a' WHEN len({O.every('text', C.BILL_NO)}) >= 3 THEN 'eway_bill' WHEN len({O.every('text', C.ID)}) >= 2 THEN 'gst2a' ELSE 'unknown' END"
-on_lines("q_doc_format", "mixed", cascade_.document_formats, f"{render.sql('mixed')}, {_TEXT} SELECT doc_id, {_FMT} AS fmt FROM dt")
-on_lines("q_blocks", "image", lambda li: parse.blocks(li).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")), f"{render.sql('image')} SELECT doc_id, count(*) AS n, CAST(sum(length(regexp_replace(text, ' +', ' ', 'g'))) AS BIGINT) AS chars FROM li GROUP BY doc_id")
+_TEXT = O.TEXTS
+on_lines("q_doc_format", "mixed", cascade_.document_formats, f"{render.sql('mixed')}, {_TEXT} SELECT doc_id, {O.FORMAT} AS fmt FROM dt")
+on_lines("q_blocks", "mixed", parse.blocks, f"{render.sql('mixed')}, {_TEXT} {O.block_texts()}")
 on_lines("q_anchor_context", "image", lambda li: parse.contexts(li).select("doc_id", "ord", "context"), f"{render.sql('image')} SELECT doc_id, ord, string_agg(trim(text), ' ') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS context FROM li")
 on_lines("q_neighbour_context", "bill", lambda li: parse.contexts(li, 1, 1).select("doc_id", "ord", "context"), f"{render.sql('bill')} SELECT doc_id, ord, string_agg(trim(text), ' ') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM li")
 _TOKENS = "tk AS (SELECT doc_id * 100000 + ord AS doc_id, [t FOR t IN regexp_split_to_array(text, '\\s+') IF t <> ''] AS tokens FROM li)"
@@ -182,21 +202,29 @@ SELECT doc_id, n, coalesce(a, 0) AS a, least(n, coalesce(b, greatest(1, n // 3))
 on_lines("q_page_groups", "register", lambda li: parse.page_groups(pages(li).withColumn("text", F.concat(F.expr(_MARKED), "text"))), _GROUPS)
 
 
-@query("q_stream_order_text")
+_PIECE = "array_to_string([text[i + 1] FOR i IN range(length(text)) IF {}], '')"
+
+
+@query("q_stream_order_text", f"{render.sql('image')}, p AS (SELECT doc_id, page_no, CAST(ord * 12 AS INT) AS y, {_PIECE.format('i % 5 < 2')} AS text FROM li UNION ALL SELECT doc_id, page_no, CAST(ord * 12 + 3 AS INT), {_PIECE.format('i % 5 >= 2')} FROM li) SELECT * FROM p WHERE text <> ''")
 def q_stream_order_text(spark, d):
-    """Characters of the lines, each a little off its line's height."""
+    """Characters of the lines, each up to four units off its line's height, so that three in five round to the next one."""
     li = render.lines(render.invoices(spark, d), "image")
     ch = li.select("doc_id", "page_no", "ord", F.posexplode(F.split("text", "")).alias("at", "ch"))
-    return ingest.stream_order(ch.select("doc_id", "page_no", (F.col("ord") * 1000 + F.col("at")).alias("pos"), "ch", (F.col("ord") * 12.0 + F.col("at") % 2).alias("top")))
+    return ingest.stream_order(ch.select("doc_id", "page_no", (F.col("ord") * 1000 + F.col("at")).alias("pos"), "ch", (F.col("ord") * 12.0 + F.col("at") % 5).alias("top")))
 
 
 _PATHS = "CASE doc_id % 4 WHEN 0 THEN concat('/in/GSTR2A_', CAST(doc_id + 1000 AS STRING), '.pdf') WHEN 1 THEN concat('/in/b_', CAST(doc_id + 1000 AS STRING), '.PDF') WHEN 2 THEN concat('/in/scan_', CAST(doc_id + 1000 AS STRING), '.jpg') ELSE concat('/in/', CAST(doc_id AS STRING), '.docx') END"
 
 
-@query("q_classify_docs", f"SELECT doc_id, path, CASE WHEN lower(regexp_extract(path, '(\\.[^./]*)$', 1)) <> '.pdf' THEN 'image' WHEN length(trim(coalesce(text, ''))) >= 100 THEN 'digital_pdf' ELSE 'photo_pdf' END AS kind FROM (SELECT doc_id, text, {_PATHS} AS path FROM documents) q")
+_PAGE = "substring(text, page_no * 150 + 1, CASE page_no WHEN 3 THEN length(text) ELSE 150 END)"
+
+
+@query("q_classify_docs", f"WITH p AS (SELECT doc_id, page_no, length(trim({_PAGE})) AS n FROM documents, unnest(range(4)) t(page_no)), m AS (SELECT doc_id, avg(n) AS c FROM p WHERE page_no < 3 GROUP BY doc_id) SELECT doc_id, path, CASE WHEN lower(regexp_extract(path, '(\\.[^./]*)$', 1)) <> '.pdf' THEN 'image' WHEN coalesce(c, 0) >= 100 THEN 'digital_pdf' ELSE 'photo_pdf' END AS kind FROM (SELECT doc_id, {_PATHS} AS path FROM documents) q LEFT JOIN m USING (doc_id)")
 def q_classify_docs(spark, d):
+    """Documents of four pages, the fourth with all that is left."""
     docs = read(spark, d, "documents")
-    return ingest.classified(docs.select("doc_id", F.lit(0).alias("page_no"), "text"), docs.select("doc_id", F.expr(_PATHS).alias("path")))
+    own = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("page_no")).select("doc_id", "page_no", F.expr(_PAGE).alias("text"))
+    return ingest.classified(own, docs.select("doc_id", F.expr(_PATHS).alias("path")))
 
 
 @query("q_ingest_filter", f"SELECT doc_id, path, n_chars * 10000 AS length, CASE WHEN lower(regexp_extract(path, '(\\.[^./]*)$', 1)) NOT IN ({', '.join(map(O.lit, ingest.EXTENSIONS))}) THEN 'bad_extension' WHEN n_chars * 10000 > 104857600 THEN 'too_large' END AS reason FROM (SELECT doc_id, n_chars, {_PATHS} AS path FROM documents) q")
@@ -209,35 +237,54 @@ def q_file_number(spark, d):
     return read(spark, d, "documents").select("doc_id", ingest.file_number(F.expr(_PATHS)).alias("file_num"))
 
 
-_UUID = "concat('/up/9982a939-eca1-48dd-bce6-010bf8dee05d_doc ', CAST(doc_id AS STRING), '#.v2.pdf')"
+_UUID = "concat(CASE doc_id % 3 WHEN 0 THEN '/up/' WHEN 1 THEN 'C:/data/x.y/' ELSE '' END, CASE doc_id % 2 WHEN 0 THEN '9982A939-eca1-48dd-bce6-010bf8dee05d_' ELSE '' END, source, ' ', CAST(doc_id AS STRING), '#.v2', CASE doc_id % 5 WHEN 0 THEN '' ELSE '.pdf' END)"
+_STEM = "regexp_replace(regexp_replace(regexp_replace(path, '^.*/', ''), '(.)\\.[^.]*$', '\\1'), '^9982A939-eca1-48dd-bce6-010bf8dee05d_', '')"
 
 
-@query("q_display_name", "SELECT doc_id, concat('doc ', CAST(doc_id AS STRING), '#.v2') AS display, concat('doc_', CAST(doc_id AS STRING), '_.v2') AS clean FROM documents")
+@query("q_display_name", f"SELECT doc_id, {_STEM} AS display, regexp_replace({_STEM}, '[^A-Za-z0-9_.-]', '_', 'g') AS clean FROM (SELECT *, {_UUID} AS path FROM documents) q")
 def q_display_name(spark, d):
     return read(spark, d, "documents").select("doc_id", S.display_name(F.expr(_UUID)).alias("display"), S.sanitised(S.display_name(F.expr(_UUID))).alias("clean"))
 
 
-@query("q_html_cells")
+# Pages with two tables each: cells with marks, entities and line ends; every third one leaves rows and cells open.
+_OPEN = "CASE WHEN page_id % 3 = 0 THEN '' ELSE '</td>' END"
+_HTML = f"concat(html, '<table class=\"a\"><tr><th> No </th><th>Ad<b>dress</b></th></tr><tr><td>', CAST(page_id AS STRING), {_OPEN}, '<td>', url, ' ', chr(10), ' &amp; more', {_OPEN}, CASE WHEN page_id % 3 = 0 THEN '' ELSE '</tr>' END, '</table><p>x</p><TABLE><TR><TD>', CAST(length(html) AS STRING), '</TD></TR><tr></tr></TABLE><table></table>')"
+
+
+@query("q_html_cells", "SELECT page_id, '[[[\"No\",\"Address\"],[\"' || page_id || '\",\"' || url || ' & more\"]],[[\"' || length(html) || '\"],[]]]' AS tables FROM pages")
 def q_html_cells(spark, d):
-    return read(spark, d, "pages").select("page_id", ingest.html_tables("html").alias("tables"))
+    return read(spark, d, "pages").select("page_id", F.to_json(ingest.html_tables(F.expr(_HTML))).alias("tables"))
+
+
+_REPLY = "CASE doc_id % 4 WHEN 0 THEN concat('Sure: {\"a\": \"n', CAST(doc_id AS STRING), '\", \"c\": ', CAST(n_chars AS STRING), '} done') WHEN 1 THEN 'no reply' WHEN 2 THEN concat('{\"b\": \"', lang, '\"}') ELSE '{\"a\": broken' END"
+_GOT = "regexp_extract(reply, '(?s)\\{.*\\}', 0)"
 
 
-@query("q_llm_json_merge", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS a, 'kept' AS b FROM documents")
+@query("q_llm_json_merge", f"SELECT doc_id, coalesce(CASE WHEN json_valid({_GOT}) THEN json_extract_string({_GOT}, '$.a') END, source) AS a, coalesce(CASE WHEN json_valid({_GOT}) THEN json_extract_string({_GOT}, '$.b') END, 'kept') AS b, CASE WHEN json_valid({_GOT}) THEN json_extract_string({_GOT}, '$.c') END AS c FROM (SELECT *, {_REPLY} AS reply FROM documents) q")
 def q_llm_json_merge(spark, d):
-    reply = F.when(F.col("doc_id") % 2 == 0, F.lit('Sure: {"a": "new"} done')).otherwise("no reply")
-    own = F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("kept"))
-    got = read(spark, d, "documents").select("doc_id", ingest.merged_reply(own, reply).alias("m"))
-    return got.select("doc_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
+    own = F.create_map(F.lit("a"), F.col("source"), F.lit("b"), F.lit("kept"))
+    got = read(spark, d, "documents").select("doc_id", ingest.merged_reply(own, F.expr(_REPLY)).alias("m"))
+    return got.select("doc_id", *[F.col("m")[k].alias(k) for k in "abc"])
 
 
-@query("q_header_mapping", "SELECT doc_id, concat('id', CAST(doc_id AS STRING)) AS GSTIN, 'n2' AS INVOICE_NO, '18' AS TAX_RATE, 'R' AS INVOICE_TYPE, 'table_extraction' AS SOURCE FROM documents WHERE doc_id % 3 <> 0")
+# Headers for every field, in the order of their columns, and one for none; a later column of a field wins.
+_HEADS = {
+    "Supplier GSTIN ": "GSTIN", "Trade/Legal name": "TRADE_NAME", "Invoice No": "INVOICE_NO", " INVOICE DATE": "INVOICE_DATE", "Invoice Value": "INVOICE_VALUE", "Taxable amount": "TAXABLE_VALUE", "Integrated Tax": "IGST",
+    "CGST": "CGST", "Central Tax": "CGST", "State/UT Tax": "SGST", "Cess": "CESS", "Return Period": "RETURN_PERIOD", "Place of Supply": "PLACE_OF_SUPPLY", "Tax Rate": "TAX_RATE", "Reverse Charge": "REVERSE_CHARGE", "Type of invoice": "INVOICE_TYPE",
+    "Source": "SOURCE", "IRN": "IRN", "IRN date": "IRN_DATE", "Remarks": None, "Invoice No 2": "INVOICE_NO",
+}
+_CELL = lambda h: f"concat('{h.strip()[:3]}', CAST({list(_HEADS).index(h)} AS STRING), '-', CAST(doc_id AS STRING))"
+_LAST = {f: _CELL(h) for h, f in _HEADS.items() if f}
+
+
+@query("q_header_mapping", "SELECT doc_id, CAST(0 AS BIGINT) AS ord, " + ", ".join(f"{_LAST.get(f) or O.lit({**C.DEFAULTS}.get(f, ''))} AS {f}" for f in [*C.FIELDS, "RETURN_PERIOD"]) + " FROM documents WHERE doc_id % 3 <> 0")
 def q_header_mapping(spark, d):
+    """Rows of cells under 21 headers; every third document has no identifier, so no record."""
     from slateledger.operators.tables import table_records
 
-    cell = lambda *x: F.array(*x)
-    ident = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("id"), F.col("doc_id").cast("string")))
-    rows = F.array(cell(*map(F.lit, ("Supplier GSTIN ", "Invoice No", "Tax Rate", "Invoice No 2"))), cell(ident, F.lit("n1"), F.lit("18"), F.lit("n2")))
-    return table_records(read(spark, d, "documents").select("doc_id", rows.alias("rows"))).select("doc_id", "GSTIN", "INVOICE_NO", "TAX_RATE", "INVOICE_TYPE", "SOURCE")
+    cells = F.array(*[F.when((F.col("doc_id") % 3 == 0) & F.lit(f == "GSTIN"), "").otherwise(F.expr(_CELL(h))) for h, f in _HEADS.items()])
+    rows = F.array(F.array(*map(F.lit, _HEADS)), cells, F.array_repeat(F.lit(""), len(_HEADS)))
+    return table_records(read(spark, d, "documents").select("doc_id", rows.alias("rows"))).drop("_confidence", "_source")
 
 
 # ------------------------------------------------------------------ records and reports
@@ -278,46 +325,53 @@ on_records("q_source_counts", report.source_counts, f", {_SOURCES} SELECT SOURCE
 on_records("q_avg_confidence", lambda r: r.agg(F.round(F.avg(F.coalesce(F.col("_confidence").try_cast("double"), F.lit(0.0))), 6).alias("confidence")), "SELECT round(avg(coalesce(TRY_CAST(_confidence AS DOUBLE), 0)), 6) AS confidence FROM r")
 on_records("q_dedupe", lambda r: records.deduplicated(r).select("doc_id", "ord", "GSTIN", "INVOICE_NO"), "SELECT doc_id, ord, GSTIN, INVOICE_NO FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, GSTIN, INVOICE_NO ORDER BY ord) AS k FROM r) q WHERE k = 1 OR (GSTIN = '' AND INVOICE_NO = '')")
 on_records("q_prefix_limits", lambda r: r.withColumn("k", F.row_number().over(parse.in_order())).where("k <= 10").select("doc_id", "ord", F.substring(F.concat_ws(" ", "GSTIN", "TRADE_NAME", "INVOICE_VALUE"), 1, 2000).alias("sample")), "SELECT doc_id, ord, left(concat_ws(' ', GSTIN, TRADE_NAME, INVOICE_VALUE), 2000) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM r) q WHERE k <= 10")
-on_records("q_correction_count", lambda r: report.corrections(r, records.normalise(r), ["doc_id", "ord"]), f", n AS ({_NORM}) SELECT r.doc_id, r.ord, CAST(r.INVOICE_VALUE <> n.INVOICE_VALUE AS INT) + CAST(r.PLACE_OF_SUPPLY <> n.PLACE_OF_SUPPLY AS INT) AS changed FROM r JOIN n USING (doc_id, ord)")
+_CHANGED = f"CAST(CASE WHEN {_TOT} > 100 AND ({_VAL} = 0 OR ({_VAL} > 0 AND {_VAL} * 100 < {_TOT})) THEN CAST(CAST({_TOT} AS DECIMAL(15,2)) AS STRING) ELSE INVOICE_VALUE END <> INVOICE_VALUE AS INT) + CAST(PLACE_OF_SUPPLY = '' AND {O.states('substring(GSTIN, 1, 2)', C.PDF_STATES)} <> '' AS INT)"
+on_records("q_correction_count", lambda r: report.changed(records.normalise(report.with_original(r), keep=("_original",)), ["doc_id", "ord"]), f"SELECT doc_id, ord, {_CHANGED} AS changed FROM r")
+
+
+def on_found(name: str, fn: Callable[[DataFrame, DataFrame], DataFrame], sql: str) -> None:
+    """A query over mixed documents and the records that the line strategy finds in them: some documents have none, some two."""
+
+    def run(li: DataFrame) -> DataFrame:
+        return fn(li.select("doc_id").distinct(), parse.parse_lines(li))
+
+    on_lines(name, "mixed", run, f"{render.sql('mixed')}, found AS ({O.line(O.INNER)}), n AS (SELECT doc_id, count(f.ord) AS n, coalesce(avg(_confidence), 0) AS c FROM (SELECT DISTINCT doc_id FROM li) d LEFT JOIN found f USING (doc_id) GROUP BY doc_id) {sql}")
 
 
-def _some(r: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return r.select("doc_id").distinct(), r.where("ord <= doc_id % 6").withColumn("_confidence", F.col("_confidence").try_cast("double"))
+on_found("q_route_decision", report.routes, "SELECT doc_id, n, CASE WHEN n >= 3 THEN 'digital' ELSE 'image' END AS route FROM n")
+on_found("q_doc_confidence", report.document_confidence, "SELECT doc_id, round(c, 6) AS confidence FROM n")
 
 
-on_records("q_route_decision", lambda r: report.routes(*_some(r)), "SELECT doc_id, n, CASE WHEN n >= 3 THEN 'digital' ELSE 'image' END AS route FROM (SELECT doc_id, count(*) FILTER (ord <= doc_id % 6) AS n FROM r GROUP BY doc_id) q")
-on_records("q_doc_confidence", lambda r: report.document_confidence(*_some(r)), "SELECT doc_id, round(coalesce(avg(TRY_CAST(_confidence AS DOUBLE)) FILTER (ord <= doc_id % 6), 0), 6) AS confidence FROM r GROUP BY doc_id")
+def _side(name: str, where: str, lo: int, hi: int) -> str:
+    return f"{name} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k, {', '.join(C.FIELDS[lo:hi])} FROM r WHERE {where})"
 
 
-@query("q_zip_groups", f"{_RSQL}, a AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k, GSTIN FROM r WHERE ord % 2 = 0), b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k, IGST FROM r WHERE ord % 3 = 0), c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k, SOURCE FROM r WHERE ord % 5 <> 0) SELECT doc_id, k AS ord, GSTIN, coalesce(IGST, '') AS IGST, coalesce(SOURCE, 'Unknown') AS SOURCE FROM a FULL JOIN b USING (doc_id, k) FULL JOIN c USING (doc_id, k)")
+_ZIPPED = ", ".join([*C.FIELDS[:9], *[f"coalesce({f}, {O.lit(C.DEFAULTS.get(f, ''))}) AS {f}" for f in C.FIELDS[9:]]])
+
+
+@query("q_zip_groups", f"{_RSQL}, {_side('a', 'ord % 2 = 0', 0, 9)}, {_side('b', 'ord % 3 = 0', 9, 18)}, {_side('c', 'ord % 5 <> 0', 18, 24)} SELECT doc_id, k AS ord, {_ZIPPED} FROM a FULL JOIN b USING (doc_id, k) FULL JOIN c USING (doc_id, k)")
 def q_zip_groups(spark, d):
     r = raw_records(spark, d)
     side = lambda where, lo, hi: r.where(where).select("doc_id", "ord", *C.FIELDS[lo:hi])
-    return parse.zip_groups(side("ord % 2 = 0", 0, 9), side("ord % 3 = 0", 9, 18), side("ord % 5 <> 0", 18, 24)).select("doc_id", F.col("ord").cast("long").alias("ord"), "GSTIN", "IGST", "SOURCE")
+    return parse.zip_groups(side("ord % 2 = 0", 0, 9), side("ord % 3 = 0", 9, 18), side("ord % 5 <> 0", 18, 24)).select("doc_id", F.col("ord").cast("long").alias("ord"), *C.FIELDS)
 
 
 on_lines("q_emergency_fallback", "image", lambda li: parse.emergency(parse.document_text(li)).select("doc_id", F.col("ord").cast("long").alias("ord"), "GSTIN", "INVOICE_NO", "INVOICE_DATE", "INVOICE_VALUE", "TAXABLE_VALUE"), f"{render.sql('image')}, {_TEXT}, e AS (SELECT doc_id, {O.every('text', chr(92) + 'b(' + chr(92) + 'd{2}[A-Z0-9]{13})' + chr(92) + 'b')} AS g, {O.every('text', C.DATE)} AS d, {O.every('text', r'\b(\d+\.\d{1,2}|\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?)\b')} AS a FROM dt) SELECT doc_id, i - 1 AS ord, g[i] AS GSTIN, 'UNKNOWN-' || CAST(i AS STRING) AS INVOICE_NO, coalesce(d[i], '') AS INVOICE_DATE, coalesce(replace(a[2 * i - 1], ',', ''), '') AS INVOICE_VALUE, coalesce(replace(a[2 * i], ',', ''), '') AS TAXABLE_VALUE FROM e, unnest(range(1, len(g) + 1)) t(i)")
 
 
-on_lines("q_bill_fallback", "bill", lambda li: parse.emergency_with_bills(parse.document_text(li.select("doc_id", "ord", F.expr("CASE WHEN doc_id % 2 = 0 THEN text ELSE substring(text, 1, 60) END").alias("text")))).select("doc_id", "ord", "GSTIN", "INVOICE_NO", "SOURCE", "_confidence"), f"{render.sql('bill')} SELECT doc_id, ord - 1 AS ord, CASE WHEN doc_id % 2 = 0 THEN {O.first('text', C.ID)} ELSE '' END AS GSTIN, CASE WHEN doc_id % 2 = 0 THEN 'UNKNOWN-' || CAST(ord AS STRING) ELSE {O.first('text', C.BILL_NO)} END AS INVOICE_NO, CASE WHEN doc_id % 2 = 0 THEN 'regex_fallback' ELSE 'eway_bill_fallback' END AS SOURCE, CAST(CASE WHEN doc_id % 2 = 0 THEN 0.3 ELSE 0.25 END AS DOUBLE) AS _confidence FROM li")
+on_lines("q_bill_fallback", "bill", lambda li: parse.emergency_with_bills(parse.document_text(li.select("doc_id", "ord", F.expr("CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[0-9]{2}[A-J]{5}[0-9]{4}F1Z5', 'lost') END").alias("text")))).select("doc_id", "ord", "GSTIN", "INVOICE_NO", "SOURCE", "_confidence"), f"{render.sql('bill')} SELECT doc_id, ord - 1 AS ord, CASE WHEN doc_id % 2 = 0 THEN {O.first('text', C.ID)} ELSE '' END AS GSTIN, CASE WHEN doc_id % 2 = 0 THEN 'UNKNOWN-' || CAST(ord AS STRING) ELSE {O.first('text', C.BILL_NO)} END AS INVOICE_NO, CASE WHEN doc_id % 2 = 0 THEN 'regex_fallback' ELSE 'eway_bill_fallback' END AS SOURCE, CAST(CASE WHEN doc_id % 2 = 0 THEN 0.3 ELSE 0.25 END AS DOUBLE) AS _confidence FROM li")
 
 
 # ------------------------------------------------------------------ cascade
 
-@query("q_cascade")
+@query("q_cascade", O.cascade_records(render.sql("mixed")))
 def q_cascade(spark, d):
     return cascade_.cascade(render.mixed(render.invoices(spark, d)))
 
 
-_VALID = O.valid_id(O.first("text", C.ID))
-
-
-@query("q_cascade_choice", f"{render.sql('mixed')}, n AS (SELECT doc_id, count(*) AS lines, count(*) FILTER ({_VALID}) AS ids FROM li GROUP BY doc_id) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'lines' WHEN 2 THEN 'bills' ELSE 'blocks' END AS strategy FROM n WHERE lines = 12 AND ids >= 3 AND doc_id % 5 IN (0, 2, 3)")
+@query("q_cascade_choice", f"{O.cascade(render.sql('mixed'))} SELECT doc_id, strategy FROM chosen")
 def q_cascade_choice(spark, d):
-    """What the cascade over all documents settles on, for those that the SQL covers (q_cascade has the choice for every one)."""
-    li = render.mixed(render.invoices(spark, d))
-    known = li.where("ord <= 12").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(S.valid_id(S.strict_id("text"))).alias("ids")).where("lines = 12 and ids >= 3 and doc_id % 5 in (0, 2, 3)").select("doc_id")
-    return cascade_.cascade(li).select("doc_id", "strategy").distinct().join(known, "doc_id", "left_semi")
+    return cascade_.cascade(render.mixed(render.invoices(spark, d))).select("doc_id", "strategy").distinct()
 
 
 # ------------------------------------------------------------------ evaluation
@@ -380,8 +434,8 @@ def _formats(name: str, fn: Callable[[DataFrame, DataFrame], DataFrame], sql: st
     query(name, f"{_ESQL} {sql}")(lambda spark, d: fn(*truth_and_predictions(spark, d)))
 
 
-_formats("q_format_exists", lambda t, p: t.select("file_num").distinct().join(p.where("fmt = 'jpg'").select("file_num").distinct().withColumn("j", F.lit(1)), "file_num", "left").join(p.select("file_num").distinct(), "file_num", "left_semi").select("file_num", F.when(F.col("j").isNotNull(), "jpg").otherwise("png").alias("fmt")), "SELECT file_num, CASE WHEN bool_or(fmt = 'jpg') THEN 'jpg' ELSE 'png' END AS fmt FROM p0 GROUP BY file_num")
-_formats("q_union_formats", lambda t, p: p.where("fmt = 'jpg'").select("file_num", "fmt").unionByName(p.where("fmt = 'png'").select("file_num", "fmt")).groupBy("fmt").agg(F.count("*").alias("n")), "SELECT fmt, count(*) AS n FROM p0 GROUP BY fmt")
+_formats("q_format_exists", evaluate.available_format, "SELECT file_num, CASE WHEN bool_or(fmt = 'jpg') THEN 'jpg' ELSE 'png' END AS fmt FROM p0 GROUP BY file_num")
+_formats("q_union_formats", lambda t, p: p.where("fmt = 'jpg'").select("file_num", "fmt", "ord", "GSTIN").unionByName(p.where("fmt = 'png'").select("fmt", "file_num", "GSTIN", "ord")), "SELECT file_num, fmt, ord, GSTIN FROM p0")
 _formats("q_per_format", lambda t, p: p.groupBy("fmt").agg(F.count_distinct("file_num").alias("with_records"), F.count("*").alias("records")), "SELECT fmt, count(DISTINCT file_num) AS with_records, count(*) AS records FROM p0 GROUP BY fmt")
 
 
@@ -398,6 +452,64 @@ def _setops(t: DataFrame, p: DataFrame) -> DataFrame:
 _formats("q_filenum_setops", _setops, ", j AS (SELECT DISTINCT file_num FROM p0 WHERE fmt = 'jpg'), g AS (SELECT DISTINCT file_num FROM p0 WHERE fmt = 'png') SELECT 'union' AS kind, file_num FROM (SELECT * FROM j UNION SELECT * FROM g) u UNION ALL SELECT 'both', file_num FROM (SELECT * FROM j INTERSECT SELECT * FROM g) i UNION ALL SELECT 'jpg_only', file_num FROM (SELECT * FROM j EXCEPT SELECT * FROM g) a UNION ALL SELECT 'png_only', file_num FROM (SELECT * FROM g EXCEPT SELECT * FROM j) b")
 
 
+def entries_folder(spark) -> str:
+    """A new folder of the shared place for entries that a query writes and reads again."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/slateledger-entries-{uuid.uuid4().hex}"
+
+
+@query("q_training_entries", f"{_RSQL} SELECT concat('job-', doc_id) AS job_id, concat('f', doc_id, '.pdf') AS source_file, ord, GSTIN, INVOICE_VALUE, count(*) OVER (PARTITION BY doc_id) AS record_count, 2 AS texts FROM r")
+def q_training_entries(spark, d):
+    """Training entries written as JSON, read again, and their records."""
+    r, to = raw_records(spark, d), entries_folder(spark)
+    jobs = r.select("doc_id").distinct().select("doc_id", F.expr("concat('job-', doc_id)").alias("job_id"), F.expr("concat('f', doc_id, '.pdf')").alias("source_file"), F.lit("2024-01-01").alias("timestamp"), F.array(F.lit("a"), F.lit("b")).alias("ocr_text"))
+    sinks.write_json(sinks.training_entries(r, jobs), to)
+    got = ingest.training_entries(spark, to, multi_line=False).select("job_id", "source_file", "record_count", F.size("ocr_text").alias("texts"), F.posexplode("records").alias("at", "m"))
+    return got.select("job_id", "source_file", (F.col("at") + 1).cast("long").alias("ord"), F.col("m")["GSTIN"].alias("GSTIN"), F.col("m")["INVOICE_VALUE"].alias("INVOICE_VALUE"), F.col("record_count").cast("long").alias("record_count"), "texts")
+
+
+@query("q_correction_entries", f"{_RSQL}, n AS ({_NORM}), x AS (SELECT r.doc_id, r.ord, r.INVOICE_VALUE AS v, n.INVOICE_VALUE AS nv, r.PLACE_OF_SUPPLY AS p, n.PLACE_OF_SUPPLY AS np FROM r JOIN n ON r.doc_id = n.doc_id AND r.ord = n.ord) SELECT concat(doc_id, '-', ord) AS job_id, CASE WHEN nv <> v THEN nv END AS value, CASE WHEN np <> p THEN np END AS place, CAST(nv <> v AS INT) + CAST(np <> p AS INT) AS fields, v AS was FROM x")
+def q_correction_entries(spark, d):
+    """Corrections written as JSON and read again."""
+    r, to = raw_records(spark, d), entries_folder(spark)
+    named = lambda df: df.withColumn("job_id", F.expr("concat(doc_id, '-', ord)"))
+    sinks.write_json(sinks.correction_entries(named(r), named(records.normalise(r)), "2024-01-01"), to)
+    got = spark.read.schema("job_id string, corrections map<string,string>, original_data map<string,string>").json(to)
+    return got.select("job_id", F.col("corrections")["INVOICE_VALUE"].alias("value"), F.col("corrections")["PLACE_OF_SUPPLY"].alias("place"), F.size("corrections").alias("fields"), F.col("original_data")["INVOICE_VALUE"].alias("was"))
+
+
+_REPORT = "per_format map<string,struct<correct:long,total:long,rate:double>>, per_field map<string,struct<correct:long,total:long,accuracy:double>>"
+
+
+def _calibration(t: DataFrame, p: DataFrame) -> DataFrame:
+    """The report's JSON, read again."""
+    by_format = evaluate.accuracy_by_format(evaluate.detection(t, p, ["file_num"]).join(p.select("file_num", "fmt").distinct(), "file_num"))
+    got = sinks.calibration_report(by_format, evaluate.field_accuracy(evaluate.matches(t, p, ["file_num"]))).select(F.from_json("report", _REPORT).alias("r"))
+    one = lambda m, share: got.select(F.explode(f"r.{m}").alias("key", "v")).select(F.lit(m).alias("part"), "key", "v.correct", "v.total", F.col(f"v.{share}").alias("share"))
+    return one("per_format", "rate").unionByName(one("per_field", "accuracy"))
+
+
+on_pairs("q_calibration_report", _calibration, f"{_CELLS}, {_RATES}, x AS (SELECT rates.*, fmt FROM rates JOIN (SELECT DISTINCT file_num, fmt FROM pr) f USING (file_num)) SELECT 'per_format' AS part, coalesce(fmt, 'overall') AS key, CAST(sum(matched) AS BIGINT) AS correct, CAST(sum(gt_count) AS BIGINT) AS total, round(sum(matched) / sum(gt_count), 4) AS share FROM x GROUP BY ROLLUP (fmt) UNION ALL SELECT 'per_field', field, CAST(sum(CAST(match AS INT)) AS BIGINT), count(*), round(sum(CAST(match AS INT)) / count(*), 4) FROM cells GROUP BY field")
+
+_STATUS = "CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'complete' ELSE 'failed' END"
+_LATEST = "list_position(['queued', 'processing', 'complete', 'failed'], status)"
+
+
+@query("q_job_status", f"SELECT job_id, ts, status, percent, message FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, {_LATEST} DESC, percent DESC, message DESC) AS k FROM (SELECT user_id AS job_id, ts, {_STATUS} AS status, CAST(value AS INT) AS percent, CAST(event_id AS STRING) AS message FROM events) e) q WHERE k = 1")
+def q_job_status(spark, d):
+    return jobs_.latest(read(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", F.expr(_STATUS).alias("status"), F.expr("CAST(round(value) AS INT)").alias("percent"), F.col("event_id").cast("string").alias("message")))
+
+
+_PLACED = "SELECT user_id AS batch, event_id AS {}, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = '{}'"
+
+
+@query("q_job_pairs", f"SELECT batch, local_id, service_id FROM ({_PLACED.format('local_id', 'click')}) a LEFT JOIN ({_PLACED.format('service_id', 'view')}) b USING (batch, k)")
+def q_job_pairs(spark, d):
+    """Local jobs and the service's, both in order of arrival."""
+    e = read(spark, d, "events")
+    side = lambda kind, name: e.where(F.col("event_type") == kind).select(F.col("user_id").alias("batch"), F.col("event_id").alias(name), F.struct("ts", "event_id").alias("at"))
+    return jobs_.paired(side("click", "local_id"), side("view", "service_id"), "batch", ["at"]).drop("at")
+
+
 @query("q_best_epoch", "WITH r AS (SELECT CAST(user_id AS INT) AS epoch, round(least(count(*) / 80.0, 1), 4) AS rate FROM events GROUP BY user_id) SELECT epoch, CAST(rate AS DOUBLE) AS rate FROM r WHERE epoch <= coalesce((SELECT min(epoch) FROM r WHERE rate > 0.95), 2147483647) ORDER BY rate DESC, epoch LIMIT 1")
 def q_best_epoch(spark, d):
     rates = read(spark, d, "events").groupBy(F.col("user_id").cast("int").alias("epoch")).agg(F.round(F.least(F.count("*") / 80.0, F.lit(1.0)), 4).alias("rate"))
@@ -456,6 +568,16 @@ def q_quality_score(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.quality_score(q * 20, q * 2, q * 8, q).alias("quality"))
 
 
+_ANGLES = "l_discount * 100 - l_tax * 50 - 3"
+
+
+@query("q_deskew", f"WITH a AS (SELECT l_orderkey, list_sort(list({_ANGLES}) FILTER (abs({_ANGLES}) <= 5)) AS v FROM lineitem GROUP BY l_orderkey), m AS (SELECT l_orderkey, len(v) AS n, (v[(len(v) + 1) // 2] + v[len(v) // 2 + 1]) / 2 AS mid FROM a) SELECT l_orderkey, round(CASE WHEN n >= 3 AND abs(mid) >= 0.3 THEN mid ELSE 0 END, 9) AS angle FROM m")
+def q_deskew(spark, d):
+    """The angle of each order's lines."""
+    own = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.expr(_ANGLES)).alias("angles"))
+    return own.select("l_orderkey", F.round(S.deskew_angle("angles"), 9).alias("angle"))
+
+
 @query("q_grid", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(trunc(greatest(0, least(1000, l_quantity * 1000 / 50))) AS INT) AS x FROM lineitem")
 def q_grid(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.grid("l_quantity", F.lit(50.0)).alias("x"))

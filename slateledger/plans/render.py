@@ -77,9 +77,9 @@ def mixed(inv: DataFrame) -> DataFrame:
 
 
 def sql(layout: str | None = None) -> str:
-    """A WITH clause for the oracle: inv, and li (doc_id, page_no, ord, text) in a layout or mixed (here the first 12 lines only)."""
+    """A WITH clause for the oracle: inv, and li (doc_id, page_no, ord, text) in a layout or mixed."""
     base = f"WITH inv AS ({_base(**DUCK)})"
     if layout is None:
         return base
-    text, where = (_MIXED.format(**layouts(DUCK)), " WHERE ord <= 12") if layout == "mixed" else (layouts(DUCK)[layout], "")
-    return f"{base}, li AS (SELECT doc_id, page_no, ord, {text} AS text FROM inv{where})"
+    text = _MIXED.format(**layouts(DUCK)) if layout == "mixed" else layouts(DUCK)[layout]
+    return f"{base}, li AS (SELECT doc_id, page_no, ord, {text} AS text FROM inv)"

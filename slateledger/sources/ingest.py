@@ -52,9 +52,14 @@ def stream_order(chars: DataFrame) -> DataFrame:
 TRAINING = "job_id string, source_file string, timestamp string, records array<map<string,string>>, ocr_text array<string>, record_count int"
 
 
-def training_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a folder of JSON files, a list in a file as its elements; files that can't be read are skipped."""
-    return spark.read.schema(TRAINING + ", _corrupt_record string").option("multiLine", "true").option("mode", "PERMISSIVE").json(path).where("_corrupt_record is null").drop("_corrupt_record")
+def training_entries(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Entries of a folder of JSON files, a list in a file as its elements; files that can't be read are skipped.
+
+    With multi_line=False files hold an entry a line, as sinks.write_json leaves them, and lines that can't
+    be read are skipped.
+    """
+    got = spark.read.schema(TRAINING + ", _corrupt_record string").option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE").json(path)
+    return got.where("_corrupt_record is null").drop("_corrupt_record")
 
 
 def file_number(path: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,18 +30,28 @@ def windowed(events: DataFrame, late: str = "10 minutes", every: str = "5 minute
     return events.withWatermark("ts", late).groupBy(F.window("ts", every), "status").agg(F.count("*").alias("n")).select("window.start", "window.end", "status", "n")
 
 
-def run(stream: DataFrame, handle: Callable[[DataFrame, int], DataFrame], status_path: str, checkpoint: str) -> StreamingQuery:
+def paired(local: DataFrame, service: DataFrame, batch: str, order: list[str]) -> DataFrame:
+    """Local jobs with the service's job at the same place of their batch; its columns are null where it has fewer."""
+    at = lambda df: df.withColumn("_at", F.row_number().over(Window.partitionBy(batch).orderBy(*order)))
+    return at(local).join(at(service).drop(*order), [batch, "_at"], "left").drop("_at")
+
+
+def run(stream: DataFrame, handle: Callable[[DataFrame, int], DataFrame], status_path: str, checkpoint: str, progress: Callable[[int, str, int], None] | None = None) -> StreamingQuery:
     """Every micro-batch through `handle` (files to rows of doc_id and the record columns); states appended.
 
-    A batch that fails is tried again with the same files by the stream's own recovery.
+    A batch that fails is tried again with the same files by the stream's own recovery. `progress` is told
+    (number of the batch, state, per cent) on the driver as it goes on.
     """
+    tell = progress or (lambda *_: None)
 
     def batch(files: DataFrame, number: int) -> None:
         jobs = files.select(F.sha2("path", 256).alias("job_id"), "path")
         at = lambda s, p: jobs.select("job_id", F.current_timestamp().alias("ts"), F.lit(s).alias("status"), F.lit(p).alias("percent"), F.col("path").alias("message"))
+        tell(number, "processing", 10)
         at("processing", 10).write.mode("append").parquet(status_path)
         done = handle(files, number).select(F.col("doc_id").alias("_id")).distinct()
         at("complete", 100).join(done, F.col("job_id") == F.col("_id"), "left").withColumn("status", F.when(F.col("_id").isNull(), "failed").otherwise("complete")).drop("_id").write.mode("append").parquet(status_path)
+        tell(number, "complete", 100)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
