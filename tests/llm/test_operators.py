@@ -402,6 +402,28 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_of_equal_posteriors_and_clashing_columns(spark):
+    """Of equals the first language by name; other columns aren't read; an empty table gives an empty result."""
+    cols = "doc_id long, text string, lang string, lang_pred string, score string, bucket int, n long"
+    docs = spark.createDataFrame([(1, "ab", "b", "x", "y", 1, 2), (2, "ab", "a", "x", "y", 1, 2), (3, "zz", None, "x", "y", 1, 2)], cols)
+    model = langid.fit(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    assert got[1] == got[2] == ("a", 0.5) and got[3][0] == "a"
+    assert langid.identify(docs.where("false"), model).count() == 0
+
+
+@pytest.mark.parametrize("op", [toxicity, quality])
+def test_classifiers_without_documents(spark, op):
+    """Nothing to learn from and nothing to score; every text below a half, then."""
+    label = "toxic" if op is toxicity else "quality"
+    docs, labels = frame(spark, []), spark.createDataFrame([(1, 1), (2, 0)], f"doc_id long, {label} int")
+    model = op.fit(docs, labels)
+    assert toxicity.scored(docs, model, 5, 0).count() == 0
+    ones = spark.createDataFrame([(d, 1) for d in range(9)], f"doc_id long, {label} int")
+    for m in (model, op.fit(frame(spark, [(d, "a b") for d in range(9)]), ones)):
+        assert {r.predicted for r in toxicity.scored(frame(spark, [(1, "x"), (None, None)]), m, 5, 0).collect()} == {0}
+
+
 @pytest.mark.parametrize("op,label,mod,rest,least", [("toxicity", "toxic", 5, 0, 0.97), ("quality", "quality", 3, 1, 0.98)])
 def test_classifier_held_out_accuracy(spark, op, label, mod, rest, least):
     from slateledger.llm.toxicity import scored

@@ -1,5 +1,7 @@
 import shutil
 
+import pytest
+
 import corpus_pipeline
 from slateledger.llm import toxicity
 from slateledger.llm.queries import ORACLE, QUERIES
@@ -34,3 +36,32 @@ def test_stages_keep_columns_and_rows_without_ids(spark, sf):
 def test_registered():
     assert [f"op{n}_" for n in range(1, 11)] == [k.split("_")[0] + "_" for k in QUERIES]
     assert set(ORACLE) <= set(QUERIES)
+
+
+ODD = [(1, "you idiot moron scum you", "x"), (2, None, "y"), (None, "a plain text", "z"), (None, None, None), (3, "", "v"), (3, "", "v"), (4, "word " * 3000, "w")]
+COLUMNS = "doc_id long, text string, gone_id string, score double, spans string, part int, _n long"
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_with_odd_rows_and_clashing_columns(spark, sf, stage):
+    """Rows without id or text, repeated rows, columns that the operators use themselves; then no rows at all."""
+    fn = dict(corpus_pipeline.STAGES)[stage]
+    docs = spark.createDataFrame([(d, t, x, 0.5, "s", 1, 2) for d, t, x in ODD], COLUMNS)
+    out = fn(spark, docs, sf).collect()
+    if stage == "packing":
+        assert sorted({(r.doc_id or 0, r.doc_tokens) for r in out if r.doc_tokens < 20}) == [(0, 1), (0, 4), (1, 8), (2, 1), (3, 1)] and {r.doc_id for r in out} == {1, 2, 3, 4, None}
+    else:
+        assert out and out[0].__fields__ == docs.columns
+        ids = [r.doc_id for r in out]
+        assert ids.count(None) == 2 and ids.count(4) == 1
+        assert set(ids) == {"toxicity": {1, 2, 3, 4, None}, "exact_dedup": {1, 2, 4, None}, "near_dedup": {1, 2, 4, None}, "decontamination": {1, 2, 3, 4, None}}[stage]
+    empty = fn(spark, docs.where("false"), sf)
+    assert empty.count() == 0 and (stage == "packing" or empty.columns == docs.columns)
+
+
+def test_toxicity_learns_from_the_table(spark, sf):
+    """The odd rows above, with the labelled documents: only the toxic one goes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(9_000_000 + (d or 0), t) for d, t, _ in ODD], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs.unionByName(odd), sf).where("doc_id >= 9000000").collect()}
+    assert kept == {9_000_000, 9_000_002, 9_000_003, 9_000_004}
