@@ -494,9 +494,9 @@ _STATUS = "CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'processi
 _LATEST = "list_position(['queued', 'processing', 'complete', 'failed'], status)"
 
 
-@query("q_job_status", f"SELECT job_id, ts, status, percent, message FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, {_LATEST} DESC, percent DESC, message DESC) AS k FROM (SELECT user_id AS job_id, ts, {_STATUS} AS status, CAST(value AS INT) AS percent, CAST(event_id AS STRING) AS message FROM events) e) q WHERE k = 1")
+@query("q_job_status", f"SELECT job_id, ts, status, percent, message FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, {_LATEST} DESC, percent DESC, message DESC) AS k FROM (SELECT user_id AS job_id, ts, {_STATUS} AS status, CAST(floor(value) AS INT) AS percent, CAST(event_id AS STRING) AS message FROM events) e) q WHERE k = 1")
 def q_job_status(spark, d):
-    return jobs_.latest(read(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", F.expr(_STATUS).alias("status"), F.expr("CAST(round(value) AS INT)").alias("percent"), F.col("event_id").cast("string").alias("message")))
+    return jobs_.latest(read(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", F.expr(_STATUS).alias("status"), F.expr("CAST(floor(value) AS INT)").alias("percent"), F.col("event_id").cast("string").alias("message")))
 
 
 _PLACED = "SELECT user_id AS batch, event_id AS {}, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = '{}'"
