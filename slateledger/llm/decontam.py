@@ -29,6 +29,8 @@ BLOCK_BYTES = 4 << 20
 #: Benchmark texts are searched in groups of about so many bytes (a longer text is a group of its own): the
 #: driver and every task hold one group at a time.
 QUERY_BYTES = 8 << 20
+#: Bits of the table of terms and documents that are intersected at once.
+SHARE_BITS = 1 << 23
 HITS = "n int, spans array<struct<start:long,end:long>>, items array<string>, n_near long"
 
 _FOLD = bytes((c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20) for c in range(256))
@@ -123,25 +125,41 @@ class Postings:
             mine = np.flatnonzero(number >= 0)
             self.count[number[mine]], self.first[number[mine]] = counts[mine], bounds[mine]
 
-        self.begin = np.r_[0, np.cumsum(self.lens + 1)]
-        self.known: dict[int, tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]] = {}
+        self.begin, self.mine = np.r_[0, np.cumsum(self.lens + 1)], np.flatnonzero(self.count)
 
     def of(self, term: int) -> np.ndarray:
         return self.positions[self.first[term] : self.first[term] + self.count[term]]
 
-    def doc_of(self, term: int) -> np.ndarray:
-        """The document of each position."""
-        return self._documents(term)[0]
-
-    def docs(self, term: int) -> tuple[np.ndarray, np.ndarray]:
-        """The documents with the term, and how often each has it."""
-        return self._documents(term)[1]
-
-    def _documents(self, term: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        if term not in self.known:
-            of = np.searchsorted(self.begin, self.of(term), side="right") - 1
-            self.known[term] = of, np.unique(of, return_counts=True)
-        return self.known[term]
+    def within(self, term: int, doc: int) -> np.ndarray:
+        """A term's positions in one document."""
+        every = self.of(term)
+        a, b = every.searchsorted(self.begin[doc : doc + 2].astype(np.int32))
+        return every[a:b]
+
+    def together(self, windows: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, document) wherever a document has all terms of a window (-1 for none): rows of a bit for
+        each document are intersected, a bounded share of documents and windows at once."""
+        if not len(self.mine):
+            return
+        at = np.concatenate([self.of(t) for t in self.mine.tolist()])
+        term = np.repeat(np.arange(len(self.mine)), self.count[self.mine])
+        docs, doc = np.unique(np.searchsorted(self.begin, at, side="right") - 1, return_inverse=True)
+        row = np.full(len(self.count) + 1, len(self.mine))  # absent terms have an empty row
+        row[self.mine], row[-1] = np.arange(len(self.mine)), len(self.mine) + 1
+        of, step = row[windows], max(64, SHARE_BITS // (len(self.mine) + 2) // 64 * 64)
+        for k in range(0, len(docs), step):
+            own = (doc >= k) & (doc < k + step)
+            has = np.zeros((len(self.mine) + 2, min(step, len(docs) - k)), bool)
+            has[term[own], doc[own] - k], has[-1] = True, True
+            bits = np.packbits(has, axis=1)
+            lot = max(1, SHARE_BITS // 8 // bits.shape[1])
+            for w in range(0, len(of), lot):
+                every = bits[of[w : w + lot, 0]]
+                for j in range(1, of.shape[1]):
+                    every &= bits[of[w : w + lot, j]]
+                some = np.flatnonzero(every.any(axis=1))
+                i, d = np.nonzero(np.unpackbits(every[some], axis=1, count=has.shape[1]))
+                yield from zip((some[i] + w).tolist(), docs[d + k].tolist(), strict=True)
 
 
 def intersect(starts: np.ndarray, other: np.ndarray, offset: int) -> np.ndarray:
@@ -151,65 +169,49 @@ def intersect(starts: np.ndarray, other: np.ndarray, offset: int) -> np.ndarray:
     return starts[other[at] == starts + offset] if len(other) else starts[:0]
 
 
-def phrase(index: Postings, window: np.ndarray) -> np.ndarray:
-    """Starts of exact occurrences: offset-adjusted lists, from the rarest term on."""
-    order = np.argsort(index.count[window], kind="stable")
-    starts = index.of(window[order[0]]) - np.int32(order[0])
+def phrase(lists: list[np.ndarray]) -> np.ndarray:
+    """Starts of exact occurrences, from the positions of each word of a window in a document: offset-adjusted
+    lists, from the rarest term on."""
+    order = np.argsort([len(x) for x in lists], kind="stable").tolist()
+    starts = lists[order[0]] - np.int32(order[0])
     for k in order[1:]:
         if not len(starts):
             break
-        starts = intersect(starts, index.of(window[k]), int(k))
+        starts = intersect(starts, lists[k], k)
     return starts
 
 
-def proximity(index: Postings, window: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, positions) of a document's rarest term of the window that have every other one within
-    the window's length + slop in the same document; what a document gives doesn't depend on its block."""
-    terms, reach = list(dict.fromkeys(window.tolist())), len(window) + slop
-    by_count = sorted(terms, key=index.count.__getitem__)
-    docs = index.docs(by_count[0])[0]
-    for t in by_count[1:]:
-        docs = docs[np.isin(docs, index.docs(t)[0], assume_unique=True)]
-        if not len(docs):
-            return docs, docs
-    number = [n[np.searchsorted(d, docs)] for d, n in map(index.docs, terms)]
-    rarest = np.argmin(number, axis=0)  # of equals the first in the window
-    every_doc, every_at = [], []
-    for k in np.unique(rarest).tolist():
-        of, at = index.doc_of(terms[k]), index.of(terms[k]).astype(np.int64)
-        own = np.isin(of, docs[rarest == k])
-        of, at = of[own], at[own]
-        for t in by_count:
-            other = index.of(t)
-            low, high = np.maximum(at - reach, index.begin[of]), np.minimum(at + reach, index.begin[of + 1] - 1)
-            near = np.searchsorted(other, low) < np.searchsorted(other, high, side="right")
-            of, at = of[near], at[near]
-        every_doc.append(of)
-        every_at.append(at)
-    return np.concatenate(every_doc), np.concatenate(every_at)
+def proximity(lists: list[np.ndarray], reach: int) -> np.ndarray:
+    """Positions of a document's rarest term of the window (of equals the first) that have every other one
+    within reach in the same document."""
+    order = sorted(range(len(lists)), key=lambda k: len(lists[k]))
+    at = lists[order[0]]
+    for k in order[1:]:
+        at = at[np.searchsorted(lists[k], at - reach) < np.searchsorted(lists[k], at + reach, side="right")]
+        if not len(at):
+            break
+    return at
 
 
 def search_block(row: dict, queries: Queries, window: int, slop: int) -> list[tuple[int, np.ndarray, list[str], int]]:
     """For documents of a block with any match: (number in it, hit intervals, items, proximity matches)."""
     index = Postings(row, queries.terms)
-    begin = index.begin
-    held = np.where(queries.padded >= 0, index.count[queries.padded], 1)
     found: dict[int, tuple[list, set, int]] = {}
-    for k in np.flatnonzero((held > 0).all(axis=1)):
+    for k, d in index.together(queries.padded):
         w = queries.windows[k]
-        starts = phrase(index, w)
-        for s, d in zip(starts.tolist(), (np.searchsorted(begin, starts, side="right") - 1).tolist(), strict=True):
+        of = {t: index.within(t, d) for t in w.tolist()}
+        at = proximity(list(of.values()), np.int32(len(w) + slop))
+        if not len(at):  # nor is the phrase here, then
+            continue
+        starts = phrase([of[t] for t in w.tolist()])
+        if len(starts):  # places in exact matches aren't near ones
+            last = np.searchsorted(starts, at, side="right") - 1
+            at = at[(last < 0) | (at >= starts[last] + len(w))]
+        if len(starts) or slop and len(at):
             spans, items, near = found.setdefault(d, ([], set(), 0))
-            spans.append((s - begin[d], s - begin[d] + len(w)))
-            items.update(queries.owners[k])
-        if slop:
-            of, at = proximity(index, w, slop)
-            if len(starts):  # without those in exact matches
-                last = np.searchsorted(starts, at, side="right") - 1
-                of = of[(last < 0) | (at >= starts[last] + len(w))]
-            for d, n in zip(*(x.tolist() for x in np.unique(of, return_counts=True)), strict=True):
-                spans, items, near = found.setdefault(d, ([], set(), 0))
-                found[d] = (spans, items, near + n * len(queries.owners[k]))
+            spans += [(s, s + len(w)) for s in (starts - index.begin[d]).tolist()]
+            items.update(queries.owners[k] if len(starts) else ())
+            found[d] = (spans, items, near + (len(at) * len(queries.owners[k]) if slop else 0))
     return [(d, np.array(spans, np.int64).reshape(-1, 2), sorted(items), near) for d, (spans, items, near) in found.items()]
 
 

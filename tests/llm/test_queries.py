@@ -5,11 +5,12 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 from slateledger.llm import common, langid, packing, pii, quality, toxicity
-from slateledger.llm.queries import QUERIES
+from slateledger.llm.queries import ORACLE, QUERIES
 from tests.llm import brute
 
 ODD = [
@@ -25,6 +26,9 @@ def here(spark, sf, tmp_path_factory):
     to = tmp_path_factory.mktemp("tables")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = spark.createDataFrame([(d, t, lang, "odd", len(t or "")) for d, t, lang in ODD], docs.schema)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text.split()
+    moved = [(900_100 + k, " ".join([*item[:5], item[6], item[5], *item[7:11], *["extra"] * k, *item[11:30]]), "en", "odd", 1) for k in range(4)]
+    odd = odd.unionByName(spark.createDataFrame(moved, docs.schema))
     docs.unionByName(odd).write.parquet(f"{to}/documents.parquet")
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{to}/{t}.parquet")
@@ -173,6 +177,23 @@ def test_pii(spark, here, text):
     assert len(rows) == len(text) and got[900_004].spans == "email:5:43,email:45:51" and got[900_005].n_added == got[900_006].n_phone == got[900_007].n_added == 1
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, here, name):
+    """The SQL for the driver, on tables with odd and moved texts."""
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{here}/{t}.parquet/*.parquet')")
+    df = QUERIES[name](spark, here)
+    cols = sorted(df.columns)
+    cur = con.execute(ORACLE[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == cols
+    got = sorted(tuple(r[c] for c in cols) for r in df.collect())
+    assert got == sorted(tuple(r[names.index(c)] for c in cols) for r in cur.fetchall())
+    if name == "op5_decontam":
+        assert any(r[cols.index("n_near")] for r in got)
+
+
 DISGUISES = {
     "en": (" at ", " dot ", "zero one two three four five six seven eight nine".split(), "plus"), "fr": (" arobase ", " point ", "zéro un deux trois quatre cinq six sept huit neuf".split(), "plus"),
     "de": (" ät ", " punkt ", "null eins zwei drei vier fünf sechs sieben acht neun".split(), "plus"), "es": (" arroba ", " punto ", "cero uno dos tres cuatro cinco seis siete ocho nueve".split(), "más"),
