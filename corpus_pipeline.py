@@ -1,7 +1,9 @@
 """Corpus cleaning pipeline: stages applied one after the other to the documents table.
 
 A document is known by its doc_id: rows that repeat an id share one decision, rows without an id are
-never dropped by a comparison. Every stage but the last returns the columns that it was given.
+never dropped by a comparison. A null text counts as empty: it is not toxic of its own, a copy of other empty
+texts, and has no benchmark words. Every stage but the last returns the columns that it was given, whatever
+their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, fitted on the labelled ones among them, scores below a half."""
+    """Documents that the model, fitted on the labelled ones among them, scores below a half; row by row, also
+    those without an id. Without both labels among them all stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.scorer(docs, model) < 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space, the longest."""
+    """Of texts equal but for white space, the longest; of equals the smallest id."""
     return without(docs, exact_dedup(docs).where("not kept"))
 
 
@@ -49,7 +52,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents that are left, in sequences."""
+    """The pieces of the documents that are left, in sequences; a row without an id is packed like any other."""
     return pack_sequences(docs)
 
 
