@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from slateledger.functions import constants as C
 from slateledger.functions import scalars as S
+from slateledger.shipping import ship
 
 CUTOFF = 0.78
 _OTHER = re.compile("[^a-z ]+")
@@ -54,6 +55,7 @@ def _fuzzy(text: pa.Array) -> pa.Array:
 def placed(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the place of its text column. Closest names are looked up once for each distinct text without a
     known place and joined back, so that df is computed twice: for tables, not for long chains of steps."""
+    ship(df.sparkSession)
     known = df.withColumn(out, S.place_contained(text))
     near = known.where(F.col(out) == "").select(F.col(text).alias("_text")).distinct().select("_text", _fuzzy("_text").alias("_near"))
     return known.join(near, F.col(text) == F.col("_text"), "left").withColumn(out, F.coalesce("_near", out)).drop("_text", "_near")
@@ -62,5 +64,6 @@ def placed(df: DataFrame, text: str, out: str) -> DataFrame:
 def place(text: Column | str) -> Column:
     """A place that the text contains, else the closest one. Rows of texts with a known place pass the Python
     step, too, as nulls: splitting them off would compute the steps before it twice."""
+    ship()
     known = S.place_contained(text)
     return F.when(known != "", known).otherwise(_fuzzy(F.when(known == "", S.col(text))))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slateledger.shipping import ship
+
 # Accepted kinds and the largest size.
 EXTENSIONS = [".pdf", ".jpg", ".jpeg", ".png", ".tiff", ".tif", ".bmp", ".webp", ".gif", ".heic", ".heif"]
 MOST_BYTES = 100 * 1024 * 1024
@@ -107,11 +109,16 @@ def table_rows(html: str | None) -> list[list[list[str]]]:
 
 
 @F.arrow_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))))
-def html_tables(html: pa.Array) -> pa.Array:
-    """The tables of HTML texts, as rows of cells."""
+def _html_tables(html: pa.Array) -> pa.Array:
     return pa.array([table_rows(h) for h in html.to_pylist()], pa.list_(pa.list_(pa.list_(pa.string()))))
 
 
+def html_tables(html: Column | str) -> Column:
+    """The tables of HTML texts, as rows of cells."""
+    ship()
+    return _html_tables(html)
+
+
 def reply_fields(reply: Column | str) -> Column:
     """The fields of a reply's outermost braces; null if that is no JSON object."""
     text = F.regexp_extract(F.col(reply) if isinstance(reply, str) else reply, r"(?s)\{.*\}", 0)
