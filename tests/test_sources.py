@@ -85,6 +85,31 @@ def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in" / "a.pdf").write_bytes(b"x")
     (tmp_path / "in" / "b.exe").write_bytes(b"x")
     handle = lambda files, _: files.select(F.sha2("path", 256).alias("doc_id"))
-    jobs.run(jobs.arriving(spark, str(tmp_path / "in")), handle, str(tmp_path / "status"), str(tmp_path / "cp")).awaitTermination()
+    told = []
+    jobs.run(jobs.arriving(spark, str(tmp_path / "in")), handle, str(tmp_path / "status"), str(tmp_path / "cp"), lambda *x: told.append(x)).awaitTermination()
+    assert told == [(0, "processing", 10), (0, "complete", 100)]
     got = jobs.latest(spark.read.parquet(str(tmp_path / "status"))).collect()
     assert [(r.status, r.message.endswith("a.pdf")) for r in got] == [("complete", True)]
+
+
+def test_local_jobs_with_the_services(spark):
+    local = spark.createDataFrame([(1, 10, "a"), (1, 20, "b"), (2, 5, "c")], "batch int, at int, file string")
+    service = spark.createDataFrame([(1, 99, "s1"), (2, 1, "s2"), (2, 2, "s3")], "batch int, at int, job string")
+    assert {(r.file, r.job) for r in jobs.paired(local, service, "batch", ["at"]).collect()} == {("a", "s1"), ("b", None), ("c", "s2")}
+
+
+def test_entries_a_line_and_entries_in_files(spark, tmp_path):
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "a.json").write_text('[\n{"job_id": "1"},\n {"job_id": "2"}]')
+    (tmp_path / "whole" / "b.json").write_text("{broken")
+    assert sorted(r.job_id for r in ingest.training_entries(spark, str(tmp_path / "whole")).collect()) == ["1", "2"]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.json").write_text('{"job_id": "1"}\n{"job_id": "2"}\nbroken\n')
+    assert sorted(r.job_id for r in ingest.training_entries(spark, str(tmp_path / "lines"), multi_line=False).collect()) == ["1", "2"]
+
+
+def test_places_looked_up_once(spark):
+    from slateledger.functions.fuzzy import placed
+
+    rows = spark.createDataFrame([(1, "to karnatka by road"), (2, "to karnatka by road"), (3, "in Goa"), (4, None), (5, "nowhere at all")], "n int, t string")
+    assert {r.n: r.p for r in placed(rows, "t", "p").collect()} == {1: "Karnataka", 2: "Karnataka", 3: "Goa", 4: "", 5: ""}
