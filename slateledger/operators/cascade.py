@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slateledger.functions import constants as C
 from slateledger.functions import scalars as S
 from slateledger.operators import parse
-from slateledger.operators.records import deduplicated
+from slateledger.operators.records import checkpointed, deduplicated
 
 ENOUGH = 3
 #: Strategy, whether it is tried for a document as it stands (n records so far), and whether equal counts don't replace.
@@ -74,15 +71,3 @@ def cascade(lines: DataFrame, boxes: DataFrame | None = None, lazily: bool = Tru
     kept = every.join(state.select("doc_id", F.col("chosen").alias("strategy")), ["doc_id", "strategy"])
     out = deduplicated(kept)
     return out.withColumn("PLACE_OF_SUPPLY", F.when(F.col("PLACE_OF_SUPPLY") == "", S.state_name("GSTIN", C.IMAGE_STATES)).otherwise(F.col("PLACE_OF_SUPPLY")))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder of the session; a folder of our own where none is set and everything
-    runs in one process. On a cluster an unset folder is refused: executors couldn't share it."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and not re.match(r"local($|\[)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(at or f"{tempfile.gettempdir()}/slateledger-checkpoints")
-    return df.checkpoint()

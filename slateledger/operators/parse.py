@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slateledger.functions import constants as C
 from slateledger.functions import scalars as S
 from slateledger.functions.fuzzy import place
-from slateledger.operators.records import KEYS, Line, nth, settled
+from slateledger.operators.records import KEYS, Line, checkpointed, nth, settled
 
 
 
@@ -328,18 +328,29 @@ def _bill(df: DataFrame) -> DataFrame:
     return step.records(C.CONFIDENCE["bill"], "eway_bill", F.col("INVOICE_VALUE") != "")
 
 
-def parse_bills(lines: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
-    """Strategy 6: lines with a bill number, else with an identifier; from rows of boxes where that finds more."""
+def _bill_lines(lines: DataFrame) -> DataFrame:
     df = lines.select(*KEYS, F.trim("text").alias("text"), F.lag("text").over(in_order()).alias("prev"), F.lead("text").over(in_order()).alias("next"))
     df = settled(df.withColumn("_head", S.bill_header_line("text")).withColumn("_bill", S.first("text", C.BILL_NO) != ""), "length(text) >= 10 and not _head")
-    got = _bill(df.where("_bill")).unionByName(after_id(_with_id(df.where("not _bill"), "text", C.ID), _after("text", C.ID), "eway_bill_gstin"))
+    return _bill(df.where("_bill")).unionByName(after_id(_with_id(df.where("not _bill"), "text", C.ID), _after("text", C.ID), "eway_bill_gstin"))
+
+
+def _bill_rows(rows: DataFrame) -> DataFrame:
+    rows = rows.where(~S.bill_header_line("text")).withColumn("prev", F.lit(None).cast("string")).withColumn("next", F.lit(None).cast("string")).withColumn("_bill", S.first("text", C.BILL_NO) != "")
+    return _bill(rows.where("_bill")).unionByName(after_id(_with_id(rows.where("not _bill"), "text", C.ID), _after("text", C.ID)))
+
+
+def parse_bills(lines: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
+    """Strategy 6: lines with a bill number, else with an identifier; from rows of boxes where that finds more.
+
+    Which of the two a document is read from is settled by counts, so that its fields are read once; rows of
+    boxes are put together once, in the checkpoint folder.
+    """
     if boxes is None:
-        return got
-    rows = row_clusters(boxes, 25.0).where(~S.bill_header_line("text")).withColumn("prev", F.lit(None).cast("string")).withColumn("next", F.lit(None).cast("string")).withColumn("_bill", S.first("text", C.BILL_NO) != "")
-    other = _bill(rows.where("_bill")).unionByName(after_id(_with_id(rows.where("not _bill"), "text", C.ID), _after("text", C.ID)))
+        return _bill_lines(lines)
+    rows = checkpointed(row_clusters(boxes, 25.0))
     n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    use = n(other, "_o").join(n(got, "_g"), "doc_id", "left").where("coalesce(_g, 0) < 3 and _o > coalesce(_g, 0)").select("doc_id")
-    return got.join(use, "doc_id", "left_anti").unionByName(other.join(use, "doc_id", "left_semi"))
+    use = n(_bill_rows(rows), "_o").join(n(_bill_lines(lines), "_g"), "doc_id", "left").where("coalesce(_g, 0) < 3 and _o > coalesce(_g, 0)").select("doc_id")
+    return _bill_lines(lines.join(use, "doc_id", "left_anti")).unionByName(_bill_rows(rows.join(use, "doc_id", "left_semi")))
 
 
 def parse_generic(lines: DataFrame) -> DataFrame:

@@ -180,11 +180,12 @@ def generic(ctes: str) -> str:
     return s.records(0.60, "generic_table", "GSTIN <> '' OR INVOICE_NO <> '' OR INVOICE_DATE <> ''")
 
 
-def bill(ctes: str) -> str:
-    """Bill lines (each rendered line has a bill number)."""
+def bill(ctes: str, alone: bool = False) -> str:
+    """Bill lines (each rendered line has a bill number); alone: without a look at the lines about them."""
     low = "trim(lower(text))"
     w = "OVER (PARTITION BY doc_id ORDER BY ord)"
-    s = Steps(ctes, f"SELECT * FROM (SELECT doc_id, ord, trim(text) AS rest, lag(text) {w} AS prev_, lead(text) {w} AS next_ FROM li) q WHERE length(rest) >= 10 AND NOT ({any_word(low.replace('text', 'rest'), C.EWB_HEADERS)} AND length(rest) < 100)")
+    near = "NULL AS prev_, NULL AS next_" if alone else f"lag(text) {w} AS prev_, lead(text) {w} AS next_"
+    s = Steps(ctes, f"SELECT * FROM (SELECT doc_id, ord, trim(text) AS rest, {near} FROM li) q WHERE length(rest) >= 10 AND NOT ({any_word(low.replace('text', 'rest'), C.EWB_HEADERS)} AND length(rest) < 100)")
     s.fields.append("rest")
     s.take("INVOICE_NO", C.BILL_NO, cut=False).where("INVOICE_NO <> ''").take("INVOICE_DATE", C.IMAGE_DATE).add(am_=image_amounts("rest"), low_="lower(rest)")
     for i, f in enumerate(("TAXABLE_VALUE", "IGST", "CGST", "SGST")):

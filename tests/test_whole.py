@@ -62,16 +62,12 @@ def test_bills_and_boxes_are_whole(spark, sf, monkeypatch):
     seen = []
     real = parse.parse_bills
     monkeypatch.setattr(parse, "parse_bills", lambda li, boxes: seen.append(li) or real(li, boxes))
-    got, inv = count_n(QUERIES["q_ewb_boxes"](spark, sf)), count(render.invoices(spark, sf))
+    got, inv = count(QUERIES["q_ewb_boxes"](spark, sf)), count(render.invoices(spark, sf))
     assert got == inv and count(seen[0]) == inv
     alone = count(real(seen[0]))
     assert {d: alone.get(d, 0) for d in inv} == {d: (0, 2, n)[d % 3] for d, n in inv.items()}
 
 
-def count_n(df):
-    return {r.doc_id: r.n for r in df.collect()}
-
-
 def rebuilt(texts):
     """The identifiers of parse_rebuilt, plainly."""
     tokens = [t for x in texts for t in re.split(r"\s+", x) if t]
