@@ -9,6 +9,7 @@ from slateledger.llm.packing import op9_packing
 from slateledger.llm.pii import op10_pii
 from slateledger.llm.quality import op7_quality
 from slateledger.llm.simhash import op8_simhash
+from slateledger.llm.spelling import OP12_SQL, op12_spelling
 from slateledger.llm.substring import OP1_SQL, op1_substring_dedup
 from slateledger.llm.suffix import OP4_SQL, op4_suffix_dedup
 from slateledger.llm.toxicity import op3_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
+    "op12_spelling": op12_spelling,
 }
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op5_decontam": OP5_SQL}
+ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op5_decontam": OP5_SQL, "op12_spelling": OP12_SQL}
