@@ -8,6 +8,7 @@ from slateledger.llm.langid import op6_language_id
 from slateledger.llm.packing import op9_packing
 from slateledger.llm.pii import op10_pii
 from slateledger.llm.quality import op7_quality
+from slateledger.llm.resample import OP13_SQL, op13_resample
 from slateledger.llm.simhash import op8_simhash
 from slateledger.llm.spelling import OP12_SQL, op12_spelling
 from slateledger.llm.substring import OP1_SQL, op1_substring_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
     "op12_spelling": op12_spelling,
+    "op13_resample": op13_resample,
 }
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op5_decontam": OP5_SQL, "op12_spelling": OP12_SQL}
+ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op5_decontam": OP5_SQL, "op12_spelling": OP12_SQL, "op13_resample": OP13_SQL}
