@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from slateledger.llm.decontam import OP5_SQL, op5_decontam
 from slateledger.llm.exact import OP2_SQL, op2_exact_dedup
+from slateledger.llm.html import op11_html
 from slateledger.llm.langid import op6_language_id
 from slateledger.llm.packing import op9_packing
 from slateledger.llm.pii import op10_pii
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
+    "op11_html": op11_html,
     "op12_spelling": op12_spelling,
     "op13_resample": op13_resample,
 }
