@@ -60,7 +60,7 @@ def dictionary(words: DataFrame, hot: int = HOT) -> DataFrame:
     and the reversed one where pre is; ranges cut again have both."""
     n, zero = F.char_length("word"), F.lit(0)
     own = [b for m in (n, n - 1) for b in halves(m, zero, m)]
-    rows, done = words.select("word", "n", F.explode(F.array(*own)).alias("b")).where("b.m > 0").select("b.*", "word", "n"), []
+    rows, done = words.select("word", "n", F.explode(F.array_distinct(F.array(*own))).alias("b")).where("b.m >= 0").select("b.*", "word", "n"), []
     while True:
         rows = save(rows)
         big = rows.groupBy(*KEY).agg(F.count("*").alias("size")).where((F.col("size") > hot) & (F.col("y") - F.col("x") > 1)).select(*[F.col(k).alias(f"_{k}") for k in KEY])

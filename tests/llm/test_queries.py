@@ -188,8 +188,8 @@ def test_sql(spark, here, name):
     cur = con.execute(ORACLE[name])
     names = [c[0] for c in cur.description]
     assert sorted(names) == cols
-    got = sorted(tuple(r[c] for c in cols) for r in df.collect())
-    assert got == sorted(tuple(r[names.index(c)] for c in cols) for r in cur.fetchall())
+    got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+    assert got == sorted((tuple(r[names.index(c)] for c in cols) for r in cur.fetchall()), key=repr)
     if name == "op5_decontam":
         assert any(r[cols.index("n_near")] for r in got)
 
