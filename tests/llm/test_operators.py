@@ -487,3 +487,16 @@ def test_packing_holds_a_bounded_pool(monkeypatch, lengths):
     assert (offset[at] == np.where(np.r_[True, seq[at][1:] != seq[at][:-1]], 0, np.r_[0, (offset + length)[at][:-1]])).all()
     size = np.bincount(seq, weights=length).astype(int)
     assert all(x == 1024 or (x < 1024 and x & (x - 1) == 0) for x in size.tolist()) and (size < 1024).sum() <= 10
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """A labelled id that 50,000 empty texts repeat, and the order of the others' bytes."""
+    from slateledger.llm.labelled import sample
+
+    many = spark.range(50_000).selectExpr("7 as doc_id", "cast(case when id % 2 = 0 then '' end as string) as text")
+    few = spark.createDataFrame([(d, "x" * 100) for d in range(20, 60)] + [(None, "y")], "doc_id int, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in (7, *range(20, 60))] + [(7, 1), (None, 1), (20, None)], "doc_id int, toxic int")
+    out = sample(many.unionByName(few), labels, "toxic", 5, 4, 100)
+    assert out.count() == 100 and "Window" not in out._jdf.queryExecution().toString()
+    assert sample(few, labels, "toxic", 5, 4, 100, most_bytes=950).count() == 9 and sample(few, labels, "toxic", 5, 4, 3).count() == 3
+    assert sample(few.limit(0), labels, "toxic", 5, 4, 100).count() == 0 and sample(few, labels.limit(0), "toxic", 5, 4, 100).count() == 0
