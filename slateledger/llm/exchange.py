@@ -16,7 +16,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from slateledger.llm.common import arrow_map, arrow_schema, as_bytes, blocks, mix, ship
+from slateledger.llm.common import arrow_map, arrow_schema, as_bytes, blocks, mix, save, ship
 
 #: Text of one packed batch; a longer document is a batch of its own.
 BATCH_BYTES = 2 << 20
@@ -26,7 +26,8 @@ ANSWER = "bid long, part int, bits binary"
 
 def packed(src: DataFrame, parts: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Documents in batches: one row (bid, ids, lens, body) of compressed text; a null text has length -1.
-    bid is set by the input's own partitions, and rows are dealt by bid so that later steps find them there."""
+    bid is set by the input's own partitions and order, which a lost task's second run may change; so the batches
+    are written before anything is asked in their name, and dealt by bid so that later steps find them there."""
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -47,7 +48,7 @@ def packed(src: DataFrame, parts: int, batch_bytes: int = BATCH_BYTES) -> DataFr
         if ids:
             yield row()
 
-    return arrow_map(src, pack, f"bid long, ids array<{kind}>, lens binary, body binary").repartition(parts, "bid")
+    return save(arrow_map(src, pack, f"bid long, ids array<{kind}>, lens binary, body binary"), compression="none").repartition(parts, "bid")
 
 
 def unpack(row: dict) -> list[bytes]:

@@ -500,3 +500,16 @@ def test_samples_are_bounded_by_rows(spark):
     assert out.count() == 100 and "Window" not in out._jdf.queryExecution().toString()
     assert sample(few, labels, "toxic", 5, 4, 100, most_bytes=950).count() == 9 and sample(few, labels, "toxic", 5, 4, 3).count() == 3
     assert sample(few.limit(0), labels, "toxic", 5, 4, 100).count() == 0 and sample(few, labels.limit(0), "toxic", 5, 4, 100).count() == 0
+
+
+@pytest.mark.parametrize("operator", ["substring", "exact", "suffix"])
+def test_batches_keep_their_documents(spark, docs, operator):
+    """An input that comes in another order at every read: answers still meet the batches that asked."""
+    from pyspark.sql import functions as F
+
+    run = {"substring": lambda x: substring.repeated_passages(x, window=8), "exact": exact.exact_dedup, "suffix": lambda x: suffix.repeated_bytes(x, window=40)}[operator]
+    df = frame(spark, docs)
+    want = {r.doc_id: r for r in run(df).collect()}
+    # a seed of its own for each run of a task, by the clock of the worker
+    shuffled = df.select("doc_id", "text").mapInPandas(lambda it: (b.sample(frac=1, random_state=__import__("time").time_ns() % 2**32) for b in it), "doc_id long, text string").withColumn("n", F.lit(1))
+    assert {r.doc_id: r for r in run(shuffled).collect()} == want
