@@ -27,8 +27,8 @@ _SYMBOLS = 6
 class Spool:
     """Arrays put aside; in memory up to a bound, then in one temporary file, which goes with the object."""
 
-    def __init__(self, limit: int = IN_MEMORY):
-        self.limit, self.held, self.file = limit, 0, None
+    def __init__(self, limit: int | None = None):
+        self.limit, self.held, self.file = IN_MEMORY if limit is None else limit, 0, None
 
     def put(self, *arrays: np.ndarray) -> tuple:
         size = sum(a.nbytes for a in arrays)

@@ -151,6 +151,8 @@ def test_a_shard_larger_than_its_memory_spills(spark, monkeypatch):
 def test_induced_suffix_and_prefix_arrays(monkeypatch, in_memory):
     monkeypatch.setattr(induced, "IN_MEMORY", in_memory)
     monkeypatch.setattr(induced, "TAKE", 3)
+    read, get = [], induced.Spool.get
+    monkeypatch.setattr(induced.Spool, "get", lambda self, token: read.append(not isinstance(token[0], np.ndarray)) or get(self, token))
     r = np.random.default_rng(2)
     for k in range(300):
         monkeypatch.setattr(induced, "MOST_BUCKETS", 600 if k % 2 else 0)
@@ -163,6 +165,7 @@ def test_induced_suffix_and_prefix_arrays(monkeypatch, in_memory):
         for i, (a, b) in enumerate(zip(want, want[1:])):
             n = next((j for j in range(len(text)) if max(a, b) + j >= len(text) or text[a + j] != text[b + j]), len(text))
             assert lcp[i + 1] == min(n, cap)
+    assert any(read) == (in_memory == 0)
 
 
 @pytest.mark.parametrize("kind", range(4))
