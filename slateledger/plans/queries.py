@@ -13,7 +13,7 @@ from slateledger.functions import constants as C
 from slateledger.functions import scalars as S
 from slateledger.operators import cascade as cascade_, evaluate, ocr, parse, records, report
 from slateledger.plans import oracle as O
-from slateledger.plans import render
+from slateledger.plans import imaging, render
 from slateledger.sources import ingest, sinks
 from slateledger.streaming import jobs as jobs_
 
@@ -582,3 +582,9 @@ def q_deskew(spark, d):
 @query("q_grid", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(trunc(greatest(0, least(1000, l_quantity * 1000 / 50))) AS INT) AS x FROM lineitem")
 def q_grid(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.grid("l_quantity", F.lit(50.0)).alias("x"))
+
+
+# ------------------------------------------------------------------ page images
+
+QUERIES |= imaging.QUERIES
+ORACLE |= imaging.ORACLE
