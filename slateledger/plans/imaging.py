@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slateledger.operators import raster
+from slateledger.operators import pixels, raster
 from slateledger.operators.records import checkpointed
 from slateledger.plans import render
 
@@ -177,3 +177,163 @@ def standing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_auto_turn(spark, d):
     """Which pages lie on their side, by their level lines now and after a quarter turn."""
     return raster.auto_turn(checkpointed(standing(spark, d)), PAGE)
+
+
+# ------------------------------------------------------------------ grey images
+
+#: Columns and rows of a grey page, and tiles a side for local contrast.
+W, H, TILES = 24, 80, 4
+_INK = "30 + (k * 7) % 40"
+_PAPER = "210 - CAST(floor((x * (doc_id % 4) * 2 + y * (page_no % 2 + 1)) / 4) AS INT)"
+_ON = " OR ".join(f"(x >= {1 + 6 * i} AND x < {1 + 6 * i} + least(5, CAST(floor(coalesce(s{i}, 0) / 4) AS INT)))" for i in range(4))
+
+
+def grey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, y, x, v): lines of text on every other row of a page whose paper darkens to the right and downwards."""
+    rows = pages(spark, sf_dir).select(*PAGE, F.explode(F.sequence(F.lit(0), F.lit(H - 1))).alias("y"))
+    on = rows.withColumn("k", F.when(F.col("y") % 2 == 0, (F.col("y") / 2).cast("int"))).join(sheet(spark, sf_dir), [*PAGE, "k"], "left")
+    return on.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(W - 1)))).select(*PAGE, "y", "x", F.expr(f"CAST(CASE WHEN {_ON} THEN {_INK} ELSE {_PAPER} END AS INT)").alias("v"))
+
+
+_GREY = f"""sheet AS (SELECT doc_id, page_no, CAST((ord - 1) % 40 AS INT) AS k, {', '.join(f"least(20, length(coalesce({c}, ''))) AS s{i}" for i, c in enumerate(('gstin', 'name', 'okey', 'pos')))} FROM inv),
+grey AS (SELECT doc_id, page_no, y, x, CAST(CASE WHEN {_ON} THEN {_INK} ELSE {_PAPER} END AS INT) AS v
+    FROM (SELECT *, CASE WHEN y % 2 = 0 THEN y // 2 END AS k FROM (SELECT doc_id, page_no, unnest(range({H})) AS y FROM pages)) LEFT JOIN sheet USING (doc_id, page_no, k), (SELECT unnest(range({W})) AS x))"""
+
+
+class Lists:
+    """The SQL's own way over images: a page's rows and columns as lists, filters as products of slices."""
+
+    def __init__(self, source: str = "grey"):
+        self.steps, self.at = [_GREY], source
+
+    def step(self, sql: str) -> Lists:
+        name = f"t{len(self.steps)}"
+        self.steps.append(f"{name} AS ({sql.replace('{src}', self.at)})")
+        self.at = name
+        return self
+
+    def along(self, axis: str, n: int, r: int, border: str, value: str, v: str = "v", keep: str = "") -> Lists:
+        """v by `value`, an expression over the slice s of 2 r + 1 values about each pixel; keep: one more column kept."""
+        other = "y" if axis == "x" else "x"
+        head = {"reflect": f"list_reverse(l[2:{r + 1}])", "replicate": f"list_transform(range({r}), lambda i: l[1])", "none": f"list_transform(range({r}), lambda i: NULL)"}[border]
+        tail = {"reflect": f"list_reverse(l[{n - r}:{n - 1}])", "replicate": f"list_transform(range({r}), lambda i: l[{n}])", "none": f"list_transform(range({r}), lambda i: NULL)"}[border]
+        k = f", list({keep} ORDER BY {axis}) AS kk" if keep else ""
+        again = f", unnest(kk) AS {keep}" if keep else ""
+        return self.step(
+            f"SELECT doc_id, page_no, {other}, unnest(range({n})) AS {axis}, unnest(list_transform(range({n}), lambda i: {value.replace('{s}', f'p[i + 1:i + {2 * r + 1}]')})) AS {v}{again} "
+            f"FROM (SELECT *, list_concat(list_concat({head}, l), {tail}) AS p FROM (SELECT doc_id, page_no, {other}, list({v} ORDER BY {axis}) AS l{k} FROM {{src}} GROUP BY ALL) a) b"
+        )
+
+    def blur(self, size: int, border: str, v: str = "v", keep: str = "") -> Lists:
+        weights = "[" + ", ".join(f"{w!r}::DOUBLE" for w in pixels.gaussian(size)) + "]"
+        for axis, n in (("x", W), ("y", H)):
+            self.along(axis, n, size // 2, border, f"list_dot_product({{s}}::DOUBLE[], {weights})", v, keep)
+        return self
+
+    def morph(self, fn: str) -> Lists:
+        for axis, n in (("x", W), ("y", H)):
+            self.along(axis, n, 1, "none", f"list_{fn}(p[i + 1:i + 2])")
+        return self
+
+    def equalize(self, limit: float) -> Lists:
+        tw, th = W // TILES, H // TILES
+        cut = max(1, int(limit * tw * th / 256))
+        self.step(f"SELECT *, (y // {th}) * {TILES} + x // {tw} AS tile FROM {{src}}")
+        base = self.at
+        self.step("SELECT doc_id, page_no, tile, v, count(*) AS h FROM {src} GROUP BY ALL")
+        self.step(f"SELECT doc_id, page_no, tile, map(list(v), list(least(h, {cut}))) AS m, sum(greatest(h - {cut}, 0))::BIGINT AS x FROM {{src}} GROUP BY ALL")
+        self.step(f"SELECT doc_id, page_no, tile, list_transform(range(256), lambda v: coalesce(m[v::INT], 0) + x // 256 + CASE WHEN x % 256 > 0 AND v % greatest(256 // greatest(x % 256, 1), 1) = 0 AND v // greatest(256 // greatest(x % 256, 1), 1) < x % 256 THEN 1 ELSE 0 END) AS h FROM {{src}}")
+        self.step("SELECT doc_id, page_no, tile, v, sum(n) OVER (PARTITION BY doc_id, page_no, tile ORDER BY v) AS c FROM (SELECT doc_id, page_no, tile, unnest(range(256)) AS v, unnest(h) AS n FROM {src})")
+        self.step(f"SELECT doc_id, page_no, list(l ORDER BY tile) AS l FROM (SELECT doc_id, page_no, tile, list(round_even(least(255, c * {255.0 / (tw * th)!r}::DOUBLE), 0)::INT ORDER BY v) AS l FROM {{src}} GROUP BY ALL) GROUP BY ALL")
+        luts, self.at = self.at, base
+        at = lambda yy, xx: f"l[greatest(0, least({TILES - 1}, {yy}))::INT * {TILES} + greatest(0, least({TILES - 1}, {xx}))::INT + 1][v + 1]"
+        return self.step(
+            f"SELECT doc_id, page_no, y, x, round_even((({at('y1', 'x1')} * (1 - xa) + {at('y1', 'x1 + 1')} * xa) * (1 - ya) + ({at('y1 + 1', 'x1')} * (1 - xa) + {at('y1 + 1', 'x1 + 1')} * xa) * ya), 0)::INT AS v FROM "
+            f"(SELECT *, floor(fx) AS x1, floor(fy) AS y1, fx - floor(fx) AS xa, fy - floor(fy) AS ya FROM (SELECT *, x / {tw}.0::DOUBLE - 0.5::DOUBLE AS fx, y / {th}.0::DOUBLE - 0.5::DOUBLE AS fy FROM {{src}}) a) b JOIN {luts} USING (doc_id, page_no)"
+        )
+
+    def sql(self, select: str) -> str:
+        return ", " + ", ".join(self.steps) + " " + select.replace("{src}", self.at)
+
+
+#: What a query tells of an image: how many pixels are black, and a sum that no moved or changed pixel leaves as it is.
+_SUM = "count(*) FILTER (WHERE v = 0) AS black, CAST(sum(v * ((x * 31 + y * 17 + x * y) % 1009 + 1)) AS BIGINT) AS checksum"
+
+
+def told(px: DataFrame) -> DataFrame:
+    return px.groupBy(*PAGE).agg(F.count_if(F.col("v") == 0).alias("black"), F.sum(F.col("v") * ((F.col("x") * 31 + F.col("y") * 17 + F.col("x") * F.col("y")) % 1009 + 1)).cast("long").alias("checksum"))
+
+
+_TOLD = f"SELECT doc_id, page_no, {_SUM} FROM {{src}} GROUP BY doc_id, page_no"
+
+
+@query("q_local_contrast", Lists().equalize(2.5).sql(_TOLD))
+def q_local_contrast(spark, d):
+    return told(pixels.equalized(pixels.by_page(grey(spark, d), PAGE), PAGE, W, H, 2.5, TILES))
+
+
+_SHARP = "SELECT doc_id, page_no, y, x, greatest(0, least(255, 5 * v - coalesce(l, r) - coalesce(r, l) - coalesce(u, o) - coalesce(o, u)))::INT AS v FROM (SELECT *, lag(v) OVER a AS l, lead(v) OVER a AS r, lag(v) OVER b AS u, lead(v) OVER b AS o FROM {src} WINDOW a AS (PARTITION BY doc_id, page_no, y ORDER BY x), b AS (PARTITION BY doc_id, page_no, x ORDER BY y)) q"
+_LOCAL = "SELECT doc_id, page_no, y, x, CASE WHEN g > round_even(least(255, greatest(0, v)), 0) - 8 THEN 255 ELSE 0 END AS v FROM {src}"
+
+
+@query("q_binary_variant", Lists().equalize(3.0).step(_SHARP).step("SELECT *, v AS g FROM {src}").blur(21, "replicate", "v", "g").step(_LOCAL).morph("min").morph("max").sql(_TOLD))
+def q_binary_variant(spark, d):
+    return told(pixels.binary(grey(spark, d), PAGE, W, H, TILES))
+
+
+_OTSU = """SELECT q.doc_id, q.page_no, y, x, CASE WHEN q.v > t THEN 255 ELSE 0 END AS v FROM {src} q JOIN (
+    SELECT doc_id, page_no, arg_max(v, (CASE WHEN w < n THEN (a * w - n * s) * (a * w - n * s) / (w * (n - w)) ELSE -1 END, -v)) AS t FROM (
+        SELECT *, sum(h) OVER o AS w, sum(h * v) OVER o AS s, sum(h) OVER p AS n, sum(h * v) OVER p AS a FROM (SELECT doc_id, page_no, v, count(*)::DOUBLE AS h FROM {src} GROUP BY ALL) c
+        WINDOW o AS (PARTITION BY doc_id, page_no ORDER BY v), p AS (PARTITION BY doc_id, page_no)) e GROUP BY ALL) f USING (doc_id, page_no)"""
+
+
+@query("q_ocr_binary", Lists().equalize(4.0).blur(3, "reflect").step("SELECT doc_id, page_no, y, x, round_even(v, 0)::INT AS v FROM {src}").step(_OTSU).morph("min").morph("max").morph("max").sql(_TOLD))
+def q_ocr_binary(spark, d):
+    return told(pixels.ocr_binary(grey(spark, d), PAGE, W, H, TILES))
+
+
+@query(
+    "q_shadowless",
+    Lists().step("SELECT *, v AS g FROM {src}").along("x", W, 10, "none", "list_max({s})", "v", "g").along("y", H, 10, "none", "list_max({s})", "v", "g").blur(21, "reflect", "v", "g")
+    .step("SELECT doc_id, page_no, y, x, floor(least(255, greatest(0, g / (v + 1e-6::DOUBLE) * 220)))::INT AS v FROM {src}").sql(_TOLD),
+)
+def q_shadowless(spark, d):
+    return told(pixels.shadowless(grey(spark, d), PAGE, W, H))
+
+
+@query(
+    "q_page_measures",
+    Lists().step("SELECT *, v AS g FROM {src}").blur(5, "reflect", "v", "g").step("SELECT doc_id, page_no, avg(abs(g - v)) AS noise FROM {src} GROUP BY ALL").sql(
+        "SELECT doc_id, page_no, round(sharpness, 4) AS sharpness, round(contrast, 4) AS contrast, round(brightness, 4) AS brightness, round(noise, 4) AS noise, "
+        "round(least(least(sharpness / 500, 1) * 0.35 + least(contrast / 60, 1) * 0.30 + greatest(0, 1 - abs(brightness - 185) / 185) * 0.20 + greatest(0, 1 - noise / 20) * 0.15, 1), 3) AS quality FROM ("
+        "SELECT doc_id, page_no, var_pop(coalesce(l, r) + coalesce(r, l) + coalesce(u, o) + coalesce(o, u) - 4 * v) AS sharpness, stddev_pop(v) AS contrast, avg(v) AS brightness "
+        "FROM (SELECT *, lag(v) OVER a AS l, lead(v) OVER a AS r, lag(v) OVER b AS u, lead(v) OVER b AS o FROM grey WINDOW a AS (PARTITION BY doc_id, page_no, y ORDER BY x), b AS (PARTITION BY doc_id, page_no, x ORDER BY y)) q GROUP BY ALL) m JOIN {src} USING (doc_id, page_no)"
+    ),
+)
+def q_page_measures(spark, d):
+    """Measures of every page's image and the quality that they give."""
+    m = pixels.measures(grey(spark, d), PAGE, W, H)
+    return m.select(*PAGE, *[F.round(c, 4).alias(c) for c in ("sharpness", "contrast", "brightness", "noise")], "quality")
+
+
+# ------------------------------------------------------------------ coloured paper
+
+_R, _G, _B = "v", "v - 4 * (doc_id % 3)", "v - 10 * (doc_id % 5) - 60 * CAST(doc_id % 7 = 2 AS INT)"
+
+
+def _f(t: str) -> str:
+    return f"(CASE WHEN {t} > 0.008856 THEN pow({t}, 1.0::DOUBLE / 3) ELSE 7.787 * {t} + 16.0::DOUBLE / 116 END)"
+
+
+@query(
+    "q_paper_cast",
+    ", " + _GREY + f""", rgb AS (SELECT doc_id, page_no, ({_R})::DOUBLE AS r, greatest(0, {_G})::DOUBLE AS g, greatest(0, {_B})::DOUBLE AS b FROM grey),
+xyz AS (SELECT doc_id, page_no, (0.412453 * r + 0.357580 * g + 0.180423 * b) / 242.36628::DOUBLE AS x, (0.212671 * r + 0.715160 * g + 0.072169 * b) / 255 AS y, (0.019334 * r + 0.119193 * g + 0.950227 * b) / 277.63227::DOUBLE AS z FROM rgb),
+lab AS (SELECT doc_id, page_no, 116 * pow(y, 1.0::DOUBLE / 3) - 16 AS l, 500 * ({_f('x')} - {_f('y')}) AS a, 200 * ({_f('y')} - {_f('z')}) AS b FROM xyz),
+seen AS (SELECT *, l > 75 AND abs(a) < 15 AND abs(b) < 25 AS p FROM lab)
+SELECT doc_id, page_no, round(count(*) FILTER (WHERE p) / count(*), 6) AS share, CASE WHEN count(*) FILTER (WHERE p) / count(*) > 0.1 THEN round(median(a) FILTER (WHERE p), 4) END AS a_cast, CASE WHEN count(*) FILTER (WHERE p) / count(*) > 0.1 THEN round(median(b) FILTER (WHERE p), 4) END AS b_cast FROM seen GROUP BY ALL""",
+)
+def q_paper_cast(spark, d):
+    """The share of paper of every coloured page and its cast."""
+    px = grey(spark, d).select(*PAGE, "y", "x", F.expr(f"CAST({_R} AS DOUBLE)").alias("r"), F.expr(f"CAST(greatest(0, {_G}) AS DOUBLE)").alias("g"), F.expr(f"CAST(greatest(0, {_B}) AS DOUBLE)").alias("b"))
+    return pixels.paper(px, PAGE).select(*PAGE, F.round("share", 6).alias("share"), F.round("a_cast", 4).alias("a_cast"), F.round("b_cast", 4).alias("b_cast"))
