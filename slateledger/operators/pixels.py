@@ -210,7 +210,7 @@ def paper(px: DataFrame, page: list[str]) -> DataFrame:
     light, a, b = lab(F.col("r"), F.col("g"), F.col("b"))
     seen = px.select(*page, light.alias("_l"), a.alias("_a"), b.alias("_b"))
     is_paper = (F.col("_l") > 75) & (F.abs("_a") < 15) & (F.abs("_b") < 25)
-    mid = lambda c: F.median(F.when(is_paper, F.round(c, 6)))
+    mid = lambda c: F.median(F.when(is_paper, F.col(c)))
     got = seen.groupBy(*page).agg((F.count_if(is_paper) / F.count("*")).alias("share"), mid("_a").alias("_ma"), mid("_b").alias("_mb"))
     enough = F.col("share") > 0.10
     return got.select(*page, "share", F.when(enough, F.col("_ma")).alias("a_cast"), F.when(enough, F.col("_mb")).alias("b_cast"))

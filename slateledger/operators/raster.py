@@ -251,12 +251,26 @@ def merged(runs: DataFrame, page: list[str]) -> DataFrame:
     return seen.withColumn("_g", F.sum("_new").over(order)).groupBy(*page, "y", "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_g")
 
 
+def full_columns(runs: DataFrame, page: list[str], rows: int) -> DataFrame:
+    """(page, block, a, b): the stretches of columns a to b that are set in every row of an aligned block of `rows` rows. Only
+    the ends of runs are looked at: how many runs of a block cover a column is the sum of its begins less ends so far. The
+    runs of a row must not overlap (merged)."""
+    ends = runs.select(*page, F.floor(F.col("y") / rows).cast("int").alias("block"), F.inline(F.array(F.struct(F.col("x0").alias("a"), F.lit(1).alias("d")), F.struct((F.col("x1") + 1).alias("a"), F.lit(-1).alias("d")))))
+    order = Window.partitionBy(*page, "block").orderBy("a")
+    steps = ends.groupBy(*page, "block", "a").agg(F.sum("d").alias("d")).withColumn("_n", F.sum("d").over(order)).withColumn("b", F.lead("a").over(order) - 1)
+    return steps.where(F.col("_n") == rows).select(*page, "block", "a", "b")
+
+
 def table_lines(runs: DataFrame, page: list[str], width: int, height: int) -> DataFrame:
     """Runs (and `kind`, level or upright) of ruled lines: opened twice by an element of a twelfth of the side, at
-    least 50 pixels, which leaves runs of 2 n - 1 pixels and more. Upright runs come by columns."""
+    least 50 pixels, which leaves runs of 2 n - 1 pixels and more. Upright runs come by columns; they fill at least one
+    aligned block of n rows, so only columns that do are taken apart into pixels. The runs of a row must not overlap."""
     n, m = max(width // 12, 50), max(height // 12, 50)
     level_ = across(runs, 2 * n - 1).select(*page, F.lit("level").alias("kind"), "y", "x0", "x1")
-    return level_.unionByName(across(turned(runs, page), 2 * m - 1).select(*page, F.lit("upright").alias("kind"), "y", "x0", "x1"))
+    full = full_columns(runs, page, m).groupBy(*page).agg(F.array_distinct(F.collect_list(F.struct("a", "b"))).alias("_c"))  # no more than the image's ends of runs
+    part = lambda s: F.struct(F.greatest("x0", s["a"]).alias("x0"), F.least("x1", s["b"]).alias("x1"))
+    near = runs.join(full, page).select(*page, "y", F.inline(F.transform(F.filter("_c", lambda s: (s["a"] <= F.col("x1")) & (s["b"] >= F.col("x0"))), part)))
+    return level_.unionByName(across(turned(near, page), 2 * m - 1).select(*page, F.lit("upright").alias("kind"), "y", "x0", "x1"))
 
 
 def grid_mask(lines: DataFrame, page: list[str], width: int, height: int) -> DataFrame:
