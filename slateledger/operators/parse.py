@@ -369,12 +369,11 @@ def parse_generic(lines: DataFrame) -> DataFrame:
 
 
 PLAIN_ID = r"\b(\d{2}[A-Z0-9]{13})\b"
-PLAIN_AMOUNT = r"\b(\d+\.\d{1,2}|\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?)\b"
 
 
 def _paired(docs: DataFrame, found: Column, per_row: int) -> DataFrame:
     """What was found in a document's text, each with the date and the amounts at its place."""
-    lists = docs.select("doc_id", found.alias("_g"), S.every("text", C.DATE).alias("_d"), no_commas(S.every("text", PLAIN_AMOUNT)).alias("_a"))
+    lists = docs.select("doc_id", found.alias("_g"), S.every("text", C.DATE).alias("_d"), no_commas(S.every("text", C.PLAIN_AMOUNT)).alias("_a"))
     rows = lists.select("doc_id", F.posexplode("_g").alias("ord", "_found"), "_d", "_a")  # the lists are found once a document
     at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
     second = at("_a", F.col("ord") * per_row + 1) if per_row > 1 else F.lit("")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slateledger.functions import constants as C
@@ -104,13 +107,32 @@ def deduplicated(records: DataFrame) -> DataFrame:
     return records.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors share: the session's spark.checkpoint.dir; a folder of our own where none is set and
+    everything runs in one process. On a cluster an unset folder is refused."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return at or f"{tempfile.gettempdir()}/slateledger-checkpoints"
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for tables that a query writes and reads; it goes when the driver ends."""
+    to = f"{shared_folder(spark)}/slateledger-{name}-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, to)
+    return to
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone at exit
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder of the session; a folder of our own where none is set and everything
-    runs in one process. On a cluster an unset folder is refused: executors couldn't share it."""
+    """df.checkpoint() in the shared folder of the session."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and not re.match(r"local($|\[)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(at or f"{tempfile.gettempdir()}/slateledger-checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +12,9 @@ from slateledger.functions import scalars as S
 from slateledger.operators import cascade as cascade_, evaluate, ocr, parse, records, report
 from slateledger.plans import oracle as O
 from slateledger.plans import imaging, render
-from slateledger.sources import ingest, sinks
+from slateledger.sources import ingest, jobtable, sinks
 from slateledger.streaming import jobs as jobs_
+from slateledger.streaming import states as states_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,7 +106,7 @@ scalar("q_invoice_clean", "wide", {"raw": lambda t: S.first(t, C.INVOICE), "clea
 scalar("q_invoice_fallback", "register", {"token": S.invoice_token}, {"token": "coalesce([t FOR t IN regexp_split_to_array(text, '\\s+') IF regexp_full_match(t, '\\d{3,8}')][1], '')"})
 scalar("q_amount_image", "image", {"amounts": lambda t: F.array_join(S.every(t, C.IMAGE_AMOUNT), "|")}, {"amounts": f"array_to_string({O.every('text', C.IMAGE_AMOUNT)}, '|')"})
 scalar("q_valid_amounts", "image", {"amounts": lambda t: F.array_join(S.image_amounts(t), "|")}, {"amounts": f"array_to_string({O.image_amounts('text')}, '|')"})
-scalar("q_amounts", "register", {"plain": lambda t: F.array_join(S.every(t, C.AMOUNT), "|"), "fixed": lambda t: F.array_join(S.every(t, C.ITC_AMOUNT), "|"), "fallback": lambda t: F.array_join(S.every(t, C.FALLBACK_AMOUNT), "|")}, {"plain": f"array_to_string({O.every('text', C.AMOUNT)}, '|')", "fixed": f"array_to_string({O.every('text', C.ITC_AMOUNT)}, '|')", "fallback": f"array_to_string({O.every('text', C.FALLBACK_AMOUNT)}, '|')"})
+scalar("q_amounts", "register", {"plain": lambda t: F.array_join(S.every(t, C.AMOUNT), "|"), "fixed": lambda t: F.array_join(S.every(t, C.ITC_AMOUNT), "|"), "fallback": lambda t: F.array_join(S.every(t, C.PLAIN_AMOUNT), "|"), "decimals": lambda t: F.array_join(S.every(F.regexp_replace(t, ",", ""), C.PLAIN_AMOUNT), "|")}, {"plain": f"array_to_string({O.every('text', C.AMOUNT)}, '|')", "fixed": f"array_to_string({O.every('text', C.ITC_AMOUNT)}, '|')", "fallback": r"array_to_string(regexp_extract_all(text, '\b([0-9]{1,3}(,[0-9]{2,3})+(\.[0-9]{1,2})?|[0-9]+\.[0-9]{1,2})\b', 1), '|')", "decimals": r"array_to_string(regexp_extract_all(replace(text, ',', ''), '\b[0-9]+\.[0-9]{1,2}\b'), '|')"})
 scalar("q_first_real_amount", "wide", {"amount": S.first_real_amount}, {"amount": O.real_amount("text")})
 _D = {"strict": C.DATE, "image": C.IMAGE_DATE, "month": C.MONTH_DATE, "period": C.PERIOD}
 scalar("q_dates", "wide", {k: (lambda p: lambda t: S.first(t, p))(p) for k, p in _D.items()}, {k: O.first("text", p) for k, p in _D.items()})
@@ -453,15 +452,10 @@ def _setops(t: DataFrame, p: DataFrame) -> DataFrame:
 _formats("q_filenum_setops", _setops, ", j AS (SELECT DISTINCT file_num FROM p0 WHERE fmt = 'jpg'), g AS (SELECT DISTINCT file_num FROM p0 WHERE fmt = 'png') SELECT 'union' AS kind, file_num FROM (SELECT * FROM j UNION SELECT * FROM g) u UNION ALL SELECT 'both', file_num FROM (SELECT * FROM j INTERSECT SELECT * FROM g) i UNION ALL SELECT 'jpg_only', file_num FROM (SELECT * FROM j EXCEPT SELECT * FROM g) a UNION ALL SELECT 'png_only', file_num FROM (SELECT * FROM g EXCEPT SELECT * FROM j) b")
 
 
-def entries_folder(spark) -> str:
-    """A new folder of the shared place for entries that a query writes and reads again."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/slateledger-entries-{uuid.uuid4().hex}"
-
-
 @query("q_training_entries", f"{_RSQL} SELECT concat('job-', doc_id) AS job_id, concat('f', doc_id, '.pdf') AS source_file, ord, GSTIN, INVOICE_VALUE, count(*) OVER (PARTITION BY doc_id) AS record_count, 2 AS texts FROM r")
 def q_training_entries(spark, d):
     """Training entries written as JSON, read again, and their records."""
-    r, to = raw_records(spark, d), entries_folder(spark)
+    r, to = raw_records(spark, d), records.own_folder(spark, "entries")
     jobs = r.select("doc_id").distinct().select("doc_id", F.expr("concat('job-', doc_id)").alias("job_id"), F.expr("concat('f', doc_id, '.pdf')").alias("source_file"), F.lit("2024-01-01").alias("timestamp"), F.array(F.lit("a"), F.lit("b")).alias("ocr_text"))
     sinks.write_json(sinks.training_entries(r, jobs), to)
     got = ingest.training_entries(spark, to, multi_line=False).select("job_id", "source_file", "record_count", F.size("ocr_text").alias("texts"), F.posexplode("records").alias("at", "m"))
@@ -471,7 +465,7 @@ def q_training_entries(spark, d):
 @query("q_correction_entries", f"{_RSQL}, n AS ({_NORM}), x AS (SELECT r.doc_id, r.ord, r.INVOICE_VALUE AS v, n.INVOICE_VALUE AS nv, r.PLACE_OF_SUPPLY AS p, n.PLACE_OF_SUPPLY AS np FROM r JOIN n ON r.doc_id = n.doc_id AND r.ord = n.ord) SELECT concat(doc_id, '-', ord) AS job_id, CASE WHEN nv <> v THEN nv END AS value, CASE WHEN np <> p THEN np END AS place, CAST(nv <> v AS INT) + CAST(np <> p AS INT) AS fields, v AS was FROM x")
 def q_correction_entries(spark, d):
     """Corrections written as JSON and read again."""
-    r, to = raw_records(spark, d), entries_folder(spark)
+    r, to = raw_records(spark, d), records.own_folder(spark, "entries")
     named = lambda df: df.withColumn("job_id", F.expr("concat(doc_id, '-', ord)"))
     sinks.write_json(sinks.correction_entries(named(r), named(records.normalise(r)), "2024-01-01"), to)
     got = spark.read.schema("job_id string, corrections map<string,string>, original_data map<string,string>").json(to)
@@ -495,6 +489,23 @@ _STATUS = "CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'processi
 _LATEST = "list_position(['queued', 'processing', 'complete', 'failed'], status)"
 
 
+@query("q_job_states", f"SELECT job_id, ts, status, percent, message FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY done DESC, CASE WHEN done THEN ts END, CASE WHEN done THEN {_LATEST} END, CASE WHEN done THEN percent END, CASE WHEN done THEN message END, ts DESC, {_LATEST} DESC, percent DESC, message DESC) AS k FROM (SELECT *, status IN ('complete', 'failed') AS done FROM (SELECT user_id AS job_id, ts, {_STATUS} AS status, CAST(floor(value) AS INT) AS percent, CAST(event_id AS STRING) AS message FROM events) e) f) q WHERE k = 1")
+def q_job_states(spark, d):
+    """Every job's state by the stateful operator, where a final state stays."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", states_.STORE)
+    return states_.job_states(read(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", F.expr(_STATUS).alias("status"), F.expr("CAST(floor(value) AS INT)").alias("percent"), F.col("event_id").cast("string").alias("message")))
+
+
+@query("q_job_table", "SELECT o_orderkey AS job_id, concat('f', CAST(o_orderkey AS STRING), '.pdf') AS file, CASE WHEN o_orderkey % 3 = 0 THEN 'failed' WHEN o_orderkey % 2 = 0 THEN 'processing' ELSE 'queued' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'service error' END AS error, CAST(1 + CAST(o_orderkey % 2 = 0 AS INT) + CAST(o_orderkey % 3 = 0 AS INT) AS BIGINT) AS revision FROM orders")
+def q_job_table(spark, d):
+    """Jobs created, started and failed in three writes to a table of snapshots."""
+    jobs, table = read(spark, d, "orders").select(F.col("o_orderkey").alias("job_id")), jobtable.JobTable(spark, records.own_folder(spark, "jobs"))
+    table.merge(jobs.select("job_id", F.expr("concat('f', CAST(job_id AS STRING), '.pdf')").alias("file"), F.lit("queued").alias("status")))
+    table.merge(jobs.where("job_id % 2 = 0").select("job_id", F.lit("processing").alias("status"), F.lit(None).cast("string").alias("error")))
+    table.merge(table.read()[1].where("job_id % 3 = 0").select("job_id", F.lit("failed").alias("status"), F.lit("service error").alias("error"), "revision"))
+    return table.read()[1].select("job_id", "file", "status", "error", "revision")
+
+
 @query("q_job_status", f"SELECT job_id, ts, status, percent, message FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, {_LATEST} DESC, percent DESC, message DESC) AS k FROM (SELECT user_id AS job_id, ts, {_STATUS} AS status, CAST(floor(value) AS INT) AS percent, CAST(event_id AS STRING) AS message FROM events) e) q WHERE k = 1")
 def q_job_status(spark, d):
     return jobs_.latest(read(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", F.expr(_STATUS).alias("status"), F.expr("CAST(floor(value) AS INT)").alias("percent"), F.col("event_id").cast("string").alias("message")))
