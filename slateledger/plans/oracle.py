@@ -228,9 +228,11 @@ def minimal(s: Steps) -> str:
     return s.add(INVOICE_NO="CASE WHEN inv_ <> GSTIN THEN inv_ ELSE '' END", PLACE_OF_SUPPLY=near_place("context")).records(0.70, "reconstructed_ocr")
 
 
-def rebuilt(ctes: str) -> str:
-    """Identifiers joined from runs of 2, 3 and 4 words, then from whole lines."""
+def rebuilt(ctes: str, lines: bool = False) -> str:
+    """Identifiers joined from runs of 2, 3 and 4 words (or lines), then from whole lines."""
     word = "SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY ord, p) - 1 AS at_ FROM (SELECT doc_id, ord, unnest(regexp_split_to_array(text, '\\s+')) AS t, unnest(range(1, 1 + len(regexp_split_to_array(text, '\\s+')))) AS p FROM li) x WHERE t <> ''"
+    if lines:
+        word = "SELECT doc_id, trim(text) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS at_ FROM li WHERE trim(text) <> ''"
     over = lambda n: f"OVER (PARTITION BY doc_id ORDER BY at_ ROWS BETWEEN {n} FOLLOWING)"
     sizes = " UNION ALL ".join(f"SELECT doc_id, {k} AS size, at_, string_agg(t, '') {over(f'CURRENT ROW AND {k - 1}')} AS run, string_agg(t, ' ') {over(f'2 PRECEDING AND {k + 7}')} AS context, count(*) {over(f'CURRENT ROW AND {k - 1}')} AS n FROM words" for k in (2, 3, 4))
     joined = f"SELECT doc_id, size * {1 << 40} + at_ AS ord, regexp_replace(upper(run), '[^A-Z0-9]', '', 'g') AS joined, context FROM ({sizes}) y WHERE n = size"
@@ -251,22 +253,36 @@ def column_rows(ctes: str) -> str:
 FORMAT = f"CASE WHEN {count_words('lower(text)', C.EWB_KEYWORDS)} >= 2 THEN 'eway_bill' WHEN {count_words('lower(text)', C.STATEMENT_KEYWORDS)} >= 2 THEN 'gst2a' WHEN len({every('text', C.BILL_NO)}) >= 3 THEN 'eway_bill' WHEN len({every('text', C.ID)}) >= 2 THEN 'gst2a' ELSE 'unknown' END"
 
 
-def cascade(ctes: str) -> str:
-    """Common tables up to chosen (doc_id, strategy) and every (all strategies' records)."""
-    found = {"bills": f"SELECT * FROM ({bill(INNER)}) UNION ALL SELECT * FROM ({bill_ids(INNER)})", "lines": line(INNER), "blocks": block(INNER), "anchored": anchored(INNER), "rebuilt": rebuilt(INNER), "generic": generic(INNER)}
-    parts = [ctes, TEXTS, f"fmt AS (SELECT doc_id, {FORMAT} AS fmt FROM dt)", *[f"r_{k} AS MATERIALIZED ({v})" for k, v in found.items()]]
+#: Rows of boxes as lines, where the box texts are in lb.
+ROWS = "WITH li AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS ord, regexp_replace(text, ' +', ' ', 'g') AS text FROM lb)"
+
+
+def cascade(ctes: str, boxed: bool = False) -> str:
+    """Common tables up to chosen (doc_id, strategy) and every (all strategies' records); boxed: with the texts of rows
+    of boxes in lb, bills from them where that finds more, and strategy 5."""
+    found = {"bills": f"SELECT * FROM ({bill(INNER)}) UNION ALL SELECT * FROM ({bill_ids(INNER)})", "lines": line(INNER), "blocks": block(INNER), "anchored": anchored(INNER), "rebuilt": rebuilt(INNER, boxed), "generic": generic(INNER)}
+    parts, later = [ctes, TEXTS, f"fmt AS (SELECT doc_id, {FORMAT} AS fmt FROM dt)"], ["blocks", "anchored", "rebuilt", "generic"]
+    if boxed:
+        n = "SELECT doc_id, count(*) AS n FROM {0} GROUP BY doc_id"
+        parts += [f"b_line AS MATERIALIZED ({found['bills']})", f"b_box AS MATERIALIZED ({bill(ROWS, alone=True)})"]
+        parts.append(f"use_box AS (SELECT o.doc_id FROM ({n.format('b_box')}) o LEFT JOIN ({n.format('b_line')}) g USING (doc_id) WHERE coalesce(g.n, 0) < 3 AND o.n > coalesce(g.n, 0))")
+        found["bills"] = "SELECT * FROM b_line WHERE doc_id NOT IN (SELECT doc_id FROM use_box) UNION ALL SELECT * FROM b_box WHERE doc_id IN (SELECT doc_id FROM use_box)"
+        found["columns"] = column_rows("WITH li AS (SELECT * FROM lb)")
+        later.insert(3, "columns")
+    parts += [f"r_{k} AS MATERIALIZED ({v})" for k, v in found.items()]
     parts.append("every AS (" + " UNION ALL ".join(f"SELECT *, '{k}' AS strategy FROM r_{k}" for k in found) + ")")
     parts.append("counts AS (SELECT fmt.doc_id, fmt, " + ", ".join(f"count(*) FILTER (strategy = '{k}') AS n_{k}" for k in found) + " FROM fmt LEFT JOIN every USING (doc_id) GROUP BY fmt.doc_id, fmt)")
     parts.append("c0 AS (SELECT *, CASE WHEN fmt = 'eway_bill' THEN n_bills ELSE 0 END AS n, CASE WHEN fmt = 'eway_bill' AND n_bills > 0 THEN 'bills' ELSE '' END AS strategy FROM counts)")
     parts.append("c1 AS (SELECT * REPLACE (CASE WHEN (fmt = 'gst2a' OR n = 0) AND n_lines > 0 THEN n_lines ELSE n END AS n, CASE WHEN (fmt = 'gst2a' OR n = 0) AND n_lines > 0 THEN 'lines' ELSE strategy END AS strategy), n = 0 AS open_ FROM c0)")
-    for k, (name, tried) in enumerate([("blocks", "(fmt = 'gst2a' OR open_)"), ("anchored", "(fmt = 'gst2a' OR open_)"), ("rebuilt", "(fmt = 'gst2a' OR open_)"), ("generic", "TRUE")], 2):
-        better = f"{tried} AND n < 3 AND n_{name} > n"
+    tried = "(fmt = 'gst2a' OR open_)"
+    for k, name in enumerate(later, 2):
+        better = f"{'TRUE' if name == 'generic' else tried} AND n < 3 AND n_{name} > n"
         parts.append(f"c{k} AS (SELECT * REPLACE (CASE WHEN {better} THEN n_{name} ELSE n END AS n, CASE WHEN {better} THEN '{name}' ELSE strategy END AS strategy) FROM c{k - 1})")
-    return ", ".join([*parts, "chosen AS (SELECT doc_id, strategy FROM c5 WHERE strategy <> '')"])
+    return ", ".join([*parts, f"chosen AS (SELECT doc_id, strategy FROM c{len(later) + 1} WHERE strategy <> '')"])
 
 
-def cascade_records(ctes: str) -> str:
+def cascade_records(ctes: str, boxed: bool = False) -> str:
     """The chosen records, the first of each identifier and number, places filled from the state."""
     once = "row_number() OVER (PARTITION BY doc_id, GSTIN, INVOICE_NO, CASE WHEN GSTIN = '' AND INVOICE_NO = '' THEN ord END ORDER BY ord)"
     own = states("substring(GSTIN, 1, 2)", C.IMAGE_STATES)
-    return f"{cascade(ctes)} SELECT * REPLACE (CASE WHEN PLACE_OF_SUPPLY = '' THEN {own} ELSE PLACE_OF_SUPPLY END AS PLACE_OF_SUPPLY) FROM every JOIN chosen USING (doc_id, strategy) QUALIFY {once} = 1"
+    return f"{cascade(ctes, boxed)} SELECT * REPLACE (CASE WHEN PLACE_OF_SUPPLY = '' THEN {own} ELSE PLACE_OF_SUPPLY END AS PLACE_OF_SUPPLY) FROM every JOIN chosen USING (doc_id, strategy) QUALIFY {once} = 1"

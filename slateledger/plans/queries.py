@@ -369,6 +369,16 @@ def q_cascade(spark, d):
     return cascade_.cascade(render.mixed(render.invoices(spark, d)))
 
 
+_KEPT = ["doc_id", "ord", "strategy", "GSTIN", "INVOICE_NO", "INVOICE_VALUE", "TAXABLE_VALUE", "PLACE_OF_SUPPLY", "_source"]
+
+
+@query("q_cascade_boxes", f"SELECT {', '.join(_KEPT)} FROM ({O.cascade_records(render.sql_boxed(), boxed=True)}) z")
+def q_cascade_boxes(spark, d):
+    """The cascade with recognised boxes: bills and columns are read from them where lines give too little."""
+    lines, rows = render.boxed(render.invoices(spark, d))
+    return cascade_.cascade(lines, boxes(rows)).select(*_KEPT)
+
+
 @query("q_cascade_choice", f"{O.cascade(render.sql('mixed'))} SELECT doc_id, strategy FROM chosen")
 def q_cascade_choice(spark, d):
     return cascade_.cascade(render.mixed(render.invoices(spark, d))).select("doc_id", "strategy").distinct()

@@ -76,6 +76,24 @@ def mixed(inv: DataFrame) -> DataFrame:
     return settled(inv.select("doc_id", "page_no", "ord", F.expr(_MIXED.format(**layouts(SPARK))).alias("text")), F.lit(True))
 
 
+#: Documents whose lines were read badly while the boxes of their words were not: bills without numbers and identifiers
+#: below a heading, and pages of which only fillers were left.
+_LOST = """CASE doc_id % 5 WHEN 2 THEN CASE WHEN ord = 1 THEN 'E-Way Bill Consignor Consignee' ELSE substring({bill}, 14, length({bill}) - 29) END WHEN 4 THEN 'filler without figures' ELSE {mixed} END"""
+_BOXED = "CASE doc_id % 5 WHEN 4 THEN {image} ELSE {mixed} END"
+
+
+def boxed(inv: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, the texts of the rows of their boxes)."""
+    make = lambda t: settled(inv.select("doc_id", "page_no", "ord", F.expr(t.format(**layouts(SPARK), mixed=_MIXED.format(**layouts(SPARK)))).alias("text")), F.lit(True))
+    return make(_LOST), make(_BOXED)
+
+
+def sql_boxed() -> str:
+    """A WITH clause for the oracle: inv, li and lb, as boxed() gives them."""
+    text = lambda t: t.format(**layouts(DUCK), mixed=_MIXED.format(**layouts(DUCK)))
+    return f"WITH inv AS ({_base(**DUCK)}), li AS (SELECT doc_id, page_no, ord, {text(_LOST)} AS text FROM inv), lb AS (SELECT doc_id, page_no, ord, {text(_BOXED)} AS text FROM inv)"
+
+
 def sql(layout: str | None = None) -> str:
     """A WITH clause for the oracle: inv, and li (doc_id, page_no, ord, text) in a layout or mixed."""
     base = f"WITH inv AS ({_base(**DUCK)})"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +21,12 @@ STATE = "us long, status string, percent int, message string"  # times in micros
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def ready(spark: SparkSession) -> None:
+    """Executors get the package, and the session its stream manager, which finds state stores for batches, too."""
+    ship(spark)
+    _ = spark.streams.active
+
+
 def further(a: tuple | None, b: tuple) -> tuple:
     """Of two states (time, status, percent, message) of a job the one that holds: the earliest final one; without such
     the latest, of equal times the further one."""
@@ -76,7 +82,7 @@ def job_states(events: DataFrame, limit: int | None = None, late: str = "10 minu
     """events (job_id, ts, status, percent, message), batch or stream, to each job's state whenever it changes. With a
     limit (milliseconds, streams only) jobs that nothing is heard of fail when the watermark passes their deadline. Events
     without a time are left out."""
-    ship(events.sparkSession)
+    ready(events.sparkSession)
     timed = limit is not None
     src = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     src = src.withWatermark("ts", late) if timed else src
@@ -112,7 +118,7 @@ class Trigger(StatefulProcessor):
 def triggers(events: DataFrame, every: int = 5) -> DataFrame:
     """events (name, kind: file or done), batch or stream, to (name, count, started) at every `every`-th file of a
     training set. Each task adds up its own rows first, so that a set's counter gets a row a task, not a row a file."""
-    ship(events.sparkSession)
+    ready(events.sparkSession)
 
     def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, list] = {}
