@@ -259,14 +259,19 @@ def minimal(df: DataFrame, context: str) -> DataFrame:
 
 
 def token_windows(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, tokens): (doc_id, size, at, merged, context) for runs of 2, 3 and 4 tokens that collapse to 15 characters and more."""
-    word = docs.select("doc_id", F.posexplode("tokens").alias("at", "_t"))
-    near = word.select("doc_id", "at", F.collect_list("_t").over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(-2, 11)).alias("_near"))  # no row carries all tokens
-    before, size = F.least("at", F.lit(2)), F.col("size")
-    sized = near.select("doc_id", "at", "_near", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("size")).where(before + size <= F.size("_near"))
-    merged = F.regexp_replace(F.upper(F.array_join(F.slice("_near", before + 1, size), "")), "[^A-Z0-9]", "")
-    out = sized.select("doc_id", "size", "at", merged.alias("merged"), F.array_join(F.slice("_near", F.lit(1), before + size + 8), " ").alias("context"))
-    return out.where("length(merged) >= 15")
+    """docs (doc_id, tokens): (doc_id, size, at, merged, context) for runs of 2, 3 and 4 tokens that collapse to 15 characters
+    and more. Runs are cut from the document's own array, and contexts only for those that are long enough, so that
+    nothing is sorted or moved."""
+    n = F.size("tokens")
+
+    def runs(at: Column) -> Column:
+        merged = lambda size: F.regexp_replace(F.upper(F.array_join(F.slice("tokens", at + 1, size), "")), "[^A-Z0-9]", "")
+        return F.array(*[F.struct(F.lit(k).alias("size"), at.alias("at"), F.when(at + k <= n, merged(k)).otherwise("").alias("merged")) for k in (2, 3, 4)])
+
+    long = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), runs)), lambda r: F.length(r["merged"]) >= 15)
+    around = lambda r: F.array_join(F.slice("tokens", F.greatest(r["at"] - 1, F.lit(1)), F.least(r["at"], F.lit(2)) + r["size"] + 8), " ")
+    found = settled(docs.where(n >= 2).select("doc_id", "tokens", long.alias("_r")), F.size("_r") > 0)
+    return found.select("doc_id", F.inline(F.transform("_r", lambda r: F.struct(r["size"].alias("size"), r["at"].alias("at"), r["merged"].alias("merged"), around(r).alias("context")))))
 
 
 def parse_rebuilt(lines: DataFrame, use_lines_as_tokens: bool = False) -> DataFrame:

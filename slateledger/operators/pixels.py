@@ -230,7 +230,9 @@ def whitened(px: DataFrame, page: list[str]) -> DataFrame:
 def measures(px: DataFrame, page: list[str], width: int, height: int) -> DataFrame:
     """(page, sharpness, contrast, brightness, noise, quality): the variance of the Laplacian, the deviation and mean of
     v, the mean distance from v smoothed by five pixels, and the weighted score of them."""
-    own = around(by_page(px, page), page).withColumn("_lap", (F.col("_around") - 4 * F.col("v")).cast("double"))
+    own = around(by_page(px, page), page).withColumn("_lap", (F.col("_around") - 4 * F.col("v")).cast("long")).withColumn("_v", F.col("v").cast("long"))
     own = blurred(own, page, width, height, 5, "reflect", "v", "_soft")
-    raw = own.groupBy(*page).agg(F.var_pop("_lap").alias("sharpness"), F.stddev_pop(F.col("v").cast("double")).alias("contrast"), F.avg("v").alias("brightness"), F.avg(F.abs(F.col("v") - F.col("_soft"))).alias("noise"))
+    n = F.count("*")
+    var = lambda c: (n * F.sum(F.col(c) * F.col(c)) - F.sum(c) * F.sum(c)).cast("double") / (n * n)  # noqa: E731 (whole numbers: the same in any order)
+    raw = own.groupBy(*page).agg(var("_lap").alias("sharpness"), F.sqrt(var("_v")).alias("contrast"), F.avg("v").alias("brightness"), F.avg(F.abs(F.col("v") - F.col("_soft"))).alias("noise"))
     return raw.withColumn("quality", S.quality_score(*[F.col(c) for c in ("sharpness", "contrast", "brightness", "noise")]))

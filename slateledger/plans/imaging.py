@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slateledger.functions import scalars as S
 from slateledger.operators import pixels, raster
 from slateledger.operators.records import checkpointed
 from slateledger.plans import render
@@ -304,16 +305,16 @@ def q_shadowless(spark, d):
 @query(
     "q_page_measures",
     Lists().step("SELECT *, v AS g FROM {src}").blur(5, "reflect", "v", "g").step("SELECT doc_id, page_no, avg(abs(g - v)) AS noise FROM {src} GROUP BY ALL").sql(
-        "SELECT doc_id, page_no, round(sharpness, 4) AS sharpness, round(contrast, 4) AS contrast, round(brightness, 4) AS brightness, round(noise, 4) AS noise, "
+        "SELECT *, CASE WHEN quality >= 0.75 THEN 2 WHEN quality >= 0.45 THEN 4 ELSE 7 END AS variants FROM (SELECT doc_id, page_no, round(sharpness, 4) AS sharpness, round(contrast, 4) AS contrast, round(brightness, 4) AS brightness, round(noise, 4) AS noise, "
         "round(least(least(sharpness / 500, 1) * 0.35 + least(contrast / 60, 1) * 0.30 + greatest(0, 1 - abs(brightness - 185) / 185) * 0.20 + greatest(0, 1 - noise / 20) * 0.15, 1), 3) AS quality FROM ("
-        "SELECT doc_id, page_no, var_pop(coalesce(l, r) + coalesce(r, l) + coalesce(u, o) + coalesce(o, u) - 4 * v) AS sharpness, stddev_pop(v) AS contrast, avg(v) AS brightness "
-        "FROM (SELECT *, lag(v) OVER a AS l, lead(v) OVER a AS r, lag(v) OVER b AS u, lead(v) OVER b AS o FROM grey WINDOW a AS (PARTITION BY doc_id, page_no, y ORDER BY x), b AS (PARTITION BY doc_id, page_no, x ORDER BY y)) q GROUP BY ALL) m JOIN {src} USING (doc_id, page_no)"
+        "SELECT doc_id, page_no, (count(*) * sum(p * p) - sum(p) * sum(p))::DOUBLE / (count(*) * count(*)) AS sharpness, sqrt((count(*) * sum(v * v) - sum(v) * sum(v))::DOUBLE / (count(*) * count(*))) AS contrast, avg(v) AS brightness "
+        "FROM (SELECT *, coalesce(l, r) + coalesce(r, l) + coalesce(u, o) + coalesce(o, u) - 4 * v AS p FROM (SELECT *, lag(v) OVER a AS l, lead(v) OVER a AS r, lag(v) OVER b AS u, lead(v) OVER b AS o FROM grey WINDOW a AS (PARTITION BY doc_id, page_no, y ORDER BY x), b AS (PARTITION BY doc_id, page_no, x ORDER BY y)) q) q2 GROUP BY ALL) m JOIN {src} USING (doc_id, page_no)) z"
     ),
 )
 def q_page_measures(spark, d):
-    """Measures of every page's image and the quality that they give."""
+    """Measures of every page's image, the quality that they give, and how many variants of it are made."""
     m = pixels.measures(grey(spark, d), PAGE, W, H)
-    return m.select(*PAGE, *[F.round(c, 4).alias(c) for c in ("sharpness", "contrast", "brightness", "noise")], "quality")
+    return m.select(*PAGE, *[F.round(c, 4).alias(c) for c in ("sharpness", "contrast", "brightness", "noise")], "quality", S.variant_count("quality").alias("variants"))
 
 
 # ------------------------------------------------------------------ coloured paper

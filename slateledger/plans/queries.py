@@ -73,7 +73,12 @@ def faded(li: DataFrame) -> DataFrame:
 
 
 _READ = ["doc_id", "ord", "INVOICE_NO", "GSTIN", "TAXABLE_VALUE", "_source"]  # whole records are compared by q_parse_ewb
-on_lines("q_ewb_boxes", "bill", lambda li: parse.parse_bills(faded(li), boxes(li)).select(*_READ), f"{render.sql('bill')}, by_line AS ({O.bill(O.INNER)}), by_box AS ({O.bill(O.INNER, alone=True)}) SELECT {', '.join(_READ)} FROM by_line WHERE doc_id % 3 = 2 UNION ALL SELECT {', '.join(_READ)} FROM by_box WHERE doc_id % 3 <> 2")
+def _ewb_boxes(li: DataFrame) -> DataFrame:
+    li = records.checkpointed(li)  # lines and boxes, both read more than once
+    return parse.parse_bills(faded(li), boxes(li)).select(*_READ)
+
+
+on_lines("q_ewb_boxes", "bill", _ewb_boxes, f"{render.sql('bill')}, by_line AS ({O.bill(O.INNER)}), by_box AS ({O.bill(O.INNER, alone=True)}) SELECT {', '.join(_READ)} FROM by_line WHERE doc_id % 3 = 2 UNION ALL SELECT {', '.join(_READ)} FROM by_box WHERE doc_id % 3 <> 2")
 
 
 _SPLIT = {"GSTIN": "gstin", "TRADE_NAME": "name", "INVOICE_NO": "concat('INV-', okey)", "INVOICE_DATE": "inv_date", "INVOICE_VALUE": "CAST(value AS STRING)", "PLACE_OF_SUPPLY": "pos", "REVERSE_CHARGE": "rc", "TAX_RATE": "rate", "TAXABLE_VALUE": "CAST(taxable AS STRING)", "IGST": "CAST(igst AS STRING)", "CGST": "CAST(half AS STRING)", "SGST": "CAST(half AS STRING)", "CESS": "'0.00'", "GSTR1_STATUS": "'Y'", "GSTR1_FILING_DATE": "'11-Feb-24'", "GSTR1_PERIOD": "'Feb-24'", "GSTR3B_STATUS": "'Y'", "SOURCE": "CASE WHEN parity = 1 THEN 'Manual' ELSE 'IFF' END"}
@@ -475,7 +480,7 @@ def q_training_entries(spark, d):
 @query("q_correction_entries", f"{_RSQL}, n AS ({_NORM}), x AS (SELECT r.doc_id, r.ord, r.INVOICE_VALUE AS v, n.INVOICE_VALUE AS nv, r.PLACE_OF_SUPPLY AS p, n.PLACE_OF_SUPPLY AS np FROM r JOIN n ON r.doc_id = n.doc_id AND r.ord = n.ord) SELECT concat(doc_id, '-', ord) AS job_id, CASE WHEN nv <> v THEN nv END AS value, CASE WHEN np <> p THEN np END AS place, CAST(nv <> v AS INT) + CAST(np <> p AS INT) AS fields, v AS was FROM x")
 def q_correction_entries(spark, d):
     """Corrections written as JSON and read again."""
-    r, to = raw_records(spark, d), records.own_folder(spark, "entries")
+    r, to = records.checkpointed(raw_records(spark, d)), records.own_folder(spark, "entries")
     named = lambda df: df.withColumn("job_id", F.expr("concat(doc_id, '-', ord)"))
     sinks.write_json(sinks.correction_entries(named(r), named(records.normalise(r)), "2024-01-01"), to)
     got = spark.read.schema("job_id string, corrections map<string,string>, original_data map<string,string>").json(to)
