@@ -101,6 +101,17 @@ _BRACKETED_DOT = re.compile(rf"[(\[{{<]\s*+(?:{_DOT_WORDS}|\.)\s*+[)\]}}>]\s*+",
 _BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(\s++(?:{_AT_WORDS})\s++)|\s?+@\s?+)[A-Za-z0-9-]++(?:\s++(?:{_DOT_WORDS})\s++[A-Za-z0-9-]++)++", re.I)
 _BARE_DOT = re.compile(rf"(?<!\s)\s++(?:{_DOT_WORDS})\s++", re.I)
 _BARE_AT = re.compile(r"\s?+@\s?+")
+# Suffixes of hosts that a bare disguise may end in, with all of two letters; words that prose has before `at`.
+_SUFFIX = re.compile(r"(?:com|org|net|edu|gov|mil|info|biz|name|dev|app|mail|[a-z]{2})", re.I)
+_BEFORE_AT = frozenset(
+    "a am an are arrive arrived at available be begin blog by call center centre check contact down event found front go going good he her here him hosted hosting house i in is it "
+    "laugh link live lives located look looked looking looks me meet meeting mirror my not now office on online only open or out page phone point portal posted project reach read see "
+    "service she shop sign site sold someone start starts store talk team that the them there they this to today up us visit was we website were who work worked working works write you "
+    "nous vous moi lui est sont page site ich wir uns sie ist sind seite nos me es son sitio está".split()
+)
+_NUMBERS = re.compile(rf"(?<![0-9A-Za-z.])[0-9]{{1,3}}(?:\s++(?:{_DOT_WORDS})\s++[0-9]{{1,3}}){{3}}(?![0-9A-Za-z])", re.I)
+_NAMED_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\s++(?:{_AT_WORDS})\s++)([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)", re.I)
+_SIGN, _LETTER = re.compile("[0-9._+-]"), re.compile("[A-Za-z]")
 _WORDS = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _RUN = re.compile(rf"\b(?:{_WORDS})\b(?:[\x20,.-]++(?:(?:{_WORDS})\b|[0-9]++(?![0-9A-Za-z])))*+", re.I)
 _WORD = re.compile(rf"(?:{_WORDS})\b|[0-9]+", re.I)
@@ -167,19 +178,53 @@ def _brackets(pattern: re.Pattern, new: str) -> Callable[[str], list[tuple[int,
 
 
 def _bare(text: str) -> list[tuple[int, int, str]]:
-    """`name at host dot com` with spaces about the words: only the whole pattern is rewritten."""
+    """`name at host dot com` with spaces about the words: only the whole pattern is rewritten, if it ends in a known
+    suffix and the name is none of the words that prose has before `at`. `name.x at host.com` is, too, if the name
+    has a digit or sign, as names of mailboxes have and words don't."""
     low = text.lower()
-    if not any(w in low for w in _DOT_WORDS.split("|")):
-        return []
     out = []
-    for m in _BARE.finditer(text):
-        a, b = m.span(1) if m.group(1) is not None else _BARE_AT.search(text, m.start(), m.end()).span()
-        out.append((a, b, "@"))
-        out += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, b, m.end())]
+    if any(w in low for w in _DOT_WORDS.split("|")):
+        for m in _BARE.finditer(text):
+            a, b = m.span(1) if m.group(1) is not None else _BARE_AT.search(text, m.start(), m.end()).span()
+            if m.group(1) is not None and (text[m.start() : a].lower() in _BEFORE_AT or _SUFFIX.fullmatch(m.group().split()[-1]) is None):
+                continue
+            out.append((a, b, "@"))
+            out += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, b, m.end())]
+        out += [(d.start(), d.end(), ".") for m in _NUMBERS.finditer(text) for d in _BARE_DOT.finditer(text, m.start(), m.end())]
+    for m in _NAMED_AT.finditer(text):
+        name, host = text[m.start() : m.start(1)], m.group(2)
+        if _SIGN.search(name) and _LETTER.search(name) and _SUFFIX.fullmatch(host.rpartition(".")[2]):
+            out.append((*m.span(1), "@"))
+    return _apart(out)
+
+
+def _apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """In order, the first of those that overlap."""
+    out: list[tuple[int, int, str]] = []
+    for e in sorted(edits):
+        if not out or e[0] >= out[-1][1]:
+            out.append(e)
     return out
 
 
-TRANSDUCERS = (_lookalikes, _brackets(_BRACKETED_AT, "@"), _brackets(_BRACKETED_DOT, "."), _bare, _spelled)
+def _letter_by_letter(text: str) -> list[tuple[int, int, str]]:
+    """`j o h n @ h o s t . c o m`: single characters with a space each about an @, walked from it to both sides."""
+    out, last, at = [], 0, text.find(" @ ")
+    single = lambda k: 0 <= k < len(text) and text[k] in _LOCAL and (k == 0 or text[k - 1] == " ") and (k + 1 == len(text) or not (text[k + 1] in _LOCAL))
+    while at >= 0:
+        left, right = at + 1, at + 1
+        while left - 2 >= last and text[left - 1] == " " and single(left - 2):
+            left -= 2
+        while right + 2 < len(text) and text[right + 1] == " " and single(right + 2):
+            right += 2
+        if at + 1 - left >= 4 and right - at - 1 >= 6 and "." in text[at + 1 : right + 1]:
+            out += [(k, k + 1, "") for k in range(left + 1, right, 2)]
+            last = right + 1
+        at = text.find(" @ ", max(right, at + 1))
+    return out
+
+
+TRANSDUCERS = (_lookalikes, _brackets(_BRACKETED_AT, "@"), _brackets(_BRACKETED_DOT, "."), _letter_by_letter, _bare, _spelled)
 
 
 def deobfuscate(text: str) -> Rewritten | None:
