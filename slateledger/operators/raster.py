@@ -21,7 +21,7 @@ LINE_SHARE, LINE_PIXELS, MAX_ANGLE = 8, 80, 5.0
 #: Least share of the image that a page's outline covers, how many components are looked at, tolerance of the outline.
 LEAST_AREA, TOP, TOLERANCE = 0.15, 5, 0.02
 #: Columns that one key of the search for neighbouring runs covers.
-CELL = 64
+CELL = 256
 
 
 # ------------------------------------------------------------------ tilt
@@ -74,11 +74,12 @@ def level(x: Column, y: Column, angle: Column, width: int) -> tuple[Column, Colu
 
 def touching(runs: DataFrame, page: list[str]) -> DataFrame:
     """(page, above, below): numbers of runs of consecutive rows that touch, corners included. Runs meet by the cells
-    of CELL columns that they reach into, not with every run of the next row."""
+    of CELL columns that they reach into, not with every run of the next row, and count in the cell where the later of
+    them begins."""
     cells = runs.withColumn("_c", F.explode(F.sequence(F.floor(F.col("x0") / CELL), F.floor((F.col("x1") + 1) / CELL))))
     a, b = cells.select(*page, "_c", F.col("y"), F.col("x0").alias("_a0"), F.col("x1").alias("_a1"), F.col("run").alias("above")), cells.select(*page, "_c", (F.col("y") - 1).alias("y"), "x0", "x1", F.col("run").alias("below"))
-    met = a.join(b, [*page, "_c", "y"]).where("_a0 <= x1 + 1 and _a1 + 1 >= x0")
-    return met.select(*page, "above", "below").distinct()
+    met = a.join(b, [*page, "_c", "y"]).where("_a0 <= x1 + 1 and _a1 + 1 >= x0").where(F.col("_c") == F.floor(F.greatest("_a0", "x0") / CELL))
+    return met.select(*page, "above", "below")
 
 
 def _labels(above: np.ndarray, below: np.ndarray, n: int) -> np.ndarray:
