@@ -11,7 +11,7 @@ from slateledger.functions import constants as C
 from slateledger.functions import scalars as S
 from slateledger.operators import cascade as cascade_, evaluate, ocr, parse, records, report
 from slateledger.plans import oracle as O
-from slateledger.plans import imaging, render
+from slateledger.plans import imaging, plugged, render
 from slateledger.sources import ingest, jobtable, sinks
 from slateledger.streaming import jobs as jobs_
 from slateledger.streaming import states as states_
@@ -610,7 +610,7 @@ def q_grid(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.grid("l_quantity", F.lit(50.0)).alias("x"))
 
 
-# ------------------------------------------------------------------ page images
+# ------------------------------------------------------------------ page images, plug-ins
 
-QUERIES |= imaging.QUERIES
-ORACLE |= imaging.ORACLE
+QUERIES |= imaging.QUERIES | plugged.QUERIES
+ORACLE |= imaging.ORACLE | plugged.ORACLE
