@@ -53,23 +53,20 @@ def _settle(runs: list[str]) -> None:
             _held[run] = close_place(run) if may else ""
 
 
-def _may_match(run: str) -> bool:
-    """Whether a name could be close at all: names are letters and spaces, so no more than those of the run
-    can match, and the ratio is at most twice their number over both lengths."""
-    letters = len(_OTHER.sub("", run))
-    return 2 * letters >= CUTOFF * (len(run) + max(letters, 3))
-
-
 def _runs(text: str | None) -> Iterator[str]:
-    """Runs of 2, 3 and 1 words from each place on; a run beyond the end ends the tries at its place."""
+    """Runs of 2, 3 and 1 words from each place on; a run beyond the end ends the tries at its place. Left out are runs that
+    no name can be close to: names are letters and spaces, so no more than those of the run can match, and the
+    ratio is at most twice their number over both lengths."""
     words = (text or "").lower().split()
+    size = [len(w) for w in words]
+    plain = [n if w.isascii() and w.isalpha() else len(_OTHER.sub("", w)) for w, n in zip(words, size, strict=True)]
     for i in range(len(words)):
         for n in (2, 3, 1):
             if i + n > len(words):
                 break
-            run = " ".join(words[i : i + n])
-            if len(run) >= 3 and _may_match(run):
-                yield run
+            long, letters = sum(size[i : i + n]) + n - 1, sum(plain[i : i + n]) + n - 1
+            if long >= 3 and 2 * letters >= CUTOFF * (long + max(letters, 3)):
+                yield " ".join(words[i : i + n])
 
 
 def fuzzy_places(texts: list[str | None]) -> list[str]:

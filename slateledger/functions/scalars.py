@@ -151,6 +151,34 @@ def variant_count(quality: Column | str) -> Column:
     return F.when(col(quality) >= 0.75, 2).when(col(quality) >= 0.45, 4).otherwise(7)
 
 
+#: Width below which pages are enlarged, and above which they are reduced (one and a half times as much for heights).
+TARGET_WIDTH, MAX_WIDTH = 3000, 6000
+#: Variants of a page by its quality: clean, medium, poor; the page as it came is tried last.
+VARIANTS = [["colour", "clahe"], ["colour", "binary", "clahe", "table"], ["colour", "binary", "denoise", "clahe", "shadow_binary", "table", "ocr_binary"]]
+
+
+def upright_size(width: Column, height: Column, orientation: Column) -> Column:
+    """Struct (w, h) of a picture after its orientation mark is applied: marks 5 to 8 lie on their side."""
+    side = F.coalesce(orientation, F.lit(1)).between(5, 8)
+    return F.struct(F.when(side, height).otherwise(width).alias("w"), F.when(side, width).otherwise(height).alias("h"))
+
+
+def page_size(width: Column, height: Column) -> Column:
+    """Struct (w, h) of a page that is read: reduced to fit 6000 by 9000, then enlarged to a width of 3000, by four at
+    most; whole pixels, cut."""
+    least = F.least(MAX_WIDTH / width, MAX_WIDTH * 1.5 / height)
+    big = (width > MAX_WIDTH) | (height > MAX_WIDTH * 1.5)
+    w, h = (F.when(big, (c * least).cast("int")).otherwise(c.cast("int")) for c in (width, height))
+    factor = F.when(w < TARGET_WIDTH, F.least(TARGET_WIDTH / w, F.lit(4.0))).otherwise(F.lit(1.0))
+    return F.struct((w * factor).cast("int").alias("w"), (h * factor).cast("int").alias("h"))
+
+
+def variant_names(quality: Column | str) -> Column:
+    """The variants made of a page, in order, and the page itself last."""
+    names = lambda k: F.array(*map(F.lit, [*VARIANTS[k], "original"]))
+    return F.when(col(quality) >= 0.75, names(0)).when(col(quality) >= 0.45, names(1)).otherwise(names(2))
+
+
 def quality_score(sharpness: Column, contrast: Column, brightness: Column, noise: Column) -> Column:
     """Weighted quality from raw measures, each first brought to 0..1."""
     zero, one = F.lit(0.0), F.lit(1.0)

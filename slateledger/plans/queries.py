@@ -584,11 +584,28 @@ query("q_word_lines", f"{_WSQL} SELECT * FROM ln")(lambda spark, d: ocr.word_lin
 query("q_page_stats", f"{_WSQL} SELECT doc_id, round(avg(conf) / 100, 6) AS confidence, count(*) AS lines FROM ln GROUP BY doc_id")(lambda spark, d: ocr.page_stats(ocr.word_lines(_words(spark, d))))
 
 
+@query("q_variant_names", "SELECT event_id, CASE WHEN value / 500 >= 0.75 THEN 'colour clahe original' WHEN value / 500 >= 0.45 THEN 'colour binary clahe table original' ELSE 'colour binary denoise clahe shadow_binary table ocr_binary original' END AS names FROM events")
+def q_variant_names(spark, d):
+    return read(spark, d, "events").select("event_id", F.array_join(S.variant_names(F.col("value") / 500), " ").alias("names"))
+
+
 @query("q_variant_plan", "SELECT event_id, CASE WHEN value / 500 >= 0.75 THEN 2 WHEN value / 500 >= 0.45 THEN 4 ELSE 7 END AS variants FROM events")
 def q_variant_plan(spark, d):
     return read(spark, d, "events").select("event_id", S.variant_count(F.col("value") / 500).alias("variants"))
 
 
+_SIZES = "CAST(l_partkey * 37 % 9000 + 400 AS INT) AS w, CAST(l_suppkey * 91 % 14000 + 300 AS INT) AS h, CAST(l_linenumber + l_orderkey % 3 AS INT) AS mark"
+_FIT = "w > 6000 OR h > 9000"
+
+
+@query("q_page_sizes", f"WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN mark BETWEEN 5 AND 8 THEN h ELSE w END AS w, CASE WHEN mark BETWEEN 5 AND 8 THEN w ELSE h END AS h FROM (SELECT *, {_SIZES} FROM lineitem) x), b AS (SELECT *, least(6000.0::DOUBLE / w, 9000.0::DOUBLE / h) AS s FROM a), c AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN {_FIT} THEN CAST(trunc(w * s) AS INT) ELSE w END AS w, CASE WHEN {_FIT} THEN CAST(trunc(h * s) AS INT) ELSE h END AS h FROM b) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN w < 3000 THEN CAST(trunc(w * least(3000.0::DOUBLE / w, 4)) AS INT) ELSE w END AS w, CASE WHEN w < 3000 THEN CAST(trunc(h * least(3000.0::DOUBLE / w, 4)) AS INT) ELSE h END AS h FROM c")
+def q_page_sizes(spark, d):
+    """Sizes of pictures after their orientation mark, brought to the sizes that are read."""
+    own = read(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", *_SIZES.split(", C")[:1], *["C" + x for x in _SIZES.split(", C")[1:]])
+    up = own.withColumn("u", S.upright_size(F.col("w"), F.col("h"), F.col("mark"))).withColumn("p", S.page_size(F.col("u.w"), F.col("u.h")))
+    return up.select("l_orderkey", "l_linenumber", "l_partkey", "p.w", "p.h")
+
+
 @query("q_quality_score", "SELECT l_orderkey, l_linenumber, l_partkey, round(least(least(l_quantity * 20 / 500, 1.0) * 0.35 + least(l_quantity * 2 / 60, 1.0) * 0.30 + greatest(0.0, 1 - abs(l_quantity * 8 - 185) / 185) * 0.20 + greatest(0.0, 1 - l_quantity / 20) * 0.15, 1.0), 3) AS quality FROM lineitem")
 def q_quality_score(spark, d):
     q = F.col("l_quantity")
