@@ -226,11 +226,11 @@ def covered(spans: np.ndarray) -> np.ndarray:
 
 
 def query_groups(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items with words, in groups of QUERY_BYTES, read one partition at a time."""
+    """Items with words, in groups of QUERY_BYTES, read one partition at a time; a null id counts as the empty text."""
     held, size = [], 0
     for item, text in texts(benchmark, item_id, item_text).select("doc_id", "text").toLocalIterator():
         if ws := words((text or "").encode()):
-            held.append((str(item), ws))
+            held.append(("" if item is None else str(item), ws))
             size += len(text)
         if size >= QUERY_BYTES:
             yield held
@@ -311,7 +311,7 @@ def op5_decontam(spark, sf_dir):
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS} AS w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, array_to_string(w[k:least(k + 12, len(w))], ' ') AS g, least(13, len(w)) AS n
        FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(k) WHERE len(w) > 0),
 dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS g

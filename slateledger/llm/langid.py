@@ -16,7 +16,7 @@ from slateledger.llm.common import arrow_map, held_out, table
 ORDERS = (1, 2, 3)
 #: Hashed n-grams fall into this many buckets; the model is buckets x languages.
 BUCKETS = 1 << 16
-#: Characters scored at once; longer texts are scored in pieces of it that sum to the same.
+#: Characters scored at once, in whole texts: a longer text is scored alone, at some 40 bytes a character.
 CHUNK = 1 << 18
 SMOOTHING = 0.5
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -131,7 +131,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_la
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score.
 
-    `und` with score 0 where the text is null or has no letter, or nothing could be learned. Repeated rows
+    `und` with score 0 where the text is null or has no letter, or nothing could be learned. Of equally likely languages the
+    first by name counts. Repeated rows
     give repeated results. The score is the posterior, per n-gram so that long texts don't all give 1.
     """
     spark = docs.sparkSession
