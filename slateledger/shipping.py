@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -21,7 +23,9 @@ def ship(spark: SparkSession | None = None) -> None:
     with zipfile.ZipFile(data, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
-    to = Path(tempfile.mkdtemp()) / f"{top.name}_{uuid.uuid4().hex[:8]}.zip"
+    folder = tempfile.mkdtemp()  # the driver's own: Spark serves the file to executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = Path(folder) / f"{top.name}_{uuid.uuid4().hex[:8]}.zip"
     to.write_bytes(data.getvalue())
     spark.sparkContext.addPyFile(str(to))
     spark.sparkContext._slateledger_shipped = True
