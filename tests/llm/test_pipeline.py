@@ -34,7 +34,7 @@ def test_stages_keep_columns_and_rows_without_ids(spark, sf):
 
 
 def test_registered():
-    assert [f"op{n}_" for n in range(1, 11)] == [k.split("_")[0] + "_" for k in QUERIES]
+    assert [f"op{n}_" for n in range(1, 14)] == [k.split("_")[0] + "_" for k in QUERIES]
     assert set(ORACLE) <= set(QUERIES)
 
 
