@@ -83,3 +83,31 @@ def contamination(docs, items, window=13):
                     found |= own
         out[d] = (len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w))
     return out
+
+
+def toxic_features(text, fixed, learned, second, reach=4):
+    """The vector of a text, word by word and sign by sign; bytes are looked at as Latin-1 characters."""
+    import math
+
+    s = (text or "").encode().decode("latin-1")
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
+    words = re.findall("[a-z\x80-\xff]+", low)
+    if not words:
+        return [0.0] * 19
+    n, odd = len(words), []
+    for m in re.findall(r"(?<!\S)[A-Za-z]+[0-9@$!|*._#%&-]+[A-Za-z][A-Za-z0-9@$!|*._#%&-]*", s, re.A):
+        only = lambda w: "".join(c for c in w if "a" <= c <= "z")
+        odd += [only(m.lower().translate(str.maketrans("013457@$!|", "oieastasii"))), only(m.lower())]
+    odd += ["".join(c for c in m.lower() if "a" <= c <= "z") for m in re.findall(r"(?<![A-Za-z])(?:[A-Za-z][ .*_-]){3,}[A-Za-z](?![A-Za-z])", s)]
+    hits = [k for k, w in enumerate(words) if w in fixed]
+    seconds = [k for k, w in enumerate(words) if w in second]
+    near = sum(any(abs(k - j) <= reach for j in seconds) for k in hits)
+    weights = [learned[w] for w in words if w in learned]
+    upper, lower = sum("A" <= c <= "Z" for c in s), sum("a" <= c <= "z" for c in s)
+    single = lambda w: "".join(c for i, c in enumerate(w) if not (i and c == w[i - 1]))
+    odd_hits = sum(w in fixed or single(w) in fixed or w in learned for w in odd)
+    return [
+        1000 * len(hits) / n, math.log(1 + len(hits)), len({words[k] for k in hits}), 1000 * len(weights) / n, 100 * sum(weights) / n, max(weights, default=0), near / max(1, len(hits)), 1000 * len(seconds) / n,
+        upper / max(1, upper + lower), len(re.findall(r"\b[A-Z]{3,}\b", s, re.A)) / n, s.count("!") / n, s.count("?") / n, (s.count(".") + s.count(",")) / n, sum(c.isascii() and c.isdigit() for c in s) / len(s),
+        sum(c in "@#$%^&*_~|\\<>" for c in s) / n, len(odd) / n, odd_hits, sum(a == b for a, b in zip(words, words[1:])) / n, math.log(1 + n),
+    ]

@@ -220,3 +220,18 @@ def test_recall_of_disguised_identifiers(spark, sf, lang):
             n += 1
             found += (kind, len(front), len(front) + len(form)) in [s for x in pii.find(text) for s in x]
     assert n >= 90 and found / n >= 0.9, (found, n)
+
+
+def test_toxic_features(text):
+    """Every feature counted plainly, and one text by hand: two insults (one near `you`), one disguised."""
+    lex = toxicity.Lexicon(learned={b"word": 1.5, b"das": 0.5})
+    plain = lambda x: {w.decode("latin-1") for w in x}
+    own = "IDIOT! you st0pid? a b c d e f moron, m o r o n"
+    cases = [own, "YOU ARE sc.um TRASH", "1d10t iidiiot 1-2 tu es un crétin", "é" * 50, "!!!", *text.values()]
+    for t in cases:
+        want = brute.toxic_features(t, plain(lex.fixed), {"word": 1.5, "das": 0.5}, plain(lex.second))
+        assert np.allclose(toxicity.features((t or "").encode(), lex), want, atol=1e-12), (t or "")[:80]
+    by_hand = dict(zip(toxicity.FEATURES, toxicity.features(own.encode(), lex), strict=True))
+    # words: idiot you st pid a b c d e f moron m o r o n
+    assert by_hand["fixed_hits"] == np.log1p(2) and by_hand["fixed_kinds"] == 2 and by_hand["near_second"] == 0.5 and by_hand["second_density"] == 1000 / 16
+    assert by_hand["caps_words"] == by_hand["exclaims"] == by_hand["questions"] == 1 / 16 and by_hand["capitals"] == 5 / 29
