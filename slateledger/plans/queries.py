@@ -347,18 +347,25 @@ on_found("q_route_decision", report.routes, "SELECT doc_id, n, CASE WHEN n >= 3
 on_found("q_doc_confidence", report.document_confidence, "SELECT doc_id, round(c, 6) AS confidence FROM n")
 
 
-def _side(name: str, where: str, lo: int, hi: int) -> str:
-    return f"{name} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k, {', '.join(C.FIELDS[lo:hi])} FROM r WHERE {where})"
+#: The document that a side's row belongs to: its own, its neighbour, the one after that. All rows enter every side,
+#: and as documents have different numbers of lines, the sides have, too.
+_OWNERS = ("doc_id", "doc_id + 1 - 2 * (doc_id % 2)", "CASE WHEN doc_id % 4 < 2 THEN doc_id + 2 ELSE doc_id - 2 END")
+_PARTS = ((0, 9), (9, 18), (18, 24))
+
+
+def _side(k: int) -> str:
+    (lo, hi), owner = _PARTS[k], _OWNERS[k]
+    return f"{'abc'[k]} AS (SELECT {owner} AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k, {', '.join(C.FIELDS[lo:hi])} FROM r)"
 
 
 _ZIPPED = ", ".join([*C.FIELDS[:9], *[f"coalesce({f}, {O.lit(C.DEFAULTS.get(f, ''))}) AS {f}" for f in C.FIELDS[9:]]])
 
 
-@query("q_zip_groups", f"{_RSQL}, {_side('a', 'ord % 2 = 0', 0, 9)}, {_side('b', 'ord % 3 = 0', 9, 18)}, {_side('c', 'ord % 5 <> 0', 18, 24)} SELECT doc_id, k AS ord, {_ZIPPED} FROM a FULL JOIN b USING (doc_id, k) FULL JOIN c USING (doc_id, k)")
+@query("q_zip_groups", f"{_RSQL}, {_side(0)}, {_side(1)}, {_side(2)} SELECT doc_id, k AS ord, {_ZIPPED} FROM a FULL JOIN b USING (doc_id, k) FULL JOIN c USING (doc_id, k)")
 def q_zip_groups(spark, d):
     r = raw_records(spark, d)
-    side = lambda where, lo, hi: r.where(where).select("doc_id", "ord", *C.FIELDS[lo:hi])
-    return parse.zip_groups(side("ord % 2 = 0", 0, 9), side("ord % 3 = 0", 9, 18), side("ord % 5 <> 0", 18, 24)).select("doc_id", F.col("ord").cast("long").alias("ord"), *C.FIELDS)
+    sides = [r.select(F.expr(owner).alias("doc_id"), "ord", *C.FIELDS[lo:hi]) for owner, (lo, hi) in zip(_OWNERS, _PARTS, strict=True)]
+    return parse.zip_groups(*sides).select("doc_id", F.col("ord").cast("long").alias("ord"), *C.FIELDS)
 
 
 on_lines("q_emergency_fallback", "image", lambda li: parse.emergency(parse.document_text(li)).select("doc_id", F.col("ord").cast("long").alias("ord"), "GSTIN", "INVOICE_NO", "INVOICE_DATE", "INVOICE_VALUE", "TAXABLE_VALUE"), f"{render.sql('image')}, {_TEXT}, e AS (SELECT doc_id, {O.every('text', chr(92) + 'b(' + chr(92) + 'd{2}[A-Z0-9]{13})' + chr(92) + 'b')} AS g, {O.every('text', C.DATE)} AS d, {O.every('text', r'\b(\d+\.\d{1,2}|\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?)\b')} AS a FROM dt) SELECT doc_id, i - 1 AS ord, g[i] AS GSTIN, 'UNKNOWN-' || CAST(i AS STRING) AS INVOICE_NO, coalesce(d[i], '') AS INVOICE_DATE, coalesce(replace(a[2 * i - 1], ',', ''), '') AS INVOICE_VALUE, coalesce(replace(a[2 * i], ',', ''), '') AS TAXABLE_VALUE FROM e, unnest(range(1, len(g) + 1)) t(i)")
