@@ -22,8 +22,8 @@ from slateledger.llm.common import arrow_map, table
 from slateledger.llm.labelled_pages import MAIN, labelled_pages
 
 #: Labelled pages that the query's model is fitted on, and what generates them.
-PAGES, SEED = 600, 11
-ROUNDS, RATE, PENALTY = 120, 0.25, 0.02
+PAGES, SEED = 800, 11
+ROUNDS, RATE, PENALTY = 150, 0.25, 0.02
 #: Enclosing elements whose own names count one by one; farther ones count as open tags and names only.
 NEAR = 6
 

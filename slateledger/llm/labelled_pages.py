@@ -20,7 +20,7 @@ NAMES = {
     "footer": "footer site-footer bottom colophon copyright legal foot page-footer".split(),
     "side": "sidebar side aside widget related recommended popular trending more-stories rail secondary teaser tags".split(),
     "notice": "notice cookie cookie-banner cookie-notice consent gdpr alert popup modal message announcement paywall disclaimer warning overlay privacy".split(),
-    "ad": "ad ads advert advertisement sponsored sponsor promo promotion banner-ad adsense ad-slot adbox partner".split(),
+    "ad": "ad ad ads advert advertisement sponsored sponsor promo promotion banner-ad adsense ad-slot adbox partner".split(),
     "form": "form newsletter subscribe signup search login contact-form subscription register".split(),
     "comments": "comments comment-list commentlist responses discussion reader-comments feedback disqus thread".split(),
     "comment": "comment reply response comment-body comment-text message".split(),
@@ -176,7 +176,7 @@ class Maker:
                 out.append("<table>" + "".join("<tr>" + "".join(self.main("td", self.short("x")) for _ in range(3)) + "</tr>" for _ in range(self.r.randint(1, 4))) + "</table>")
             else:
                 out.append("<dl>" + "".join(self.main("dt", self.short("x")) + self.main("dd", self.sentence()) for _ in range(2)) + "</dl>")
-            if self.r.random() < 0.08:
+            if self.r.random() < 0.35:
                 out.append(self.intruder())
             if self.r.random() < 0.03:
                 out.append(f'<script>var a="<p>{self.word()}</p>";</script>')
