@@ -258,20 +258,26 @@ def minimal(df: DataFrame, context: str) -> DataFrame:
     return step.records(C.CONFIDENCE["rebuilt"], "reconstructed_ocr")
 
 
-def token_windows(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, tokens): (doc_id, size, at, merged, context) for runs of 2, 3 and 4 tokens that collapse to 15 characters
-    and more. Runs are cut from the document's own array, and contexts only for those that are long enough, so that
-    nothing is sorted or moved."""
-    n = F.size("tokens")
+#: Tokens of a stretch that windows begin in.
+STRETCH = 64
 
-    def runs(at: Column) -> Column:
-        merged = lambda size: F.regexp_replace(F.upper(F.array_join(F.slice("tokens", at + 1, size), "")), "[^A-Z0-9]", "")
-        return F.array(*[F.struct(F.lit(k).alias("size"), at.alias("at"), F.when(at + k <= n, merged(k)).otherwise("").alias("merged")) for k in (2, 3, 4)])
 
-    long = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), runs)), lambda r: F.length(r["merged"]) >= 15)
-    around = lambda r: F.array_join(F.slice("tokens", F.greatest(r["at"] - 1, F.lit(1)), F.least(r["at"], F.lit(2)) + r["size"] + 8), " ")
-    found = settled(docs.where(n >= 2).select("doc_id", "tokens", long.alias("_r")), F.size("_r") > 0)
-    return found.select("doc_id", F.inline(F.transform("_r", lambda r: F.struct(r["size"].alias("size"), r["at"].alias("at"), r["merged"].alias("merged"), around(r).alias("context")))))
+def token_windows(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, tokens): (doc_id, size, at, merged, context) for runs of 2, 3 and 4 tokens that collapse to 15 characters
+    and more. Documents are cut into stretches that have the two tokens before and the eleven after them, so that a window
+    is cut from a short array and nothing is sorted or moved; each token is collapsed once, and contexts are put
+    together only for windows that are long enough. (Of posexplode Spark infers filters that would collapse all tokens again.)"""
+    first = F.sequence(F.lit(0), F.floor((F.size("tokens") - 2) / STRETCH).cast("int"))
+    cut = docs.where(F.size("tokens") >= 2).select("doc_id", "tokens", F.explode(first).alias("_k")).withColumn("_at", F.col("_k") * STRETCH).withColumn("_b", F.least("_at", F.lit(2)))
+    cut = cut.select("doc_id", "_at", "_b", F.slice("tokens", F.col("_at") - F.col("_b") + 1, F.col("_b") + STRETCH + 11).alias("_t"))
+    plain = cut.withColumn("_m", F.transform("_t", lambda t: F.regexp_replace(F.upper(t), "[^A-Z0-9]", "")))
+    each = plain.select("*", F.posexplode_outer("_m").alias("_i", "_0")).where((F.col("_i") >= F.col("_b")) & (F.col("_i") < F.col("_b") + STRETCH) & (F.col("_i") + 2 <= F.size("_m")))
+    for k in (1, 2, 3):
+        each = each.withColumn(f"_{k}", F.concat(f"_{k - 1}", F.get("_m", F.col("_i") + k)))  # null beyond the last token
+    runs = each.select("doc_id", "_t", "_i", (F.col("_at") - F.col("_b") + F.col("_i")).alias("at"), F.inline(F.array(*[F.struct(F.lit(k + 1).alias("size"), F.col(f"_{k}").alias("merged")) for k in (1, 2, 3)])))
+    before = F.least("at", F.lit(2))
+    around = F.array_join(F.slice("_t", F.col("_i") - before + 1, before + F.col("size") + 8), " ")
+    return runs.where("length(merged) >= 15").select("doc_id", "size", "at", "merged", around.alias("context"))
 
 
 def parse_rebuilt(lines: DataFrame, use_lines_as_tokens: bool = False) -> DataFrame:
@@ -282,7 +288,7 @@ def parse_rebuilt(lines: DataFrame, use_lines_as_tokens: bool = False) -> DataFr
     """
     found = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("_l"))
     cut = F.transform("_l", lambda t: F.trim(t)) if use_lines_as_tokens else F.flatten(F.transform("_l", lambda t: F.split(t, r"\s+")))
-    windows = token_windows(found.select("doc_id", F.filter(cut, lambda t: t != "").alias("tokens")))
+    windows = token_windows(found.select("doc_id", F.filter(cut, lambda t: t != "").alias("tokens"))).where(F.col("merged").rlike(C.ID_COLLAPSED))
     far = F.lit(1 << 40)
     pieces = windows.select("doc_id", (F.col("size") * far + F.col("at")).alias("ord"), F.col("merged").alias("joined"), "context")
     whole = lines.select("doc_id", (F.lit(5) * far + F.col("ord")).alias("ord"), F.regexp_replace("text", r"\s+", "").alias("joined"), F.col("text").alias("context"))

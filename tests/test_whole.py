@@ -100,3 +100,21 @@ def test_choice_runs_over_all_documents(spark, sf, monkeypatch):
     monkeypatch.setattr(cascade, "cascade", lambda li: seen.append(li) or real(li))
     QUERIES["q_cascade_choice"](spark, sf)
     assert count(seen[0]) == count(render.invoices(spark, sf))
+
+
+def test_token_windows_are_cut_from_short_arrays(spark):
+    """A document of many tokens gives the windows of its plain list, across the stretches that it is cut into, and each
+    token is collapsed in one place of the plan."""
+    texts = [["29abcde", "1234F1Z5x", "", "a-b", "Zz99", "12,345.00"][k * k % 6] + str(k % 7) for k in range(300)]
+    lists = {1: texts, 2: texts[:66], 3: texts[:65], 4: texts[:2]}
+    docs = spark.createDataFrame(list(lists.items()), "doc_id long, tokens array<string>")
+    got = parse.token_windows(docs)
+    want = []
+    for d, t in lists.items():
+        for size in (2, 3, 4):
+            for at in range(len(t) - size + 1):
+                merged = re.sub("[^A-Z0-9]", "", "".join(t[at : at + size]).upper())
+                if len(merged) >= 15:
+                    want.append((d, size, at, merged, " ".join(t[max(0, at - 2) : at + size + 8])))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[^A-Z0-9]") == 1
