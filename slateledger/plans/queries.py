@@ -487,9 +487,9 @@ def q_training_entries(spark, d):
 @query("q_correction_entries", f"{_RSQL}, n AS ({_NORM}), x AS (SELECT r.doc_id, r.ord, r.INVOICE_VALUE AS v, n.INVOICE_VALUE AS nv, r.PLACE_OF_SUPPLY AS p, n.PLACE_OF_SUPPLY AS np FROM r JOIN n ON r.doc_id = n.doc_id AND r.ord = n.ord) SELECT concat(doc_id, '-', ord) AS job_id, CASE WHEN nv <> v THEN nv END AS value, CASE WHEN np <> p THEN np END AS place, CAST(nv <> v AS INT) + CAST(np <> p AS INT) AS fields, v AS was FROM x")
 def q_correction_entries(spark, d):
     """Corrections written as JSON and read again."""
-    r, to = records.checkpointed(raw_records(spark, d)), records.own_folder(spark, "entries")
-    named = lambda df: df.withColumn("job_id", F.expr("concat(doc_id, '-', ord)"))
-    sinks.write_json(sinks.correction_entries(named(r), named(records.normalise(r)), "2024-01-01"), to)
+    r, to = report.with_original(raw_records(spark, d)), records.own_folder(spark, "entries")
+    done = records.normalise(r, keep=("_original",)).withColumn("job_id", F.expr("concat(doc_id, '-', ord)"))
+    sinks.write_json(sinks.corrected_entries(done, "2024-01-01"), to)
     got = spark.read.schema("job_id string, corrections map<string,string>, original_data map<string,string>").json(to)
     return got.select("job_id", F.col("corrections")["INVOICE_VALUE"].alias("value"), F.col("corrections")["PLACE_OF_SUPPLY"].alias("place"), F.size("corrections").alias("fields"), F.col("original_data")["INVOICE_VALUE"].alias("was"))
 

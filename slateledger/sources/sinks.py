@@ -77,15 +77,21 @@ def training_entries(records: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """Training, correction or calibration entries, appended as JSON lines."""
-    rows.write.mode("append").json(path)
+    """Training, correction or calibration entries, appended as JSON lines, compressed: their field names repeat."""
+    rows.write.mode("append").option("compression", "gzip").json(path)
 
 
 def correction_entries(original: DataFrame, corrected: DataFrame, stamp: str) -> DataFrame:
     """(job_id, field maps) with the fields that were changed, and the original ones."""
-    maps = lambda df, name: df.select("job_id", F.map_from_arrays(F.array(*map(F.lit, C.FIELDS)), F.array(*[F.col(f) for f in C.FIELDS])).alias(name))
-    both = maps(original, "original_data").join(maps(corrected, "_new"), "job_id")
-    return both.select("job_id", F.map_filter("_new", lambda k, v: ~v.eqNullSafe(F.col("original_data")[k])).alias("corrections"), "original_data", F.lit(stamp).alias("timestamp"))
+    fields = lambda df, name: df.select("job_id", F.struct(*C.FIELDS).alias(name))
+    return corrected_entries(fields(original, "_original").join(fields(corrected, "_new"), "job_id").select("job_id", "_original", "_new.*"), stamp)
+
+
+def corrected_entries(records: DataFrame, stamp: str) -> DataFrame:
+    """The same of records that have their fields as they were in `_original` (report.with_original), without a join."""
+    maps = lambda c: F.map_from_arrays(F.array(*map(F.lit, C.FIELDS)), F.array(*[c(f) for f in C.FIELDS]))
+    changed = F.map_from_entries(F.filter(F.array(*[F.when(~F.col(f).eqNullSafe(F.col("_original")[f]), F.struct(F.lit(f).alias("key"), F.col(f).alias("value"))) for f in C.FIELDS]), lambda e: e.isNotNull()))
+    return records.select("job_id", changed.alias("corrections"), maps(lambda f: F.col("_original")[f]).alias("original_data"), F.lit(stamp).alias("timestamp"))
 
 
 def apply_corrections(original: DataFrame, entries: DataFrame) -> DataFrame:

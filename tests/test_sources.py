@@ -113,3 +113,15 @@ def test_places_looked_up_once(spark):
 
     rows = spark.createDataFrame([(1, "to karnatka by road"), (2, "to karnatka by road"), (3, "in Goa"), (4, None), (5, "nowhere at all")], "n int, t string")
     assert {r.n: r.p for r in placed(rows, "t", "p").collect()} == {1: "Karnataka", 2: "Karnataka", 3: "Goa", 4: "", 5: ""}
+
+
+def test_corrected_entries_need_no_join(spark, tmp_path):
+    from slateledger.operators import report
+
+    r = report.with_original(records(spark)).withColumn("IGST", F.lit("7")).withColumn("job_id", F.col("ord").cast("string"))
+    old = r.select("job_id", *[F.col("_original")[f].alias(f) for f in C.FIELDS])
+    got, want = (sorted((x.job_id, x.corrections, x.original_data) for x in df.collect()) for df in (sinks.corrected_entries(r, "s"), sinks.correction_entries(old, r.drop("_original"), "s")))
+    assert [list(map(str, x)) for x in got] == [list(map(str, x)) for x in want] and got[0][1] == {"IGST": "7"}
+    assert "Join" not in sinks.corrected_entries(r, "s")._jdf.queryExecution().optimizedPlan().toString()
+    sinks.write_json(sinks.corrected_entries(r, "s"), str(tmp_path / "c"))
+    assert {p.name.split(".", 1)[1] for p in (tmp_path / "c").glob("part-*")} == {"json.gz"}
