@@ -70,8 +70,9 @@ def write_workbook(records: DataFrame, path: str, title: str) -> int:
 
 def training_entries(records: DataFrame, jobs: DataFrame) -> DataFrame:
     """jobs (doc_id, job_id, source_file, timestamp, ocr_text) to entries, one for each job."""
-    cells = F.map_from_arrays(F.array(*map(F.lit, C.FIELDS)), F.array(*[F.col(f) for f in C.FIELDS]))
-    own = records.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.to_json(cells).alias("j")))), lambda x: F.from_json(x["j"], "map<string,string>")).alias("records"))
+    names = F.array(*map(F.lit, C.FIELDS))
+    cells = F.array(*[F.col(f) for f in C.FIELDS])  # named after they are gathered
+    own = records.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", cells.alias("c")))), lambda x: F.map_from_arrays(names, x["c"])).alias("records"))
     got = jobs.join(own, "doc_id", "left").withColumn("records", F.coalesce("records", F.array().cast("array<map<string,string>>")))
     return got.select("job_id", "source_file", "timestamp", "records", "ocr_text", F.size("records").alias("record_count"))
 

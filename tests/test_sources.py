@@ -125,3 +125,11 @@ def test_corrected_entries_need_no_join(spark, tmp_path):
     assert "Join" not in sinks.corrected_entries(r, "s")._jdf.queryExecution().optimizedPlan().toString()
     sinks.write_json(sinks.corrected_entries(r, "s"), str(tmp_path / "c"))
     assert {p.name.split(".", 1)[1] for p in (tmp_path / "c").glob("part-*")} == {"json.gz"}
+
+
+def test_training_entries_gather_values_without_names(spark):
+    jobs_ = spark.createDataFrame([(1, "j", "f.pdf", "t", ["l1"])], "doc_id long, job_id string, source_file string, timestamp string, ocr_text array<string>")
+    got = sinks.training_entries(records(spark).withColumn("IGST", F.lit(None).cast("string")), jobs_)
+    assert "to_json" not in got._jdf.queryExecution().optimizedPlan().toString()
+    maps = got.first().records
+    assert [m["INVOICE_NO"] for m in maps] == ["INV-100", "INV-101", "INV-102"] and set(maps[0]) == set(C.FIELDS) and maps[0]["IGST"] is None
