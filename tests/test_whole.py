@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from slateledger.functions import constants as C
 from slateledger.operators import cascade, parse
 from slateledger.plans import render
@@ -118,3 +120,16 @@ def test_token_windows_are_cut_from_short_arrays(spark):
                     want.append((d, size, at, merged, " ".join(t[max(0, at - 2) : at + size + 8])))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("[^A-Z0-9]") == 1
+
+
+def test_steps_between_are_small(spark):
+    """What is written between steps takes less than a tenth of a checkpoint where fields are mostly defaults."""
+    from pathlib import Path
+
+    from slateledger.operators.records import checkpointed
+
+    df = spark.range(20_000).select("id", *[F.lit(C.DEFAULTS.get(f, "N/A")).alias(f) for f in C.FIELDS])
+    got = checkpointed(df)
+    files = [Path(f.removeprefix("file:")) for f in got.inputFiles()]
+    assert got.count() == 20_000 and got.schema.names == df.schema.names
+    assert 0 < sum(f.stat().st_size for f in files) < 20_000 * 8 * len(C.FIELDS) / 10
