@@ -191,7 +191,12 @@ def page_quads(runs: DataFrame, page: list[str], width: int, height: int, least:
     big = largest(parts, page, width, height)
     some = parts.join(big.select(*page, "component"), [*page, "component"])
     got = simplified(outline(some, page), page).withColumn("_q", four(F.col("corners"))).where("_q is not null").join(big, [*page, "component"])
-    best = got.groupBy(*page).agg(F.min_by("_q", "rank").alias("_q")).select(*page, ordered(F.col("_q")).alias("quad"))
+    return sized(got.groupBy(*page).agg(F.min_by("_q", "rank").alias("_q")), page, width, height, least)
+
+
+def sized(found: DataFrame, page: list[str], width: int, height: int, least: int = 200) -> DataFrame:
+    """(page, quad, out_w, out_h) of four corners `_q`, where the page that comes of them has a possible size."""
+    best = found.select(*page, ordered(F.col("_q")).alias("quad"))
     q, side = F.col("quad"), lambda a, b: F.hypot(F.col(f"quad.{a}.x") - F.col(f"quad.{b}.x"), F.col(f"quad.{a}.y") - F.col(f"quad.{b}.y"))
     sized = best.select(*page, q, F.greatest(side("tr", "tl"), side("br", "bl")).cast("int").alias("out_w"), F.greatest(side("bl", "tl"), side("br", "tr")).cast("int").alias("out_h"))
     return sized.where((F.col("out_w") >= least) & (F.col("out_h") >= least) & (F.col("out_w") <= 2 * width) & (F.col("out_h") <= 2 * height))

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slateledger.operators import pages, pixels
+from slateledger.operators import pages, pixels, raster, runs
 from slateledger.plans import imaging
+from tests.test_images import components_of, runs_of
 
 PAGE = ["doc_id"]
 SIZE = (26, 30)
@@ -87,3 +88,30 @@ def test_paper_by_pages(spark, sf):
         for got, want in ((a, w.a_cast), (b, w.b_cast)):
             got = got[w.doc_id].as_py()
             assert got is want or abs(got - want) < 1e-9
+
+
+def lot_of(images):
+    """Boolean images, by page, as runs in order."""
+    rows = [(k, *r) for k, d in enumerate(sorted(images)) for r in runs_of(images[d])]
+    return tuple(np.array(c, np.int64) for c in zip(*rows, strict=True))
+
+
+@pytest.fixture(scope="module")
+def specks():
+    r = np.random.default_rng(7)
+    out = {k: r.random((24, 150)) < p for k, p in enumerate((0.02, 0.2, 0.45, 0.8))}
+    out[4] = np.zeros((24, 150), bool)
+    out[5] = np.ones((24, 150), bool)
+    out[6] = np.zeros((24, 150), bool)  # one long component that turns at every other row
+    out[6][::2] = out[6][1::4, -1] = out[6][3::4, 0] = True
+    return out
+
+
+def test_turned_pages(spark, sf, specks):
+    whole(spark, sf, "q_auto_turn")
+    lot = lot_of(specks)
+    assert list(zip(*runs.turned(lot), strict=True)) == list(zip(*lot_of({d: im.T for d, im in specks.items()}), strict=True))
+    df = spark.createDataFrame([(*map(int, r), 150) for r in zip(*lot, strict=True)], "doc_id long, y int, x0 int, x1 int, w int")
+    for gap in (0, 3, 20):
+        want = dict(raster.level_lines(df, PAGE, 8, gap).collect())
+        assert runs.level_lines(lot, 7, np.full(7, 150), 8, gap).tolist() == [want.get(d, 0) for d in range(7)]
