@@ -60,7 +60,7 @@ on_lines("q_parse_colscan", "mixed", lambda li: parse.parse_columns(boxes(li)),
 
 def boxes(li: DataFrame) -> DataFrame:
     """Words of lines as boxes: 30 units a line, tilted by 5, ten a place."""
-    words = li.select("doc_id", "ord", F.posexplode(F.split("text", " ")).alias("at", "text"))
+    words = li.select("doc_id", "ord", F.posexplode_outer(F.split("text", " ")).alias("at", "text")).where("text is not null")
     return words.select("doc_id", (F.col("ord") * 100 + F.col("at")).alias("pos"), "text", (F.col("at") * 10.0).alias("xc"), (F.col("ord") * 30.0 + F.col("at") % 5).alias("yc"))
 
 
@@ -214,8 +214,8 @@ _PIECE = "array_to_string([text[i + 1] FOR i IN range(length(text)) IF {}], '')"
 def q_stream_order_text(spark, d):
     """Characters of the lines, each up to four units off its line's height, so that three in five round to the next one."""
     li = render.lines(render.invoices(spark, d), "image")
-    ch = li.select("doc_id", "page_no", "ord", F.posexplode(F.split("text", "")).alias("at", "ch"))
-    return ingest.stream_order(ch.select("doc_id", "page_no", (F.col("ord") * 1000 + F.col("at")).alias("pos"), "ch", (F.col("ord") * 12.0 + F.col("at") % 5).alias("top")))
+    ch = F.transform(F.split("text", ""), lambda c, at: F.struct(c.alias("ch"), (F.col("ord") * 12.0 + at % 5).alias("top")))
+    return ingest.stream_order_of(li.select("doc_id", "page_no", F.col("ord").alias("pos"), ch.alias("chars")))
 
 
 _PATHS = "CASE doc_id % 4 WHEN 0 THEN concat('/in/GSTR2A_', CAST(doc_id + 1000 AS STRING), '.pdf') WHEN 1 THEN concat('/in/b_', CAST(doc_id + 1000 AS STRING), '.PDF') WHEN 2 THEN concat('/in/scan_', CAST(doc_id + 1000 AS STRING), '.jpg') ELSE concat('/in/', CAST(doc_id AS STRING), '.docx') END"

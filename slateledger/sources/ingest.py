@@ -51,6 +51,17 @@ def stream_order(chars: DataFrame) -> DataFrame:
     return chars.groupBy("doc_id", "page_no", y.alias("y")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]), "").alias("text"))
 
 
+def stream_order_of(stretches: DataFrame) -> DataFrame:
+    """The same of stretches (doc_id, page_no, pos, chars array<struct<ch, top>>) of a page's stream, which begin at pos and
+    don't overlap. A stretch is cut by height within its row, so that no character becomes a row of its own."""
+    at = F.transform("chars", lambda c: (F.rint(c["top"] / 3) * 3).cast("int"))
+    seen = stretches.select("doc_id", "page_no", "pos", F.transform("chars", lambda c: c["ch"]).alias("_c"), at.alias("_y"))
+    text = lambda y: F.array_join(F.filter("_c", lambda c, i: F.get("_y", i) == y), "")
+    cut = seen.select("doc_id", "page_no", "pos", F.explode_outer(F.transform(F.array_distinct("_y"), lambda y: F.struct(y.alias("y"), text(y).alias("text")))).alias("p")).where("p is not null")
+    pieces = F.array_sort(F.collect_list(F.struct("pos", "p.text")))
+    return cut.groupBy("doc_id", "page_no", F.col("p.y").alias("y")).agg(F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("text"))
+
+
 TRAINING = "job_id string, source_file string, timestamp string, records array<map<string,string>>, ocr_text array<string>, record_count int"
 
 

@@ -133,3 +133,14 @@ def test_training_entries_gather_values_without_names(spark):
     assert "to_json" not in got._jdf.queryExecution().optimizedPlan().toString()
     maps = got.first().records
     assert [m["INVOICE_NO"] for m in maps] == ["INV-100", "INV-101", "INV-102"] and set(maps[0]) == set(C.FIELDS) and maps[0]["IGST"] is None
+
+
+def test_stretches_of_a_stream_are_cut_within_rows(spark):
+    """The same rows as by characters, without a row for each character."""
+    lines = [(1, 0, 0, "GSTIN 29"), (1, 0, 100, "ab"), (1, 0, 200, "cdefghij"), (1, 1, 0, "x"), (2, 0, 0, "yz")]
+    top = lambda pos, i: (pos // 200) * 12.0 + (i * 7) % 5  # noqa: E731  stretches at 0 and 100 share heights
+    chars = [(d, p, pos + i, c, top(pos, i)) for d, p, pos, t in lines for i, c in enumerate(t)]
+    rows = [(d, p, pos, [(c, top(pos, i)) for i, c in enumerate(t)]) for d, p, pos, t in lines]
+    want = ingest.stream_order(spark.createDataFrame(chars, "doc_id long, page_no int, pos long, ch string, top double")).collect()
+    got = ingest.stream_order_of(spark.createDataFrame(rows, "doc_id long, page_no int, pos long, chars array<struct<ch:string,top:double>>"))
+    assert sorted(got.collect()) == sorted(want)
