@@ -312,7 +312,7 @@ def row_clusters(boxes: DataFrame, reach: float = 20.0) -> DataFrame:
     placed = ordered.select("doc_id", F.aggregate(heights, begin, step)["starts"].alias("s"), "b")
     ends = F.concat(F.slice("s", F.lit(2), F.size("s")), F.array(F.size("b")))
     cut = F.transform(F.arrays_zip("s", ends.alias("e")), lambda r: F.slice("b", r["s"] + 1, r["e"] - r["s"]))  # a row's boxes are neighbours
-    rows = placed.select("doc_id", F.posexplode(cut).alias("k", "r"))
+    rows = placed.select("doc_id", F.posexplode_outer(cut).alias("k", "r"))  # of posexplode Spark infers filters that cut again
     text = F.array_join(F.transform(F.array_sort(F.transform("r", lambda z: F.struct(z["xc"], z["yc"], z["pos"], z["text"]))), lambda x: x["text"]), " ")
     return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("ord"), text.alias("text"))
 

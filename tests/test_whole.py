@@ -133,3 +133,12 @@ def test_steps_between_are_small(spark):
     files = [Path(f.removeprefix("file:")) for f in got.inputFiles()]
     assert got.count() == 20_000 and got.schema.names == df.schema.names
     assert 0 < sum(f.stat().st_size for f in files) < 20_000 * 8 * len(C.FIELDS) / 10
+
+
+def plan(name, spark, sf):
+    return QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_boxes_stay_with_their_invoices(spark, sf):
+    """Invoices are dealt by document once; words are gathered by document where they are."""
+    assert plan("q_row_cluster", spark, sf).count(" Exchange ") == 1
