@@ -142,3 +142,7 @@ def plan(name, spark, sf):
 def test_rows_of_boxes_stay_with_their_invoices(spark, sf):
     """Invoices are dealt by document once; words are gathered by document where they are."""
     assert plan("q_row_cluster", spark, sf).count(" Exchange ") == 1
+
+
+def test_columns_are_scanned_where_the_invoices_are(spark, sf):
+    assert plan("q_parse_colscan", spark, sf).count(" Exchange hashpartitioning") <= 2  # both kinds of rows, from one table each
