@@ -146,3 +146,8 @@ def test_rows_of_boxes_stay_with_their_invoices(spark, sf):
 
 def test_columns_are_scanned_where_the_invoices_are(spark, sf):
     assert plan("q_parse_colscan", spark, sf).count(" Exchange hashpartitioning") <= 2  # both kinds of rows, from one table each
+
+
+def test_sides_are_read_from_invoices_numbered_once(spark, sf):
+    p = plan("q_zip_groups", spark, sf)
+    assert p.count("FileScan parquet") == 3 and "lineitem" not in p
